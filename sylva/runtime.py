@@ -46,17 +46,22 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder that is removed with the application."""
+    path = f"{shared_dir(spark).rstrip('/')}/sylva-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
+    return path
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Cut the lineage: write df as a table in the shared folder and read it back.
 
     A lost executor then costs one stage, not the whole history. The folder is removed with the application.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/sylva-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
+    path = scratch(spark, label)
     df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
     return spark.read.schema(df.schema).parquet(path)
 
 
