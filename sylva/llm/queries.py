@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sylva.llm import sql
+from sylva.llm.chat import format_chats, read_chats
 from sylva.llm.quality import quality
 from sylva.llm.token_counts import token_counts
-from sylva.runtime import materialise, ship
+from sylva.llm.warc import read_warc, write_warc
+from sylva.runtime import materialise, scratch, ship
 
 TOKEN_LIMIT = 4096
 
@@ -20,6 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "warc")
+    write_warc(table(spark, sf_dir, "pages"), path, materialise)
+    found = read_warc(spark.read.format("binaryFile").load(path))
+    return found.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "date")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts(table(spark, sf_dir, "documents"), "piece_bpe_32k.model")
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
@@ -29,11 +38,21 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), settle=materialise)
 
 
+def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    said = r"\### Assistant: </turn> ok"
+    own = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], turns.schema)
+    return read_chats(format_chats(turns.unionByName(own)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_warc": op3_warc,
     "op4_token_counts": op4_token_counts,
     "op7_quality_rules": op7_quality_rules,
+    "op9_chat_formatting": op9_chat_formatting,
 }
 
 ORACLES: dict[str, str] = {
+    "op3_warc": sql.WARC,
     "op7_quality_rules": sql.QUALITY,
 }

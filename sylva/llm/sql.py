@@ -19,3 +19,16 @@ r AS (SELECT source, source IS NOT NULL AND a / (a + b) - 2.0 * sqrt(a * b / (a
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT rejected AS kept, rejected AS host_rejected
 FROM f JOIN r ON f.source IS NOT DISTINCT FROM r.source
 """
+
+#: SHA-1 in base32: each group of five bits of the hex digest is one letter.
+WARC = r"""
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS b, sha1(coalesce(html, '')) AS h,
+  CASE WHEN url IS NULL OR url = '' THEN 'urn:none' ELSE url END AS url FROM pages),
+n AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS m FROM p),
+d AS (SELECT *, list_transform(range(0, 40), lambda i: instr('0123456789abcdef', substr(h, i + 1, 1)) - 1) AS x FROM n),
+e AS (SELECT *, list_transform(range(0, 160), lambda j: (x[j // 4 + 1] >> (3 - j % 4)) & 1) AS bit FROM d)
+SELECT page_id, CAST(octet_length(b) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', bit[5 * k + 1] * 16 + bit[5 * k + 2] * 8 + bit[5 * k + 3] * 4 + bit[5 * k + 4] * 2 + bit[5 * k + 5] + 1, 1)), '') AS payload_digest,
+  CASE WHEN m = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN m = page_id THEN NULL ELSE m END AS refers_to, url, '2024-01-01T00:00:00Z' AS date FROM e
+"""
