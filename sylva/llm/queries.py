@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sylva.llm import sql
 from sylva.llm.chat import format_chats, read_chats
 from sylva.llm.quality import quality
+from sylva.llm.repeats import remove_repeats
 from sylva.llm.token_counts import token_counts
 from sylva.llm.warc import read_warc, write_warc
 from sylva.runtime import materialise, scratch, ship
@@ -45,11 +46,16 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_chats(format_chats(turns.unionByName(own)))
 
 
+def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
     "op4_token_counts": op4_token_counts,
     "op7_quality_rules": op7_quality_rules,
     "op9_chat_formatting": op9_chat_formatting,
+    "op10_suffix_array_dedup": op10_suffix_array_dedup,
 }
 
 ORACLES: dict[str, str] = {
