@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sylva.llm import sql
 from sylva.llm.chat import format_chats, read_chats
+from sylva.llm.jaccard_join import jaccard_components
 from sylva.llm.quality import quality
 from sylva.llm.repeats import remove_repeats
 from sylva.llm.token_counts import token_counts
@@ -35,6 +36,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > TOKEN_LIMIT)
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), settle=materialise)
 
@@ -53,6 +58,7 @@ def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_warc": op3_warc,
     "op4_token_counts": op4_token_counts,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_quality_rules": op7_quality_rules,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_suffix_array_dedup": op10_suffix_array_dedup,
