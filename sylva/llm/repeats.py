@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from sylva.llm.copies import mark_copies
 from sylva.llm.hashing import EXACT, U, mix, prefix_sums, range_hash, runs, utf8
 from sylva.llm.suffix_array import common_prefixes, merge_shards, smallest, suffix_array
 from sylva.runtime import materialise, partitions, release
@@ -39,9 +40,9 @@ MATCH, GRAM = 50, 24
 BLOCK_BYTES = 8 << 20
 #: Pieces of one owner in one shard, about; owners with more are spread.
 SPREAD = 2048
-#: Groups of exact copies in one broadcast at most; more are joined by a shuffle.
-BROADCAST_ROWS = 100_000
 SHIFT = 24
+#: Bytes in one suffix array, about.
+SORTED_BYTES = 1 << 19
 
 
 def owners(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,8 +116,8 @@ def unpack(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray,
 
 
 def bits_for(spark, blocks: int) -> int:
-    """log2 of the number of owner ranges: one for each block at least, so that a shard stays as small as a block."""
-    return max(1, (max(partitions(spark), blocks, 2) - 1).bit_length())
+    """log2 of the number of owner ranges: four for each block, so that a shard holds less than a block."""
+    return max(1, (max(partitions(spark), 4 * blocks, 2) - 1).bit_length())
 
 
 def ask(bits: int):
@@ -196,6 +197,19 @@ def pieces(bits: int):
     return apply
 
 
+def portions(owner: np.ndarray, length: np.ndarray) -> Iterator[slice]:
+    """Slices of sorted owners with about SORTED_BYTES each; an owner is never cut."""
+    if not len(owner):
+        return
+    heads = np.append(np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1]))), len(owner))
+    ends = np.append(0, np.cumsum(length))[heads]
+    at = 0
+    while at < len(heads) - 1:
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + SORTED_BYTES, "right")) - 1)
+        yield slice(heads[at], heads[to])
+        at = to
+
+
 FOUND = "kind int, key long, a binary, b binary, c binary, d binary"
 FOUND_ARROW = pa.schema([("kind", pa.int32()), ("key", pa.int64()), *((x, pa.binary()) for x in "abcd")])
 
@@ -233,65 +247,71 @@ def decide(bits: int):
         np.minimum.at(least, kind, doc)
         later = doc > least[kind]  # an equal piece stands in a smaller document
         out = ranges_by_block(block[later], first[later], first[later] + size[later])
-        distinct = own[sample]
-        order = np.argsort(distinct, kind="stable")
-        _, place, n = np.unique(distinct, return_inverse=True, return_counts=True)
-        chosen = np.flatnonzero(spread | (n[place] > 1))
-        if not len(chosen):
-            return as_table(out)
-        chosen = chosen[np.argsort(distinct[chosen], kind="stable")]
-        length = size[sample[chosen]]
-        data = gather(text, starts[sample[chosen]], length)
-        stop = np.cumsum(length)
-        piece = np.repeat(np.arange(len(chosen)), length)
-        valid = np.arange(len(data)) + MATCH <= stop[piece]
-        owner_of = least[chosen][piece]
-        sa = suffix_array(data, MATCH)
-        classes = np.cumsum(common_prefixes(data, sa, MATCH) < MATCH)
-        ok = valid[sa]
-        spots, classes = sa[ok], classes[ok]
-        low = np.full(int(classes[-1]) + 1 if len(classes) else 1, np.iinfo(np.int64).max)
-        np.minimum.at(low, classes, owner_of[spots])
-        mark = np.zeros(len(data), bool)
-        mark[spots] = low[classes] < owner_of[spots]
-        leaders = np.flatnonzero(~later)
-        where = np.full(len(sample), -1)
-        where[chosen] = np.arange(len(chosen))
-        leaders = leaders[where[kind[leaders]] >= 0]
-        leaders = leaders[np.argsort(where[kind[leaders]], kind="stable")]
-        mine = where[kind[leaders]]
-        base = stop - length
-
-        def spread_out(positions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """Positions in data to every leading occurrence of their piece: (occurrence, offset in the piece)."""
-            p = piece[positions]
-            a, b = np.searchsorted(mine, p), np.searchsorted(mine, p, "right")
-            times = b - a
-            total = np.cumsum(times)
-            at = np.arange(total[-1] if len(total) else 0) - np.repeat(total - times, times) + np.repeat(a, times)
-            return leaders[at], np.repeat(positions - base[p], times)
-
-        marked = np.flatnonzero(mark)
-        who, off = spread_out(marked)
-        out += ranges_by_block(block[who], first[who] + off, first[who] + off + MATCH)
-        if spread:
+
+        def decide_pieces(chosen: np.ndarray) -> list[tuple]:
+            """Ranges, and for a spread shard open strings, of distinct pieces that hold all of their owners."""
+            length = size[sample[chosen]]
+            data = gather(text, starts[sample[chosen]], length)
+            stop = np.cumsum(length)
+            base = stop - length
+            piece = np.repeat(np.arange(len(chosen)), length)
+            valid = np.arange(len(data)) + MATCH <= stop[piece]
+            owner_of = least[chosen][piece]
+            sa = suffix_array(data, MATCH)
+            classes = np.cumsum(common_prefixes(data, sa, MATCH) < MATCH)
+            ok = valid[sa]
+            spots, classes = sa[ok], classes[ok]
+            low = np.full(int(classes[-1]) + 1 if len(classes) else 1, np.iinfo(np.int64).max)
+            np.minimum.at(low, classes, owner_of[spots])
+            mark = np.zeros(len(data), bool)
+            mark[spots] = low[classes] < owner_of[spots]
+            where = np.full(len(sample), -1)
+            where[chosen] = np.arange(len(chosen))
+            lead = leaders[where[kind[leaders]] >= 0]
+            lead = lead[np.argsort(where[kind[lead]], kind="stable")]
+            mine = where[kind[lead]]
+
+            def spread_out(positions: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                """Positions in data to every leading occurrence of their piece: (occurrence, offset in the piece)."""
+                p = piece[positions]
+                a, b = np.searchsorted(mine, p), np.searchsorted(mine, p, "right")
+                times = b - a
+                total = np.cumsum(times)
+                at = np.arange(total[-1] if len(total) else 0) - np.repeat(total - times, times) + np.repeat(a, times)
+                return lead[at], np.repeat(positions - base[p], times)
+
+            who, off = spread_out(np.flatnonzero(mark))
+            rows = ranges_by_block(block[who], first[who] + off, first[who] + off + MATCH)
+            if not spread:
+                return rows
             open_ = np.sort(spots[~mark[spots]])
-            sums_at = np.empty(len(open_), U)
+            prints = np.empty(len(open_), U)
             bounds = np.append(base, len(data))
             for a, b in runs(bounds):
                 lo, hi = np.searchsorted(open_, (bounds[a], bounds[b]))
                 if hi > lo:
                     sums = prefix_sums(data[bounds[a] : bounds[b]], EXACT)
-                    sums_at[lo:hi] = mix(range_hash(sums, open_[lo:hi] - bounds[a], open_[lo:hi] - bounds[a] + MATCH))
+                    prints[lo:hi] = mix(range_hash(sums, open_[lo:hi] - bounds[a], open_[lo:hi] - bounds[a] + MATCH))
             who, off = spread_out(open_)
-            print_of = sums_at[np.searchsorted(open_, base[where[kind[who]]] + off)]
-            order = np.argsort(print_of)
-            keys, who, off = print_of[order], who[order], off[order]
+            keys = prints[np.searchsorted(open_, base[where[kind[who]]] + off)]
+            order = np.argsort(keys)
+            keys, who, off = keys[order], who[order], off[order]
             edges = np.searchsorted(keys >> U(64 - bits), np.arange((1 << bits) + 1, dtype=U))
             for k in np.flatnonzero(np.diff(edges)):
                 s = slice(edges[k], edges[k + 1])
                 w = who[s]
-                out.append((1, int(k), keys[s].tobytes(), doc[w].tobytes(), block[w].tobytes(), (first[w] + off[s]).astype(np.int64).tobytes()))
+                rows.append((1, int(k), keys[s].tobytes(), doc[w].tobytes(), block[w].tobytes(), (first[w] + off[s]).astype(np.int64).tobytes()))
+            return rows
+
+        distinct = own[sample]
+        _, place, n = np.unique(distinct, return_inverse=True, return_counts=True)
+        chosen = np.flatnonzero(spread | (n[place] > 1))
+        if not len(chosen):
+            return as_table(out)
+        chosen = chosen[np.argsort(distinct[chosen], kind="stable")]
+        leaders = np.flatnonzero(~later)
+        for part in portions(distinct[chosen], size[sample[chosen]]):
+            out += decide_pieces(chosen[part])
         return as_table(out)
 
     return apply
@@ -349,10 +369,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_column: str = "doc_id
     held = ["_id", *[f"_r{i}" for i in range(len(rest))]]
     size = F.octet_length("_text").cast("long")
     digest = F.sha2(F.col("_text"), 256)
-    copies = plain.filter((size >= MATCH) & F.col("_id").isNotNull()).groupBy(F.unhex(digest).alias("_sha")).agg(F.min("_id").alias("_first"), F.count("*").alias("_n"))
-    copies = materialise(copies.filter("_n > 1").select("_sha", "_first"), "copies")
-    few = copies.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    known = plain.withColumn("_own", F.unhex(digest)).join(F.broadcast(copies) if few else copies, F.col("_own") == F.col("_sha"), "left")
+    known = mark_copies(plain, "_id", F.col("_text"))
     copy = F.coalesce(F.col("_first") < F.col("_id"), F.lit(False)) & (size >= MATCH)
     alone = (size < MATCH) | F.col("_id").isNull()
     whole = F.col("_text") if kept_text else digest
