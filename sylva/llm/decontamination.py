@@ -10,7 +10,8 @@ reach it. These are found first by a join on shingle hashes; nothing that could
 item in one document are bounded by the document's length.
 
 Items of fewer words than a shingle are one shingle of their own length. Nulls: null texts and items have no words
-and match nothing. Repeated rows are found each; ties between windows go to the first. Empty tables work.
+and match nothing. Rows that repeat an id and text
+are one document; ties go to the first of the windows that begin with a shingle of the item. Empty tables work.
 """
 
 from __future__ import annotations

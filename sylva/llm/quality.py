@@ -121,14 +121,15 @@ def host_verdicts(judged: DataFrame, rejected: DataFrame, rules: Rules) -> DataF
     return salted.join(spread, (salted["host"] == spread["_host"]) & (salted["_s"] == spread["_salt"]), "left").drop("_host", "_salt", "_s")
 
 
-def quality(docs: DataFrame, rules: Rules = Rules(), host: str = "source", keep: tuple[str, ...] = ("doc_id",), settle: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
+def quality(docs: DataFrame, rules: Rules = Rules(), host: str = "source", keep: tuple[str, ...] = ("doc_id",), settle: Callable[[DataFrame, str], DataFrame] | None = None, settle_rows: bool = True) -> DataFrame:
     """The columns `keep` of every document, its statistics, base_failed, host_rejected and kept.
 
-    settle(df, label), where given, writes the judged rows once so that the second pass doesn't read texts again.
+    settle(df, label), where given, writes the rejected hosts, and with settle_rows also the judged rows, so that the
+    second pass doesn't judge texts again. Leave settle_rows out where `keep` holds the texts.
     """
     judged = document_stats(docs).withColumn("failed", base_failed("_stats", rules)).withColumn("host", F.col(host))
     judged = judged.select(*keep, *[F.col("_stats")[s].alias(s) for s in STATS], "failed", "host")
-    if settle is not None:
+    if settle is not None and settle_rows:
         judged = settle(judged, "quality")
     rejected = host_rates(judged.select("host", "failed"), rules).filter("rejected")
     if settle is not None:

@@ -43,7 +43,7 @@ class Fit:
     features: int = 4096
     steps: int = 400
     rate: float = 0.05
-    decay: float = 1e-4
+    decay: float = 1e-3
     #: How far below zero the corrected risk may fall, and the weight of the step back.
     slack: float = 0.0
     back: float = 1.0
@@ -152,9 +152,7 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
         g[:-1] += how.decay * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w = w - how.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    f = margin(u)
-    shift = np.quantile(f, 1 - prior) if len(f) else 0.0  # the share of unlabelled texts over 0.5 is the prior
-    return w[:-1], float(w[-1] - shift)
+    return w[:-1], float(w[-1])
 
 
 def scored(model):
