@@ -1,4 +1,9 @@
 """All queries of the crown engine with the SQL that checks them."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
+
+from sylva.plans import evaluation, rasters, tiles, udfs, vectors
+
+MODULES = (vectors, tiles, rasters, evaluation, udfs)
+QUERIES: dict = {name: f for m in MODULES for name, f in m.QUERIES.items()}
+ORACLES: dict[str, str] = {name: text for m in MODULES for name, text in m.ORACLES.items()}
