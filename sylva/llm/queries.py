@@ -91,5 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op3_warc": sql.WARC,
+    "op6_jaccard_join": sql.JACCARD,
     "op7_quality_rules": sql.QUALITY,
+    "op9_chat_formatting": sql.CHAT,
 }
