@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 Ring = list[tuple[float, float]]
@@ -184,8 +185,13 @@ RING = "array<struct<x:double,y:double>>"
 
 
 def rings_of(column: pa.Array) -> Iterator[Ring]:
-    for ring in column.to_pylist():
-        yield [(p["x"], p["y"]) for p in ring or []]
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_pylist()
+    points = column.flatten()
+    xs, ys = (points.field(k).to_pylist() for k in (0, 1))
+    at = 0
+    for n in sizes:
+        yield list(zip(xs[at : at + n], ys[at : at + n], strict=True))
+        at += n
 
 
 def as_structs(ring: Ring | None) -> list[dict] | None:
