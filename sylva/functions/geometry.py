@@ -200,6 +200,22 @@ def half_plane(ring: Column, axis: str, at: Column, above: bool) -> Column:
     return let(kept, lambda k: F.when(F.size(k) > 0, F.concat(k, F.slice(k, 1, 1))).otherwise(k))
 
 
+def first_part(parts: Column) -> Column:
+    """The first polygon of several, or null."""
+    return F.get(parts, F.lit(0))
+
+
+def same_crs(a: Column, b: Column) -> Column:
+    """a, where both reference systems are the same; otherwise an error, as nothing here reprojects."""
+    return F.when(a.eqNullSafe(b), a).otherwise(F.raise_error(F.concat_ws(" ", F.lit("reference systems differ:"), a.cast("string"), b.cast("string"))).cast("int"))
+
+
+def raster_outline(t: dict[str, Column], height: Column, width: Column) -> Column:
+    """The closed ring of a raster's four corners."""
+    corners = [pixel_to_geo(t, r, c) for r, c in ((F.lit(0), F.lit(0)), (F.lit(0), width), (height, width), (height, F.lit(0)), (F.lit(0), F.lit(0)))]
+    return F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in corners])
+
+
 # Spectral
 
 

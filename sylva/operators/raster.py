@@ -40,6 +40,20 @@ def resize_nearest(pixels: DataFrame, sizes: tuple[int, int], target: tuple[int,
     return grid.join(pixels, ["image_id", "r", "c"]).drop("r", "c").withColumnsRenamed({"tr": "r", "tc": "c"})
 
 
+def resample_bilinear(pixels: DataFrame, sizes: tuple[int, int], target: tuple[int, int], band: str) -> DataFrame:
+    """Bilinear resize from sizes to target (rows, columns), pixel centres aligned; missing neighbours leave their weight to the others."""
+    spans = [F.explode(F.sequence(F.lit(0), F.lit(n - 1))) for n in target]
+    grid = pixels.select("image_id").distinct().withColumn("tr", spans[0]).withColumn("tc", spans[1])
+    for axis, size, out in (("r", sizes[0], target[0]), ("c", sizes[1], target[1])):
+        at = (F.col(f"t{axis}") + dbl(0.5)) * dbl(size / out) - dbl(0.5)
+        at = F.least(F.greatest(at, dbl(0)), dbl(size - 1))
+        two = F.array(F.struct(F.floor(at).alias(axis), (1 - (at - F.floor(at))).alias(f"w{axis}")), F.struct((F.floor(at) + 1).alias(axis), (at - F.floor(at)).alias(f"w{axis}")))
+        grid = grid.withColumn("_n", F.explode(two)).select("*", "_n.*").drop("_n").filter(F.col(f"w{axis}") > 0)
+    met = grid.join(pixels.select("image_id", "r", "c", band), ["image_id", "r", "c"])
+    weight = F.col("wr") * F.col("wc")
+    return met.groupBy("image_id", "tr", "tc").agg((F.sum(F.col(band) * weight) / F.sum(weight)).alias(band)).withColumnsRenamed({"tr": "r", "tc": "c"})
+
+
 def window_scan(pixels: DataFrame, rows: tuple[int, int], cols: tuple[int, int]) -> DataFrame:
     """Pixels of a window [first, last), renumbered from its corner; the range reaches the parquet scan."""
     found = pixels.filter((F.col("r") >= rows[0]) & (F.col("r") < rows[1]) & (F.col("c") >= cols[0]) & (F.col("c") < cols[1]))

@@ -51,6 +51,17 @@ t AS (SELECT image_id, i, j FROM (SELECT DISTINCT image_id FROM f_pixels), (SELE
 SELECT t.image_id, CAST(i AS INTEGER) AS r, CAST(j AS INTEGER) AS c, h FROM t JOIN f_pixels p ON p.image_id = t.image_id AND p.r = CAST(floor(i*(128/4.8e1)) AS BIGINT) AND p.c = CAST(floor(j*(128/4e1)) AS BIGINT)"""
 
 
+def resample_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return raster.resample_bilinear(load(spark, sf_dir, "f_pixels"), (128, 128), (40, 50), "h").withColumn("h", F.round("h", 6))
+
+
+SQL_BILINEAR = PIXELS + """,
+t AS (SELECT image_id, i, j, least(greatest((i+5e-1)*(128/4e1)-5e-1, 0e0), 127e0) AS y, least(greatest((j+5e-1)*(128/5e1)-5e-1, 0e0), 127e0) AS x
+  FROM (SELECT DISTINCT image_id FROM f_pixels), (SELECT unnest(range(0, 40)) AS i), (SELECT unnest(range(0, 50)) AS j)),
+n AS (SELECT t.*, p.h, (1-abs(y-p.r))*(1-abs(x-p.c)) AS w FROM t JOIN f_pixels p ON p.image_id = t.image_id AND p.r IN (CAST(floor(y) AS BIGINT), CAST(floor(y) AS BIGINT)+1) AND p.c IN (CAST(floor(x) AS BIGINT), CAST(floor(x) AS BIGINT)+1))
+SELECT image_id, CAST(i AS INTEGER) AS r, CAST(j AS INTEGER) AS c, round(sum(h*w)/sum(w), 6) AS h FROM n WHERE w > 0 GROUP BY image_id, i, j"""
+
+
 def window_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.window_scan(load(spark, sf_dir, "f_pixels"), (10, 40), (5, 90)).select("image_id", "r", "c", "h")
 
@@ -156,12 +167,12 @@ SELECT vec_id, label, round(avg(CAST(value AS DOUBLE)), 6) AS mean, round(var_po
 
 
 QUERIES = {
-    "ndvi_pixels": ndvi_pixels, "minmax_rescale": minmax_rescale, "bit_rescale": bit_rescale, "resample_box": resample_box, "resize_nearest": resize_nearest, "window_scan": window_scan,
+    "ndvi_pixels": ndvi_pixels, "minmax_rescale": minmax_rescale, "bit_rescale": bit_rescale, "resample_box": resample_box, "resize_nearest": resize_nearest, "resample_bilinear": resample_bilinear, "window_scan": window_scan,
     "center_crop": center_crop, "mosaic_first_wins": mosaic_first_wins, "local_maxima": local_maxima, "nearest_seed": nearest_seed, "cell_threshold_share": cell_threshold_share,
     "smoothed": smoothed, "patch_local_max": patch_local_max, "patch_stats": patch_stats,
 }
 ORACLES = {
-    "ndvi_pixels": SQL_NDVI, "minmax_rescale": SQL_MINMAX, "bit_rescale": SQL_BITS, "resample_box": SQL_RESAMPLE, "resize_nearest": SQL_NEAREST, "window_scan": SQL_WINDOW,
+    "ndvi_pixels": SQL_NDVI, "minmax_rescale": SQL_MINMAX, "bit_rescale": SQL_BITS, "resample_box": SQL_RESAMPLE, "resize_nearest": SQL_NEAREST, "resample_bilinear": SQL_BILINEAR, "window_scan": SQL_WINDOW,
     "center_crop": SQL_CROP, "mosaic_first_wins": SQL_MOSAIC, "local_maxima": SQL_MAXIMA, "nearest_seed": SQL_SEED, "cell_threshold_share": SQL_SHARE,
     "smoothed": SQL_SMOOTH, "patch_local_max": SQL_PATCH_MAX, "patch_stats": SQL_PATCH,
 }

@@ -191,3 +191,11 @@ def test_box_helpers(spark):
     a, b = box("a"), box("b")
     r = df.select(g.overlap_area(a, b), g.box_iou(a, b), g.touches(a, b), g.inside(a, b), g.near_box(a, a), g.near_border(a, b, 2.0)).first()
     assert list(r) == [4.0, 4 / 28, True, False, True, True]
+
+
+def test_outlines_parts_and_reference_systems(spark):
+    t = {"a": dbl(2), "b": dbl(0), "c": dbl(10), "d": dbl(0), "e": dbl(-2), "f": dbl(20)}
+    ring = g.raster_outline(t, F.lit(3), F.lit(4))
+    assert one(spark, g.ring_area(ring), F.size(g.first_part(F.array(ring, ring))), g.same_crs(F.lit(25832), F.lit(25832)))[:3] == (48.0, 5, 25832)
+    with pytest.raises(PySparkException):
+        one(spark, g.same_crs(F.lit(1), F.lit(2)))
