@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from sylva.llm.components import components
 from sylva.llm.copies import mark_copies
 from sylva.llm.hashing import U, mix, runs, shingles, utf8, words
-from sylva.runtime import materialise, partitions, release
+from sylva.runtime import give_back, materialise, partitions, release
 
-SKETCH_BITS = 22
+SKETCH_BITS = 20
 SKETCH_RANGE = 14
 #: Documents of fewer shingles than 2**SMALL index single shingles only.
 SMALL = 6
@@ -39,6 +39,8 @@ SMALL = 6
 GROUPED = 16
 #: Ids of candidate documents in one broadcast at most; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
+#: log2 of the numbers in a short profile at most.
+SHORT = 8
 
 
 def document_sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -144,6 +146,7 @@ def index(k: int, percent: int, bits: int, classes_of):
             heads = np.append(np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))), len(part)) if len(part) else np.zeros(1, np.int64)
             cut = lambda x, h=heads: pa.array([x[a:b].tobytes() for a, b in zip(h[:-1], h[1:], strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(heads) - 1), pa.int32()), pa.array(part[heads[:-1]], pa.int64()), cut(sig), cut(doc), cut(size)], names=names)
+        give_back()
 
     return apply
 
@@ -189,19 +192,34 @@ def meet(percent: int):
 
 
 def left_over(percent: int):
-    """Pairs of one set of documents that are in different components and of near sizes."""
+    """Pairs of one set of documents that are in different components, of near sizes, and not ruled out by their short profiles.
+
+    Every document is held against a row of others at once; only pairs that could be similar leave the task.
+    """
 
     def apply(table: pa.Table) -> pa.Table:
         doc, root, size = (table[c].to_numpy() for c in ("b", "root", "n"))
         order = np.lexsort((doc, size))
         doc, root, size = doc[order], root[order], size[order].astype(np.int64)
-        found = []
+        raw = [table["profile"][int(i)] for i in order]
+        length = np.array([len(x.as_buffer()) if x.is_valid else 0 for x in raw])
         far = np.searchsorted(size, size * 100 // percent, "right")
-        for i in range(len(doc)):
-            j = np.arange(i + 1, far[i])
-            j = j[root[j] != root[i]]
-            if len(j):
-                found.append(np.stack((np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j]))))
+        found = []
+        # Sizes that are near have profiles of one or two lengths, as these are powers of two; the longer are folded.
+        for width in np.unique(length):
+            rows = np.flatnonzero(length >= width) if width else np.arange(len(doc))
+            folded = np.stack([np.frombuffer(raw[i].as_buffer(), np.uint8).reshape(width, -1).sum(1) for i in rows]).astype(np.int32) if width else None
+            place = {int(i): k for k, i in enumerate(rows)}
+            for i in np.flatnonzero(length == width):
+                low = np.searchsorted(size, -(-size[i] * percent // 100))
+                j = np.arange(low, far[i])
+                # A pair is made by the shorter profile, between equal ones by the first.
+                j = j[(root[j] != root[i]) & ((length[j] > width) | ((length[j] == width) & (j > i)))]
+                if width and len(j):
+                    bound = np.minimum(folded[place[int(i)]], folded[np.searchsorted(rows, j)]).sum(1)
+                    j = j[100 * bound >= percent * (size[i] + size[j] - bound)]
+                if len(j):
+                    found.append(np.stack((np.minimum(doc[i], doc[j]), np.maximum(doc[i], doc[j]))))
         pairs = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.int64)
         return pa.table({"a": pa.array(pairs[0], pa.int64()), "b": pa.array(pairs[1], pa.int64())})
 
@@ -214,6 +232,7 @@ def whole_sets(k: int):
             sets = [s.tobytes() for _, s in document_sets(batch, k)]
             for a in range(0, len(sets), 500):
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, 500), pa.array(sets[a : a + 500], pa.binary())], names=["doc", "tokens"])
+        give_back()
 
     return apply
 
@@ -233,17 +252,64 @@ def similar(percent: int):
     return apply
 
 
+def profiles(k: int, most: int = 32):
+    """How many shingles each document has in each of about n / 4 equal ranges of hashes (a power of two, 2**most at most)."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, out = [], []
+            for _, tokens in document_sets(batch, k):
+                bits = min(most, max(1, (len(tokens) // 4).bit_length()))
+                counts = np.bincount((tokens >> U(64 - bits)).astype(np.int64), minlength=1 << bits)
+                sizes.append(len(tokens))
+                out.append(counts.astype(np.uint8).tobytes() if counts.max() < 256 else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(out, pa.binary())], names=["doc", "size", "profile"])
+
+    return apply
+
+
+def could_be_similar(percent: int):
+    """Pairs but for those whose profiles rule out that they are similar: no more shingles are common than the smaller counts add up to."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [batch.column(i).to_pylist() for i in (2, 4)]
+            keep = []
+            for x, y, m, n in zip(batch.column(3), batch.column(5), *sizes, strict=True):
+                bound = min(m, n)
+                if x.is_valid and y.is_valid:
+                    x, y = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
+                    few = min(len(x), len(y))
+                    bound = int(np.minimum(x.reshape(few, -1).sum(1), y.reshape(few, -1).sum(1)).sum())
+                keep.append(100 * bound >= percent * (m + n - bound))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return apply
+
+
+def texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
+    """The documents with these ids; few ids are broadcast."""
+    ids = materialise(ids.select(F.col(ids.columns[0]).alias("_id")).distinct(), "ids")
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == ids["_id"], "left_semi").select("doc_id", "text")
+
+
+def ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("id"))
+
+
 def linked(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets are similar, verified on the whole sets."""
     pairs = materialise(pairs.select("a", "b").distinct(), "pairs")
-    ids = materialise(pairs.select(F.explode(F.array("a", "b")).alias("_id")).distinct(), "ids")
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    texts = docs.join(F.broadcast(ids) if few else ids, docs["doc_id"] == ids["_id"], "left_semi").select("doc_id", "text")
-    sets = materialise(texts.mapInArrow(whole_sets(k), "doc long, tokens binary"), "sets")
+    known = materialise(texts_of(ends(pairs), docs).mapInArrow(profiles(k), "doc long, size long, profile binary"), "profiles")
+    x, y = (known.select(F.col("doc").alias(d), F.col("size").alias(f"{d}_size"), F.col("profile").alias(f"{d}_profile")) for d in "ab")
+    near = pairs.join(x, "a").join(y, "b").select("a", "b", "a_size", "a_profile", "b_size", "b_profile").mapInArrow(could_be_similar(percent), "a long, b long")
+    near = materialise(near.distinct(), "near")
+    sets = materialise(texts_of(ends(near), docs).mapInArrow(whole_sets(k), "doc long, tokens binary"), "sets")
     x, y = (sets.select(F.col("doc").alias(d), F.col("tokens").alias(t)) for d, t in (("a", "x"), ("b", "y")))
-    found = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(similar(percent), "a long, b long")
+    found = near.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(similar(percent), "a long, b long")
     found = materialise(found.distinct(), "similar")
-    for used in (pairs, ids, sets):
+    for used in (pairs, known, near, sets):
         release(used)
     return found
 
@@ -263,7 +329,9 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, text: str
     members = tried.filter("kind = 1").select(F.col("a").alias("set"), "b", "n").distinct().join(roots.select(F.col("node").alias("b"), "root"), "b", "left").withColumn("root", F.coalesce("root", "b"))
     members = materialise(members, "members")
     apart = members.groupBy("set").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("set")
-    rest = members.join(apart, "set", "left_semi").groupBy("set").applyInArrow(left_over(percent), "a long, b long")
+    live = materialise(members.join(apart, "set", "left_semi"), "live")
+    short = texts_of(live.select("b"), own).mapInArrow(profiles(k, SHORT), "doc long, size long, profile binary").groupBy("doc").agg(F.max("profile").alias("profile"))
+    rest = live.join(short, live["b"] == short["doc"]).select("set", "b", "n", "root", "profile").groupBy("set").applyInArrow(left_over(percent), "a long, b long")
     more = linked(rest, own, k, percent)
     roots = materialise(components(links.unionByName(more)), "roots")
     sizes = indexed.filter("kind = 0").mapInArrow(unpack_sizes, "_id long, n_shingles long")

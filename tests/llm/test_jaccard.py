@@ -97,3 +97,27 @@ def test_components_of_a_long_path_and_a_star(spark):
     star = [(100, i) for i in range(101, 200)]
     r = {x["node"]: x["root"] for x in components(spark.createDataFrame(path + star, "a long, b long")).collect()}
     assert all(r[i] == 0 for i in range(61)) and all(r[i] == 100 for i in range(100, 200))
+
+
+def test_left_over_pairs_miss_none():
+    import pyarrow as pa
+
+    from sylva.llm.hashing import U
+
+    r = np.random.default_rng(5)
+    base = np.unique(r.integers(0, 1 << 62, 90).astype(np.uint64) << U(2))
+    sets = [np.unique(np.concatenate((r.permutation(base)[: r.integers(70, 91)], r.integers(0, 1 << 62, r.integers(0, 9)).astype(np.uint64) << U(2)))) for _ in range(60)]
+    rows = []
+    for i, s in enumerate(sets):
+        bits = min(5 if i % 2 else 4, max(1, (len(s) // 4).bit_length()))
+        counts = np.bincount((s >> U(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.uint8)
+        rows.append((i, i // 2, len(s), counts.tobytes() if i % 7 else None))
+    table = pa.table({n: pa.array([x[k] for x in rows]) for k, n in enumerate(("b", "root", "n", "profile"))})
+    got = jj.left_over(90)(table)
+    pairs = set(zip(got["a"].to_pylist(), got["b"].to_pylist()))
+    assert len(pairs) == got.num_rows
+    for a in range(60):
+        for b in range(a + 1, 60):
+            common = len(np.intersect1d(sets[a], sets[b]))
+            if a // 2 != b // 2 and 100 * common >= 90 * (len(sets[a]) + len(sets[b]) - common):
+                assert (a, b) in pairs
