@@ -30,10 +30,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sylva.llm.hashing import U, mix, runs, utf8, words
-from sylva.runtime import materialise, partitions, release
+from sylva.runtime import give_back, materialise, partitions, release
 
-BLOCK_BYTES = 16 << 20
-WAVE_BYTES = 64 << 20
+BLOCK_BYTES = 4 << 20
+WAVE_BYTES = 96 << 20
 END, START = mix(np.array([1, 2], U))
 FIRST, SECOND = (mix(np.array([3, 4], U)) | U(1)).tolist()
 
@@ -60,9 +60,10 @@ def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, pa.schema([("id", ids.type)])) as writer:
                 writer.write_batch(pa.RecordBatch.from_arrays([ids.slice(a, b - a)], names=["id"]))
-            parts = [sink.getvalue().to_pybytes(), held[a:b].tobytes(), np.concatenate(counts).astype(np.int32).tobytes(), distinct.tobytes(), local.astype(np.int32).tobytes()]
+            parts = [sink.getvalue().to_pybytes(), held[a:b].tobytes(), np.concatenate(counts).astype(np.int32).tobytes(), distinct.tobytes(), pa.compress(local.astype(np.int32).tobytes(), codec="zstd", asbytes=True)]
             yield pa.RecordBatch.from_arrays([pa.array([task << 32 | n], pa.int64()), *(pa.array([p], pa.binary()) for p in parts)], names=["block", *COLUMNS])
             n += 1
+    give_back()
 
 
 COLUMNS = ("ids", "held", "counts", "distinct", "local")
@@ -76,9 +77,11 @@ class Block:
         self.ids = view("ids", np.uint8)
         self.held = view("held", np.uint8).astype(bool)
         self.counts = view("counts", np.int32).astype(np.int64)
-        self.distinct, self.local = view("distinct", U), view("local", np.int32)
+        self.distinct = view("distinct", U)
         self.ends = np.cumsum(self.counts)
-        self.doc = np.repeat(np.arange(len(self.counts)), self.counts)
+        packed = batch.column(batch.schema.get_field_index("local"))[i].as_buffer()
+        self.local = np.frombuffer(pa.decompress(packed, 4 * int(self.ends[-1]), codec="zstd"), np.int32)
+        self.doc = np.repeat(np.arange(len(self.counts), dtype=np.int32), self.counts)
 
     def pairs(self) -> np.ndarray:
         """A hash of each token and the one before it."""
@@ -108,6 +111,7 @@ def count_tokens(bits: int):
                 b = Block(batch, i)
                 learned = np.bincount(b.local[~b.held[b.doc]], minlength=len(b.distinct))
                 yield by_range(bits, b.distinct, b.block, learned, U)
+        give_back()
 
     return apply
 
@@ -119,6 +123,7 @@ def count_pairs(bits: int):
                 b = Block(batch, i)
                 keys, n = np.unique(b.pairs()[~b.held[b.doc]], return_counts=True)
                 yield by_range(bits, keys, b.block, n, np.uint32)
+        give_back()
 
     return apply
 
@@ -224,11 +229,12 @@ def score_wave(bits: int, wave: tuple[int, int], held, facts: dict, first: bool,
                     [pa.array(np.full(len(b.counts), b.block)), pa.array(np.arange(len(b.counts))), ids, pa.array(b.held), pa.array(b.counts), pa.array(known), pa.array(plain), pa.array(score)],
                     names=["_block", "_row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"],
                 )
+        give_back()
 
     return apply
 
 
-def score_texts(docs: DataFrame, held_out: Column, text: str = "text", id_column: str = "doc_id", base: float = 1.5, weight: float = 30.0, bits_per_event: int = 10, wave_bytes: int = WAVE_BYTES) -> DataFrame:
+def score_texts(docs: DataFrame, held_out: Column, text: str = "text", id_column: str = "doc_id", base: float = 1.5, weight: float = 30.0, bits_per_event: int = 8, wave_bytes: int = WAVE_BYTES) -> DataFrame:
     """Score every row of docs by a model of the rows that are not held out.
 
     Returns (doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score). base: of the logarithm of counts;
@@ -239,7 +245,7 @@ def score_texts(docs: DataFrame, held_out: Column, text: str = "text", id_column
     rows = docs.select(F.col(id_column).alias("doc_id"), held_out.alias("held"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     blocks = materialise(rows.mapInArrow(encode, BLOCKS), "encoded")
     n_blocks = blocks.count()
-    bits = max(1, (max(partitions(spark), 2 * n_blocks, 2) - 1).bit_length())
+    bits = max(1, (max(partitions(spark), n_blocks, 2) - 1).bit_length())
     totals = materialise(blocks.mapInArrow(count_tokens(bits), ASKED).groupBy("range").applyInArrow(add_tokens, "block long, range long, totals binary, n long, v long"), "totals")
     facts = totals.groupBy("range").agg(F.max("n").alias("n"), F.max("v").alias("v")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first().asDict()
     facts["docs"] = rows.filter(~F.col("held")).count()
