@@ -15,16 +15,17 @@ from sylva.llm.language_model import fold, score_texts
 from sylva.llm.quality import quality
 from sylva.llm.repeats import remove_repeats
 from sylva.llm.sentencepiece_codec import round_trip
+from sylva.llm.session import prepare
 from sylva.llm.token_counts import token_counts
 from sylva.llm.toxicity import toxicity
 from sylva.llm.warc import read_warc, write_warc
-from sylva.runtime import materialise, scratch, ship
+from sylva.runtime import materialise, scratch
 
 TOKEN_LIMIT = 4096
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
