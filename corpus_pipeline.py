@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from sylva.llm import queries as llm
 from sylva.llm.decontamination import without_leaks
 from sylva.llm.jaccard_join import BROADCAST_IDS, jaccard_components
-from sylva.llm.quality import quality
+from sylva.llm.quality import kept_documents
 from sylva.llm.repeats import remove_repeats
 from sylva.llm.sentencepiece_codec import encode_texts
-from sylva.runtime import materialise, ship
+from sylva.llm.session import prepare
+from sylva.runtime import materialise
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Near copies share four fifths of their five-word shingles.
@@ -24,13 +25,13 @@ SHINGLE, PERCENT = 5, 80
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    ship(spark)
-    return quality(docs, keep=COLUMNS, settle=materialise, settle_rows=False).filter("kept").select(*COLUMNS)
+    prepare(spark)
+    return kept_documents(docs.select(*COLUMNS), materialise)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group that n-gram Jaccard links connect."""
-    ship(spark)
+    prepare(spark)
     groups = jaccard_components(docs, SHINGLE, PERCENT)
     gone = materialise(groups.filter("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
@@ -39,7 +40,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the byte strings that a document with a smaller id has too; texts that were all repeats go."""
-    ship(spark)
+    prepare(spark)
     left = remove_repeats(docs.select(*COLUMNS), kept_text=True)
     left = left.filter((F.col("n_removed") == 0) | (F.length(F.trim("kept_text")) > 0))
     changed = F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("kept_text").cast("long"))
@@ -48,13 +49,13 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of the benchmark."""
-    ship(spark)
+    prepare(spark)
     return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their token ids, and whether the backend agreed with the library on them."""
-    ship(spark)
+    prepare(spark)
     return encode_texts(docs.select(*COLUMNS)).withColumn("n_tokens", F.size("token_ids").cast("long"))
 
 

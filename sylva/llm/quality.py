@@ -90,7 +90,7 @@ def base_failed(stats: str, rules: Rules) -> Column:
     return (s["n_words"] < rules.min_words) | (100 * s["n_repeat_words"] > rules.max_repeat_percent * s["n_words"])
 
 
-def host_rates(judged: DataFrame, rules: Rules) -> DataFrame:
+def host_rates(judged: DataFrame, rules: Rules, settle: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
     """(host, n, failed, rate, spread, rejected) from rows of (host, failed boolean).
 
     Prior: a beta distribution with the mean and variance of the hosts' raw rates, each host weighing the same,
@@ -98,6 +98,8 @@ def host_rates(judged: DataFrame, rules: Rules) -> DataFrame:
     combined before the shuffle, so a host with a third of all documents costs no more than another.
     """
     hosts = judged.groupBy("host").agg(F.count("*").alias("n"), F.count_if("failed").alias("failed")).withColumn("raw", F.col("failed") / F.col("n"))
+    if settle is not None:  # read twice: for the prior and for the rates
+        hosts = settle(hosts, "host-counts")
     m, v, noise = F.avg("raw"), F.var_pop("raw"), F.avg(F.lit(1.0) / F.col("n"))
     prior = hosts.agg(m.alias("m"), v.alias("v"), noise.alias("noise")).select(
         F.coalesce(F.col("m"), F.lit(0.0)).alias("m"), F.greatest(F.coalesce(F.col("v") - F.col("m") * (1 - F.col("m")) * F.col("noise"), F.lit(0.0)), F.lit(1e-9)).alias("v")
@@ -121,17 +123,26 @@ def host_verdicts(judged: DataFrame, rejected: DataFrame, rules: Rules) -> DataF
     return salted.join(spread, (salted["host"] == spread["_host"]) & (salted["_s"] == spread["_salt"]), "left").drop("_host", "_salt", "_s")
 
 
-def quality(docs: DataFrame, rules: Rules = Rules(), host: str = "source", keep: tuple[str, ...] = ("doc_id",), settle: Callable[[DataFrame, str], DataFrame] | None = None, settle_rows: bool = True) -> DataFrame:
+def kept_documents(docs: DataFrame, settle: Callable[[DataFrame, str], DataFrame], rules: Rules = Rules(), text: str = "text", host: str = "source") -> DataFrame:
+    """The rows of docs that quality() keeps. Only what the verdict needs is worked out, once for the hosts and once for the rows."""
+    w = F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), SPACE + "+"), "")
+    failed = let(w, lambda w: F.when(F.size(w) < rules.min_words, F.lit(True)).otherwise(100 * repeat_words(w) > rules.max_repeat_percent * F.size(w)))
+    rejected = host_rates(docs.select(F.col(host).alias("host"), failed.alias("failed")), rules, settle).filter("rejected")
+    bad = settle(rejected.select(F.col("host").alias("_host")), "hosts")
+    few = bad.limit(rules.broadcast_hosts + 1).count() <= rules.broadcast_hosts
+    return docs.filter(~failed).join(F.broadcast(bad) if few else bad, F.col(host) == F.col("_host"), "left_anti").select(*docs.columns)
+
+
+def quality(docs: DataFrame, rules: Rules = Rules(), host: str = "source", keep: tuple[str, ...] = ("doc_id",), settle: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
     """The columns `keep` of every document, its statistics, base_failed, host_rejected and kept.
 
-    settle(df, label), where given, writes the rejected hosts, and with settle_rows also the judged rows, so that the
-    second pass doesn't judge texts again. Leave settle_rows out where `keep` holds the texts.
+    settle(df, label), where given, writes the judged rows once so that the second pass doesn't read texts again.
     """
     judged = document_stats(docs).withColumn("failed", base_failed("_stats", rules)).withColumn("host", F.col(host))
     judged = judged.select(*keep, *[F.col("_stats")[s].alias(s) for s in STATS], "failed", "host")
-    if settle is not None and settle_rows:
+    if settle is not None:
         judged = settle(judged, "quality")
-    rejected = host_rates(judged.select("host", "failed"), rules).filter("rejected")
+    rejected = host_rates(judged.select("host", "failed"), rules, settle).filter("rejected")
     if settle is not None:
         rejected = settle(rejected.select("host"), "hosts")
     out = host_verdicts(judged, rejected, rules)
