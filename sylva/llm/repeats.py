@@ -4,7 +4,7 @@ A byte is removed if a string of `match` bytes that covers it also starts in a d
 are judged on the input. The work is exact and goes in four steps, none of which gathers an unbounded group:
 
 1. Exact copies are found by a digest of the whole text; all but the smallest id go as a whole.
-2. The other texts are packed into blocks. Every string of `match` bytes has an owner: the smallest hash among the
+2. The other texts are packed into compressed blocks. Every string of `match` bytes has an owner: the smallest hash among the
    24-byte grams in it. Equal strings have equal owners, so strings whose owner stands once in the corpus are unique.
    Owners are counted, once per block each, to find those that stand twice or more.
 3. Only the pieces of text with a shared owner are sent to the shard of that owner. Equal pieces are collapsed; the
@@ -33,11 +33,11 @@ from pyspark.sql import types as T
 from sylva.llm.copies import mark_copies
 from sylva.llm.hashing import EXACT, U, mix, prefix_sums, range_hash, runs, utf8
 from sylva.llm.suffix_array import common_prefixes, merge_shards, smallest, suffix_array
-from sylva.runtime import materialise, partitions, release
+from sylva.runtime import give_back, materialise, partitions, release
 
 MATCH, GRAM = 50, 24
 #: Bytes of text in a block at most, but for a document that is longer.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 2 << 20
 #: Pieces of one owner in one shard, about; owners with more are spread.
 SPREAD = 2048
 SHIFT = 24
@@ -102,9 +102,10 @@ def pack(block_bytes: int):
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, rest.schema) as writer:
                     writer.write_batch(rest.slice(a, b - a))
-                row = [[task << 32 | n], [ids[a:b].tobytes()], [(offsets[a : b + 1] - offsets[a]).tobytes()], [raw[offsets[a] : offsets[b]].tobytes()], [sink.getvalue().to_pybytes()]]
+                row = [[task << 32 | n], [ids[a:b].tobytes()], [(offsets[a : b + 1] - offsets[a]).tobytes()], [pa.compress(raw[offsets[a] : offsets[b]].tobytes(), codec="zstd", asbytes=True)], [sink.getvalue().to_pybytes()]]
                 n += 1
                 yield pa.RecordBatch.from_arrays([pa.array(row[0], pa.int64()), *(pa.array(x, pa.binary()) for x in row[1:])], names=["block", "ids", "offsets", "raw", "rest"])
+        give_back()
 
     return apply
 
@@ -112,12 +113,14 @@ def pack(block_bytes: int):
 def unpack(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, int]]:
     for i in range(batch.num_rows):
         view = lambda c, kind, i=i: np.frombuffer(batch.column(c)[i].as_buffer(), kind)
-        yield batch.column(0)[i].as_py(), view(1, np.int64), view(2, np.int64), view(3, np.uint8), i
+        offsets = view(2, np.int64)
+        raw = np.frombuffer(pa.decompress(batch.column(3)[i].as_buffer(), int(offsets[-1]), codec="zstd"), np.uint8) if offsets[-1] else np.zeros(0, np.uint8)
+        yield batch.column(0)[i].as_py(), view(1, np.int64), offsets, raw, i
 
 
 def bits_for(spark, blocks: int) -> int:
-    """log2 of the number of owner ranges: four for each block, so that a shard holds less than a block."""
-    return max(1, (max(partitions(spark), 4 * blocks, 2) - 1).bit_length())
+    """log2 of the number of owner ranges: one for each block at least, so that a shard holds less than a block."""
+    return max(1, (max(partitions(spark), blocks, 2) - 1).bit_length())
 
 
 def ask(bits: int):
@@ -128,6 +131,7 @@ def ask(bits: int):
             for block, _, offsets, raw, _ in unpack(batch):
                 found, n = np.unique(owners(raw, offsets)[0], return_counts=True)
                 yield slices(bits, found, block, [(found >> U(32 - bits)).astype(np.uint32), np.minimum(n, 255).astype(np.uint8)])
+        give_back()
 
     return apply
 
@@ -188,11 +192,12 @@ def pieces(bits: int):
                 edges = np.append(heads, len(shard))
                 own = (own >> U(32 - bits)).astype(np.uint32)
                 cut = lambda c, e=edges: pa.array([c[e[k] : e[k + 1]].tobytes() for k in range(len(e) - 1)], pa.binary())
-                text = pa.array([gather(raw, first[a:b], size[a:b]).tobytes() for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())
+                text = pa.array([pa.compress(gather(raw, first[a:b], size[a:b]).tobytes(), codec="zstd", asbytes=True) for a, b in zip(edges[:-1], edges[1:], strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(shard[heads], pa.int64()), pa.array(np.full(len(heads), block), pa.int64()), cut(own), cut(doc), cut(first.astype(np.int32)), cut(size.astype(np.int32)), text],
                     names=["shard", "block", "owners", "docs", "firsts", "sizes", "text"],
                 )
+        give_back()
 
     return apply
 
@@ -231,7 +236,8 @@ def decide(bits: int):
     def apply(table: pa.Table) -> pa.Table:
         spread = bool(table["shard"][0].as_py() & ((1 << SHIFT) - 1))
         join = lambda c, kind: np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table[c]])
-        own, doc, first, size, text = join("owners", np.uint32), join("docs", np.int64), join("firsts", np.int32).astype(np.int64), join("sizes", np.int32).astype(np.int64), join("text", np.uint8)
+        own, doc, first, size = join("owners", np.uint32), join("docs", np.int64), join("firsts", np.int32).astype(np.int64), join("sizes", np.int32).astype(np.int64)
+        text = np.concatenate([np.frombuffer(pa.decompress(x.as_buffer(), int(np.frombuffer(n.as_buffer(), np.int32).sum()), codec="zstd"), np.uint8) for x, n in zip(table["text"], table["sizes"], strict=True)])
         per = [len(x.as_buffer()) // 4 for x in table["owners"]]
         block = np.repeat(table["block"].to_numpy(), per)
         ends = np.cumsum(size)
@@ -351,6 +357,7 @@ def cut_out(names: list[str], text: bool):
                 columns += [pa.array(np.diff(offsets), pa.int64()), pa.array(removed, pa.int64()), pa.array(spans, pa.int64())]
                 columns.append(pa.array([k.tobytes().decode("utf-8", "ignore") for k in kept] if text else [hashlib.sha256(k.tobytes()).hexdigest() for k in kept], pa.string()))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        give_back()
 
     return apply
 
