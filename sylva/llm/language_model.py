@@ -258,9 +258,14 @@ def score_texts(docs: DataFrame, held_out: Column, text: str = "text", id_column
         ready = materialise(ready, "ready")
     parts = []
     for i, (a, b) in enumerate(waves):
-        held = {r["range"]: r["region"] for r in regions.filter(F.col("range").between(a, b - 1)).collect()}  # wave_bytes at most
-        shared = spark.sparkContext.broadcast(([sizes.get(k, 1) for k in range(a, b)], b"".join(bytes(held.get(k, b"\0" * 8)) for k in range(a, b))))
-        del held
+        words_of = np.array([sizes.get(k, 1) for k in range(a, b)], np.int64)
+        place = 8 * (np.cumsum(words_of) - words_of)
+        filter_ = bytearray(8 * int(words_of.sum()))  # filled row by row, so that the wave is held once
+        for r in regions.filter(F.col("range").between(a, b - 1)).toLocalIterator():
+            first = int(place[r["range"] - a])
+            filter_[first : first + len(r["region"])] = r["region"]
+        shared = spark.sparkContext.broadcast((words_of.tolist(), filter_))
+        del filter_
         one = ready.mapInArrow(score_wave(bits, (a, b), shared, facts, i == 0, base, weight), f"_block long, _row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
         parts.append(materialise(one, f"wave-{i}"))
         shared.unpersist()
