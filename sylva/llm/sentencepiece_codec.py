@@ -16,19 +16,27 @@ from __future__ import annotations
 
 import os
 import re
+import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from sylva.llm.protobuf import Model, read_model
 from sylva.llm.token_counts import MARK, cuts_are_safe, resolve
+from sylva.runtime import give_back
 
 #: Texts encoded in one call, by bytes.
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 19
 LONGEST_RUN = 40
+#: Pre-tokens kept in one worker's memory before it is emptied.
+MEMORY = 400_000
+#: No merge crosses these cuts in a model that cuts_are_safe() accepts.
+RUNS = re.compile(f"[ {MARK}]{{2,}}").findall
+CUT = f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+"
 
 
 def merges_of(model: Model) -> list[tuple[str, str]]:
@@ -60,8 +68,8 @@ def backend(model: Model):
         steps.append(normalizers.Replace(" ", MARK))
     if steps:
         core.normalizer = normalizers.Sequence(steps)
-    if cuts_are_safe(model):  # no merge crosses these cuts, so words can be cached by the library
-        core.pre_tokenizer = pre_tokenizers.Split(Regex(f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+"), "isolated")
+    if cuts_are_safe(model):
+        core.pre_tokenizer = pre_tokenizers.Split(Regex(CUT), "isolated")
     undo = [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
     if model.add_dummy_prefix:
         undo.append(decoders.Strip(" ", 1, 0))
@@ -69,6 +77,26 @@ def backend(model: Model):
     return core
 
 
+class Words(dict):
+    """Ids of pre-tokens. Those that are new are encoded together by the backend, on several threads.
+
+    before: what stands before each key in the text that is encoded.
+    """
+
+    def __init__(self, core, before: str = "") -> None:
+        super().__init__()
+        self.core, self.before = core, before
+
+    def ids(self, cuts: list[list[str]]) -> list[list[int]]:
+        new = [p for p in set(chain.from_iterable(cuts)) if p not in self]
+        if len(self) + len(new) > MEMORY:
+            self.clear()
+            new = list(set(chain.from_iterable(cuts)))
+        self.update(zip(new, (e.ids for e in self.core.encode_batch_fast([self.before + p for p in new], add_special_tokens=False)), strict=True))
+        get = self.__getitem__
+        return [list(chain.from_iterable(map(get, c))) for c in cuts]
+
+
 class Codec:
     """Both libraries on one model file, made once per worker process."""
 
@@ -79,25 +107,75 @@ class Codec:
         with open(path, "rb") as file:
             data = file.read()
         self.threads = threads
-        self.core = backend(read_model(data))
+        model = read_model(data)
+        self.core = backend(model)
         self.library = sentencepiece.SentencePieceProcessor(model_proto=data)
         runs = [f"a{' ' * n}b" for n in range(1, LONGEST_RUN + 1)] + [" " * n for n in range(1, LONGEST_RUN + 1)] + [f"a{' ' * n}\n" for n in range(1, LONGEST_RUN + 1)]
         ours, theirs = self.core.encode_batch_fast(runs, add_special_tokens=False), self.library.encode(runs)
-        bad = {1 + i % LONGEST_RUN for i, (a, b) in enumerate(zip(ours, theirs, strict=True)) if a.ids != b}
-        lengths = "|".join(f"(?<![ {MARK}])[ {MARK}]{{{n}}}(?![ {MARK}])" for n in sorted(bad)) + ("|" if bad else "")
-        self.odd = re.compile(f"{lengths}[ {MARK}]{{{LONGEST_RUN - 1},}}").search
+        self.bad = {1 + i % LONGEST_RUN for i, (a, b) in enumerate(zip(ours, theirs, strict=True)) if a.ids != b}
+        self.words = self.strings = None
+        self.first = MARK if model.add_dummy_prefix else ""
+        if cuts_are_safe(model):  # texts are cut first, so that each distinct pre-token is encoded once
+            self.core.normalizer = self.core.pre_tokenizer = None
+            self.words, self.spaced = Words(self.core), Words(self.core, MARK)
+            self.cut = re.compile(CUT).findall
+            self.strings = [bytes([int(p.text[1:-1], 16)]) if p.kind == Model.BYTE else p.text.replace(MARK, " ").encode() for p in model.pieces]
+            self.table = np.array(self.strings, object)
+
+    def odd(self, text: str) -> bool:
+        """Whether the text has a run of spaces of a length for which the merges tie."""
+        if "  " not in text and MARK not in text:
+            return False
+        return any(len(run) in self.bad or len(run) >= LONGEST_RUN - 1 for run in RUNS(text))
+
+    def own_ids(self, texts: list[str]) -> list[list[int]]:
+        """Ids by the backend."""
+        if self.words is None:
+            return [e.ids for e in self.core.encode_batch_fast(texts, add_special_tokens=False)]
+        out: list[list[int]] = [[]] * len(texts)
+        # Where single spaces part the words, each word and the mark before it is a pre-token, or several with line feeds between.
+        easy = [i for i, t in enumerate(texts) if t and self.first and t[0] != " " and "  " not in t and MARK not in t]
+        rest = [i for i in set(range(len(texts))).difference(easy) if texts[i]]
+        for chosen, words, cuts in ((easy, self.spaced, [texts[i].split(" ") for i in easy]), (rest, self.words, [self.cut(self.first + texts[i].replace(" ", MARK)) for i in rest])):
+            for i, ids in zip(chosen, words.ids(cuts), strict=True):
+                out[i] = ids
+        return out
 
     def encode(self, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
         """(ids, whether the backend agreed with the library) of each text."""
         theirs = self.library.encode(texts, num_threads=self.threads)
-        plain = [i for i, t in enumerate(texts) if self.odd(t) is None]
+        plain = [i for i, t in enumerate(texts) if not self.odd(t)]
         agree = [True] * len(texts)
-        for i, e in zip(plain, self.core.encode_batch_fast([texts[i] for i in plain], add_special_tokens=False), strict=True):
-            agree[i] = e.ids == theirs[i]
+        for i, ids in zip(plain, self.own_ids([texts[i] for i in plain]), strict=True):
+            agree[i] = ids == theirs[i]
         return theirs, agree
 
+    def decode_flat(self, column: pa.ListArray) -> list[str]:
+        """Texts of a list column of ids, without making Python numbers of them."""
+        if self.strings is None:
+            return self.decode([i or [] for i in column.to_pylist()])
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))
+        flat = column.flatten().to_numpy(zero_copy_only=False)
+        parts, out, first = self.table[flat].tolist(), [], 0
+        for last in ends.tolist():
+            try:
+                out.append(b"".join(parts[first:last]).decode().removeprefix(" " if self.first else ""))
+            except UnicodeDecodeError:
+                out.append(self.core.decode(flat[first:last].tolist(), skip_special_tokens=False))
+            first = last
+        return out
+
     def decode(self, ids: list[list[int]]) -> list[str]:
-        return self.core.decode_batch(ids, skip_special_tokens=False)
+        """Texts of ids. Pieces are joined as bytes; what isn't UTF-8 then goes to the backend's decoder."""
+        if self.strings is None:
+            return self.core.decode_batch(ids, skip_special_tokens=False)
+        out = []
+        for one in ids:
+            try:
+                out.append(b"".join(map(self.strings.__getitem__, one)).decode().removeprefix(" " if self.first else ""))
+            except UnicodeDecodeError:
+                out.append(self.core.decode(one, skip_special_tokens=False))
+        return out
 
 
 _CODECS: dict[tuple[str, int], Codec] = {}
@@ -132,7 +210,7 @@ def encode_texts(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", text:
             for a, b in portions([len(t) for t in texts]):
                 ids, agree = both.encode(texts[a:b])
                 part = batch.slice(a, b - a)
-                flat = np.fromiter((x for i in ids for x in i), np.int32, sum(map(len, ids)))
+                flat = np.fromiter(chain.from_iterable(ids), np.int32, sum(map(len, ids)))
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(agree, pa.bool_())], names=[*names, "token_ids", "parity"])
 
@@ -150,20 +228,30 @@ def decode_texts(encoded: DataFrame, vocabulary: str = "piece_bpe_32k.model", id
         for batch in batches:
             for a in range(0, batch.num_rows, 64):
                 part = batch.slice(a, 64)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(both.decode([i or [] for i in part.column(at).to_pylist()]), pa.string())], names=[*names, "decoded"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(both.decode_flat(part.column(at)), pa.string())], names=[*names, "decoded"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
     return encoded.mapInArrow(apply, f"{kinds}, decoded string")
 
 
-def round_trip(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", text: str = "text", id_column: str = "doc_id") -> DataFrame:
-    """(id, n_tokens, parity, round_trip, ids_crc32) of each row: encoded, decoded and compared."""
-    encoded = encode_texts(docs.select(id_column, F.coalesce(F.col(text), F.lit("")).alias("text")), vocabulary)
-    back = decode_texts(encoded, vocabulary)
-    return back.select(
-        id_column,
-        F.size("token_ids").cast("long").alias("n_tokens"),
-        "parity",
-        (F.col("decoded") == F.regexp_replace("text", MARK, " ")).alias("round_trip"),
-        F.xxhash64("token_ids").alias("ids_hash"),
-    )
+def round_trip(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", text: str = "text", id_column: str = "doc_id", threads: int = 2) -> DataFrame:
+    """(id, n_tokens, parity, round_trip, ids_crc32) of each row: encoded, decoded and compared in one pass of one worker.
+
+    ids_crc32: of the ids as 32-bit little-endian numbers.
+    """
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        both = codec(resolve(vocabulary), threads)
+        for batch in batches:
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for a, b in portions([len(t) for t in texts]):
+                ids, agree = both.encode(texts[a:b])
+                back = both.decode(ids)
+                same = [x == t.replace(MARK, " ") for x, t in zip(back, texts[a:b], strict=True)]
+                sums = [zlib.crc32(np.array(i, "<i4").tobytes()) for i in ids]
+                columns = [pa.array([len(i) for i in ids], pa.int64()), pa.array(agree, pa.bool_()), pa.array(same, pa.bool_()), pa.array(sums, pa.int64())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *columns], names=[id_column, "n_tokens", "parity", "round_trip", "ids_crc32"])
+        give_back()
+
+    kind = docs.schema[id_column].dataType.simpleString()
+    return docs.select(id_column, text).mapInArrow(apply, f"`{id_column}` {kind}, n_tokens long, parity boolean, round_trip boolean, ids_crc32 long")

@@ -61,4 +61,6 @@ def test_tables(spark):
     assert got == sorted(((i, len((t or "").encode()), len(library.encode(t or ""))) for i, t in rows), key=str)
     trip = sc.round_trip(df).collect()
     assert len(trip) == len(rows) and all(r["parity"] and r["round_trip"] for r in trip)
+    back = sc.decode_texts(sc.encode_texts(df.drop("n_tokens"))).collect()
+    assert all(r["decoded"] == (r["text"] or "").replace("▁", " ") and r["parity"] and r["token_ids"] == library.encode(r["text"] or "") for r in back)
     assert tc.token_counts(df.limit(0), "piece_bpe_32k.model").count() == 0 and sc.round_trip(df.limit(0)).count() == 0
