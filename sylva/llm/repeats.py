@@ -263,7 +263,7 @@ def decide(bits: int):
             piece = np.repeat(np.arange(len(chosen)), length)
             valid = np.arange(len(data)) + MATCH <= stop[piece]
             owner_of = least[chosen][piece]
-            sa = suffix_array(data, MATCH)
+            sa = suffix_array(data)  # in full order, which common_prefixes() needs
             classes = np.cumsum(common_prefixes(data, sa, MATCH) < MATCH)
             ok = valid[sa]
             spots, classes = sa[ok], classes[ok]

@@ -69,6 +69,17 @@ def test_against_every_string(spark, spread, block):
         assert rows_of(out) == brute(rows)
 
 
+def test_ends_of_shared_passages_in_large_portions(spark):
+    ship(spark)
+    r = random.Random(0)
+    say = lambda n: "".join(r.choice("abc") for _ in range(n))
+    shared = [say(r.randrange(57, 90)) for _ in range(200)]
+    rows = [(i, "".join(r.choice(shared) + say(r.randrange(1, 30)) for _ in range(20))) for i in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    out = repeats.remove_repeats(df).withColumnRenamed("n_bytes", "n_bytes_out")
+    assert rows_of(out) == brute(rows)
+
+
 def test_empty_and_extra_columns(spark):
     ship(spark)
     empty = spark.createDataFrame([], SCHEMA)
