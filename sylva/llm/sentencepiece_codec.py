@@ -4,9 +4,12 @@ The model file's protocol buffer is parsed here and rebuilt as a tokenizers pipe
 extra spaces, leading mark, spaces to marks), pieces with their scores (unigram) or merges ordered by score (BPE),
 byte fallback, and the decoder that undoes it all. Texts are encoded in batches on several threads.
 
+In a model that cuts_are_safe() accepts, Python does the normaliser's
+work (spaces to marks, the leading mark) and cuts the texts, so that each distinct pre-token is encoded once; runs of
+marks, whose merges tie in the model, are merged here in sentencepiece's order, which the tokenizers library lacks.
+
 Parity is verified against the sentencepiece library for every text; where the two differ, the library's ids are
-returned and the row says so. Runs of spaces whose merges tie in the model are known to differ; the lengths that do
-are found when the backend is built, and such texts go to the library at once.
+returned and the row says so.
 
 Nulls and empty texts have no ids. Decoding gives back the text, but for U+2581, which the model can't tell from a
 space. Repeated rows count each; extra columns are kept or ignored as the caller selects. Empty tables work.
@@ -18,6 +21,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from heapq import heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -31,11 +35,9 @@ from sylva.runtime import give_back
 
 #: Texts encoded in one call, by bytes.
 BATCH_BYTES = 1 << 19
-LONGEST_RUN = 40
 #: Pre-tokens kept in one worker's memory before it is emptied.
 MEMORY = 400_000
 #: No merge crosses these cuts in a model that cuts_are_safe() accepts.
-RUNS = re.compile(f"[ {MARK}]{{2,}}").findall
 CUT = f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+"
 
 
@@ -77,22 +79,66 @@ def backend(model: Model):
     return core
 
 
+def by_score(model: Model):
+    """Ids of a text by sentencepiece's own order of BPE merges: the best score first, among equal scores the leftmost."""
+    place = {p.text: i for i, p in enumerate(model.pieces) if p.kind == Model.NORMAL}
+    score = {t: model.pieces[i].score for t, i in place.items()}
+    byte = {int(p.text[1:-1], 16): i for i, p in enumerate(model.pieces) if p.kind == Model.BYTE}
+
+    def ids(text: str) -> list[int]:
+        parts, n = list(text), len(text)
+        before, after = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap: list[tuple[float, int, int, int]] = []
+
+        def offer(a: int, b: int) -> None:
+            if a >= 0 and b < n and (made := parts[a] + parts[b]) in score:
+                heappush(heap, (-score[made], a, b, len(made)))
+
+        for i in range(n - 1):
+            offer(i, i + 1)
+        while heap:
+            _, a, b, size = heappop(heap)
+            if not parts[a] or not parts[b] or len(parts[a]) + len(parts[b]) != size:
+                continue  # one of the two has been merged since
+            parts[a] += parts[b]
+            parts[b] = ""
+            after[a] = after[b]
+            if after[b] < n:
+                before[after[b]] = a
+            offer(before[a], a)
+            offer(a, after[a])
+        out: list[int] = []
+        for part in filter(None, parts):
+            if part in place:
+                out.append(place[part])
+            elif model.byte_fallback:
+                out += [byte[x] for x in part.encode()]
+            elif out[-1:] != [model.unk_id]:
+                out.append(model.unk_id)
+        return out
+
+    return ids
+
+
 class Words(dict):
     """Ids of pre-tokens. Those that are new are encoded together by the backend, on several threads.
 
-    before: what stands before each key in the text that is encoded.
+    before: what stands before each key in the text that is encoded. tied: encodes pre-tokens with a run of marks.
     """
 
-    def __init__(self, core, before: str = "") -> None:
+    def __init__(self, core, tied, before: str = "") -> None:
         super().__init__()
-        self.core, self.before = core, before
+        self.core, self.tied, self.before = core, tied, before
 
     def ids(self, cuts: list[list[str]]) -> list[list[int]]:
         new = [p for p in set(chain.from_iterable(cuts)) if p not in self]
         if len(self) + len(new) > MEMORY:
             self.clear()
             new = list(set(chain.from_iterable(cuts)))
-        self.update(zip(new, (e.ids for e in self.core.encode_batch_fast([self.before + p for p in new], add_special_tokens=False)), strict=True))
+        runs = [p for p in new if (self.before + p).startswith(MARK * 2)]
+        self.update((p, self.tied(self.before + p)) for p in runs)
+        plain = [p for p in new if p not in self]
+        self.update(zip(plain, (e.ids for e in self.core.encode_batch_fast([self.before + p for p in plain], add_special_tokens=False)), strict=True))
         get = self.__getitem__
         return [list(chain.from_iterable(map(get, c))) for c in cuts]
 
@@ -110,24 +156,16 @@ class Codec:
         model = read_model(data)
         self.core = backend(model)
         self.library = sentencepiece.SentencePieceProcessor(model_proto=data)
-        runs = [f"a{' ' * n}b" for n in range(1, LONGEST_RUN + 1)] + [" " * n for n in range(1, LONGEST_RUN + 1)] + [f"a{' ' * n}\n" for n in range(1, LONGEST_RUN + 1)]
-        ours, theirs = self.core.encode_batch_fast(runs, add_special_tokens=False), self.library.encode(runs)
-        self.bad = {1 + i % LONGEST_RUN for i, (a, b) in enumerate(zip(ours, theirs, strict=True)) if a.ids != b}
         self.words = self.strings = None
         self.first = MARK if model.add_dummy_prefix else ""
         if cuts_are_safe(model):  # texts are cut first, so that each distinct pre-token is encoded once
             self.core.normalizer = self.core.pre_tokenizer = None
-            self.words, self.spaced = Words(self.core), Words(self.core, MARK)
+            tied = by_score(model)
+            self.words, self.spaced = Words(self.core, tied), Words(self.core, tied, MARK)
             self.cut = re.compile(CUT).findall
             self.strings = [bytes([int(p.text[1:-1], 16)]) if p.kind == Model.BYTE else p.text.replace(MARK, " ").encode() for p in model.pieces]
             self.table = np.array(self.strings, object)
 
-    def odd(self, text: str) -> bool:
-        """Whether the text has a run of spaces of a length for which the merges tie."""
-        if "  " not in text and MARK not in text:
-            return False
-        return any(len(run) in self.bad or len(run) >= LONGEST_RUN - 1 for run in RUNS(text))
-
     def own_ids(self, texts: list[str]) -> list[list[int]]:
         """Ids by the backend."""
         if self.words is None:
@@ -144,10 +182,8 @@ class Codec:
     def encode(self, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
         """(ids, whether the backend agreed with the library) of each text."""
         theirs = self.library.encode(texts, num_threads=self.threads)
-        plain = [i for i, t in enumerate(texts) if not self.odd(t)]
-        agree = [True] * len(texts)
-        for i, ids in zip(plain, self.own_ids([texts[i] for i in plain]), strict=True):
-            agree[i] = ids == theirs[i]
+        ours = self.own_ids(texts)
+        agree = [a == b for a, b in zip(ours, theirs, strict=True)]
         return theirs, agree
 
     def decode_flat(self, column: pa.ListArray) -> list[str]:

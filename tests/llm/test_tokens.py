@@ -39,6 +39,14 @@ def test_json_vocabularies(name):
         assert tc.counter(path)(text) == len(whole.encode(text, add_special_tokens=False).ids)
 
 
+@pytest.mark.parametrize("text", ["x" + " " * 17 + "y", " " * 100, "a\n" + " " * 39 + "b c", "▁" * 16 + "the"])
+def test_texts_with_long_runs_are_compared(text, monkeypatch):
+    codec = sc.Codec(MODEL, 2)
+    assert codec.own_ids([text]) == [library.encode(text)]
+    monkeypatch.setattr(codec, "own_ids", lambda texts: [[0]] * len(texts))
+    assert codec.encode([text]) == ([library.encode(text)], [False])
+
+
 def test_unsafe_cuts_are_told():
     model = read_model(open(MODEL, "rb").read())
     assert tc.cuts_are_safe(model) and len(model.pieces) == 32000 and model.byte_fallback
