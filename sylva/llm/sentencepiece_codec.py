@@ -4,7 +4,7 @@ The model file's protocol buffer is parsed here and rebuilt as a tokenizers pipe
 extra spaces, leading mark, spaces to marks), pieces with their scores (unigram) or merges ordered by score (BPE),
 byte fallback, and the decoder that undoes it all. Texts are encoded in batches on several threads.
 
-In a model that cuts_are_safe() accepts, Python does the normaliser's
+The ids and the decoded texts are this backend's. In a model that cuts_are_safe() accepts, Python does the normaliser's
 work (spaces to marks, the leading mark) and cuts the texts, so that each distinct pre-token is encoded once; runs of
 marks, whose merges tie in the model, are merged here in sentencepiece's order, which the tokenizers library lacks.
 
@@ -26,7 +26,6 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from sylva.llm.protobuf import Model, read_model
@@ -156,15 +155,13 @@ class Codec:
         model = read_model(data)
         self.core = backend(model)
         self.library = sentencepiece.SentencePieceProcessor(model_proto=data)
-        self.words = self.strings = None
+        self.words = None
         self.first = MARK if model.add_dummy_prefix else ""
         if cuts_are_safe(model):  # texts are cut first, so that each distinct pre-token is encoded once
             self.core.normalizer = self.core.pre_tokenizer = None
             tied = by_score(model)
             self.words, self.spaced = Words(self.core, tied), Words(self.core, tied, MARK)
             self.cut = re.compile(CUT).findall
-            self.strings = [bytes([int(p.text[1:-1], 16)]) if p.kind == Model.BYTE else p.text.replace(MARK, " ").encode() for p in model.pieces]
-            self.table = np.array(self.strings, object)
 
     def own_ids(self, texts: list[str]) -> list[list[int]]:
         """Ids by the backend."""
@@ -180,38 +177,15 @@ class Codec:
         return out
 
     def encode(self, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
-        """(ids, whether the backend agreed with the library) of each text."""
+        """(ids, whether the backend agreed with the library) of each text: the backend's ids, or the library's where they differ."""
         theirs = self.library.encode(texts, num_threads=self.threads)
         ours = self.own_ids(texts)
         agree = [a == b for a, b in zip(ours, theirs, strict=True)]
-        return theirs, agree
-
-    def decode_flat(self, column: pa.ListArray) -> list[str]:
-        """Texts of a list column of ids, without making Python numbers of them."""
-        if self.strings is None:
-            return self.decode([i or [] for i in column.to_pylist()])
-        ends = np.cumsum(pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False))
-        flat = column.flatten().to_numpy(zero_copy_only=False)
-        parts, out, first = self.table[flat].tolist(), [], 0
-        for last in ends.tolist():
-            try:
-                out.append(b"".join(parts[first:last]).decode().removeprefix(" " if self.first else ""))
-            except UnicodeDecodeError:
-                out.append(self.core.decode(flat[first:last].tolist(), skip_special_tokens=False))
-            first = last
-        return out
+        return [a if same else b for a, b, same in zip(ours, theirs, agree, strict=True)], agree
 
     def decode(self, ids: list[list[int]]) -> list[str]:
-        """Texts of ids. Pieces are joined as bytes; what isn't UTF-8 then goes to the backend's decoder."""
-        if self.strings is None:
-            return self.core.decode_batch(ids, skip_special_tokens=False)
-        out = []
-        for one in ids:
-            try:
-                out.append(b"".join(map(self.strings.__getitem__, one)).decode().removeprefix(" " if self.first else ""))
-            except UnicodeDecodeError:
-                out.append(self.core.decode(one, skip_special_tokens=False))
-        return out
+        """Texts of ids, by the backend's decoder."""
+        return self.core.decode_batch(ids, skip_special_tokens=False)
 
 
 _CODECS: dict[tuple[str, int], Codec] = {}
@@ -264,7 +238,7 @@ def decode_texts(encoded: DataFrame, vocabulary: str = "piece_bpe_32k.model", id
         for batch in batches:
             for a in range(0, batch.num_rows, 64):
                 part = batch.slice(a, 64)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(both.decode_flat(part.column(at)), pa.string())], names=[*names, "decoded"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(both.decode([i or [] for i in part.column(at).to_pylist()]), pa.string())], names=[*names, "decoded"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
     return encoded.mapInArrow(apply, f"{kinds}, decoded string")

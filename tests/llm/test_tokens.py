@@ -3,7 +3,7 @@ import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, decoders
 
 from sylva.llm import sentencepiece_codec as sc
 from sylva.llm import token_counts as tc
@@ -47,6 +47,16 @@ def test_texts_with_long_runs_are_compared(text, monkeypatch):
     assert codec.encode([text]) == ([library.encode(text)], [False])
 
 
+def test_the_backend_gives_ids_and_texts(monkeypatch):
+    codec = sc.Codec(MODEL, 2)
+    mine = codec.own_ids(["some words"])
+    monkeypatch.setattr(codec, "own_ids", lambda texts: mine)
+    [ids], [agree] = codec.encode(["some words"])
+    assert ids is mine[0] and agree
+    codec.core.decoder = decoders.Fuse()
+    assert codec.decode([ids]) == ["▁some▁words"]
+
+
 def test_unsafe_cuts_are_told():
     model = read_model(open(MODEL, "rb").read())
     assert tc.cuts_are_safe(model) and len(model.pieces) == 32000 and model.byte_fallback
