@@ -1,3 +1,4 @@
+import inspect
 import math
 import random
 import re
@@ -74,3 +75,14 @@ def test_filter_never_reads_low_and_seldom_high():
     other = np.setdiff1d(r.integers(0, 1 << 32, 20000).astype(np.uint32), keys)
     unseen = lm.read_levels(other, np.zeros(len(other), np.int64), np.zeros(1, np.int64), np.array([len(region)]), region)
     assert (unseen > 0).mean() < 0.06
+
+
+def test_false_membership_at_the_production_value():
+    bits = inspect.signature(lm.score_texts).parameters["bits_per_event"].default
+    r = np.random.default_rng(4)
+    keys = r.permutation(1 << 20)[:200_000].astype(np.uint32)
+    region = np.zeros(-(-100_000 * bits // 64), np.uint64)
+    word, mask = lm.probe(keys[:100_000], 1, len(region))
+    np.bitwise_or.at(region, word, mask)
+    unseen = lm.read_levels(keys[100_000:], np.zeros(100_000, np.int64), np.zeros(1, np.int64), np.array([len(region)]), region)
+    assert (unseen > 0).mean() < 0.025
