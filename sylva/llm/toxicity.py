@@ -29,6 +29,8 @@ from sylva.llm.hashing import LOWER, U, mix, prefix_sums, range_hash, runs, utf8
 
 BITS = 20
 RANGE = 14
+#: Ids of toxic rows that are broadcast at most; more are met by a shuffle.
+BROADCAST_IDS = 200_000
 #: Lengths, in bytes, of the beginnings of letter runs that are features beside the whole runs.
 STEMS = (4, 5, 6, 7, 8, 10)
 IS_LETTER = np.zeros(256, bool)
@@ -179,8 +181,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, how: Fit = Fi
         return rows.select(F.col("doc_id").alias(id_column), "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     prior = min(max(share, 1e-4), 0.9)
     toxic_ids = learned.filter("toxic = 1").select(F.col(id_column).alias("_id")).distinct()
-    bounded = toxic_ids.orderBy(F.xxhash64("_id"), "_id").limit(how.positives)  # bounded, so it may be broadcast
-    train = rows.filter(~F.col("held_out")).join(F.broadcast(bounded), F.col("doc_id") == F.col("_id"), "left").select("text", F.col("_id").isNotNull().alias("toxic"), "doc_id")
+    few = toxic_ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    train = rows.filter(~F.col("held_out")).join(F.broadcast(toxic_ids) if few else toxic_ids, F.col("doc_id") == F.col("_id"), "left").select("text", F.col("_id").isNotNull().alias("toxic"), "doc_id")
     counts, n, n_toxic = np.zeros((2, 1 << BITS), np.int64), 0, 0
     for row in train.select("text", "toxic").mapInArrow(tally, TALLIES).groupBy("part").applyInArrow(add_up, TALLIES).toLocalIterator():  # 2**BITS counters, whatever the input is
         counts[:, row["part"] << RANGE : (row["part"] + 1) << RANGE] = np.frombuffer(row["counts"], np.int64).reshape(2, -1)
@@ -189,14 +191,15 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, how: Fit = Fi
         return rows.select(F.col("doc_id").alias(id_column), "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     chosen = choose(counts, n, n_toxic, how.features)
     shared = spark.sparkContext.broadcast(chosen)
-    rate = min(1.0, 1.2 * how.unlabelled / n)
-    sample = train.filter(F.col("toxic") | (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(rate * (1 << 30))))
+    hashed = lambda share, *seed: F.pmod(F.xxhash64("doc_id", *map(F.lit, seed)), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30))
+    sample = train.filter(F.when(F.col("toxic"), hashed(how.positives / n_toxic, 1)).otherwise(hashed(1.2 * how.unlabelled / n)))
     found = sample.select("text", "toxic").mapInArrow(picked(shared), "found binary, toxic boolean").limit(how.positives + 2 * how.unlabelled).collect()
     as_rows = lambda keep: [np.frombuffer(r["found"], np.int16) for r in found if keep(r)]
     positive = as_rows(lambda r: r["toxic"])
     others = as_rows(lambda r: not r["toxic"])
     # The unlabelled sample holds positives in the share that they have among all training texts.
-    mixed = others + positive[: round(len(others) * n_toxic / max(n - n_toxic, 1))]
+    share_of = round(len(others) * n_toxic / max(n - n_toxic, 1))
+    mixed = others + [positive[i % len(positive)] for i in range(share_of if positive else 0)]
     weights, bias = fit(positive, mixed, prior, max(int(chosen.max()) + 1, 1), how)
     model = spark.sparkContext.broadcast((chosen, weights, bias))
     out = rows.mapInArrow(scored(model), f"doc_id {kind}, held_out boolean, score double")

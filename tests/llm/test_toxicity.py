@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from sylva.llm import toxicity as tx
@@ -36,6 +37,19 @@ def test_held_out_accuracy(spark):
     assert np.mean([r["predicted"] == truth[r["doc_id"]] for r in held]) > 0.95
 
 
+@pytest.mark.parametrize("most", [tx.BROADCAST_IDS, 10])
+def test_counts_hold_every_toxic_row(spark, monkeypatch, most):
+    ship(spark)
+    docs, labels, _ = corpus()
+    monkeypatch.setattr(tx, "BROADCAST_IDS", most)
+    seen, choose = [], tx.choose
+    monkeypatch.setattr(tx, "choose", lambda counts, n, n_toxic, features: seen.append((n, n_toxic)) or choose(counts, n, n_toxic, features))
+    df = spark.createDataFrame(docs, "doc_id long, text string, toxic string").repartition(4)
+    how = tx.Fit(positives=20, unlabelled=400)
+    assert tx.toxicity(df, spark.createDataFrame(labels, "doc_id long, toxic int"), F.lit(False), how).count() == len(docs)
+    assert seen == [(len(docs), len({i for i, toxic in labels if i is not None and toxic == 1}))]
+
+
 def test_without_labels_and_empty(spark):
     ship(spark)
     docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
