@@ -80,13 +80,48 @@ def test_blocks_find_all_within_the_radius(spark):
     from pyspark.sql import functions as F
 
     r = random.Random(3)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
     pairs = []
     for _ in range(300):
-        x = r.getrandbits(64)
-        y = x
-        for b in r.sample(range(64), r.randrange(24)):
+        x = y = r.getrandbits(64)
+        for b in r.sample(range(64), r.randrange(dc.RADIUS + 1)):
             y ^= 1 << b
-        pairs.append((x - (1 << 64) if x >> 63 else x, y - (1 << 64) if y >> 63 else y))
+        pairs.append((signed(x), signed(y)))
     df = spark.createDataFrame(pairs, "x long, y long")
-    shared = F.arrays_overlap(dc.block_keys(F.col("x"), 23), dc.block_keys(F.col("y"), 23))
-    assert df.filter(shared).count() == len(pairs)
+    shared = lambda a, b: F.arrays_overlap(dc.block_keys(a, dc.WINDOW_FLIPS), dc.block_keys(b, dc.ITEM_FLIPS))
+    assert df.filter(shared(F.col("x"), F.col("y"))).count() == len(pairs)
+    others = spark.createDataFrame([(signed(r.getrandbits(64)), signed(r.getrandbits(64))) for _ in range(2000)], "x long, y long")
+    assert others.filter(shared(F.col("x"), F.col("y"))).count() < 0.1 * 2000  # the blocks prune
+
+
+def test_recall_at_the_limit(spark):
+    """Windows whose similarity is just above the limit: candidates come from fingerprints alone, so a few may be missed."""
+    ship(spark)
+    r = random.Random(4)
+    say = lambda k: [f"w{r.randrange(10**6)}" for _ in range(k)]
+    items = [(i, say(r.randrange(25, 60))) for i in range(40)]
+    docs = []
+    true = set()
+    for d in range(400):
+        item, t = r.choice(items)
+        t = list(t)
+        if d % 2:
+            t[r.randrange(3)] = "edited"
+        else:
+            t = t[1 + d % 3 :] + say(1 + d % 3)
+        docs.append((d, " ".join(say(5) + t + say(5))))
+        true |= set(brute_leaks(docs[-1:], [(item, " ".join(items[item][1]))]))
+    found = {(x["doc_id"], x["item_id"]) for x in dc.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item_id long, text string")).collect()}
+    assert len(true) > 300 and found <= true and len(found) >= 0.97 * len(true)
+
+
+def test_clashing_names_and_long_texts(spark):
+    ship(spark)
+    item = "one two three four five six seven eight"
+    names = ("_row", "w", "n_words", "length", "k", "start", "window", "print", "item_id", "similarity", "key")
+    long = "filler " * 8_000 + item + " end" * 8_000
+    docs = spark.createDataFrame([(1, long, *[5] * len(names)), (2, "clean " * 20, *[6] * len(names)), (1, long, *[5] * len(names))], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    items = spark.createDataFrame([(7, item, 1, "x")], "item_id long, text string, length int, hashes string")
+    assert [(x["doc_id"], x["item_id"], x["start"], x["similarity"]) for x in dc.leaks(docs, items).collect()] == [(1, 7, 8_000, 1.0)]
+    left = dc.without_leaks(docs, items)
+    assert left.columns == docs.columns and [r["doc_id"] for r in left.collect()] == [2]
