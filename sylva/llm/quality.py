@@ -5,7 +5,9 @@ failure rate is shrunk towards the rate of all hosts by a beta prior that the ho
 moments), and hosts whose shrunk rate is surely above a limit are rejected with all their documents.
 
 Nulls: a null text has no words and fails; a null host is a host of its own that is never rejected. Repeated rows
-count each. An empty table gives an empty result.
+count each. Texts of any length are judged whole, in the same way at every length. Extra columns may have any names: a
+column that quality() is asked to keep and that has the name of one of its results is left out; kept_documents() keeps
+all columns as they are. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,8 +21,8 @@ from pyspark.sql import functions as F
 #: The word, line and symbol patterns of the contract.
 SPACE = r"[\x20\x09-\x0D]"
 SYMBOLS = "#*$%&|<>"
-#: Bits of a packed window that hold its position; longer texts take the wide form.
-POSITION_BITS = 20
+#: Parts into which rows of one host are dealt where the verdicts are too many to broadcast.
+SALTS = 64
 STATS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -40,16 +42,6 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def flagged_positions(keys: Column, pack: Callable[[Column], Column], at: Callable[[Column], Column]) -> Column:
-    """Sorted positions whose key stands at another position too. keys: sorted values that pack() compares and at() locates."""
-
-    def twin(s: Column, x: Column, i: Column) -> Column:
-        same = lambda j: pack(F.get(s, j)) == pack(x)
-        return ((i > 0) & same(i - 1)) | F.coalesce(same(i + 1), F.lit(False))
-
-    return let(keys, lambda s: F.array_sort(F.transform(F.filter(s, lambda x, i: twin(s, x, i)), at)))
-
-
 def covered(positions: Column, width: int = 3) -> Column:
     """How many words windows of that width at sorted positions cover together."""
     gaps = let(positions, lambda p: F.aggregate(p, F.struct(F.lit(-(1 << 40)).alias("last"), F.lit(0).cast("long").alias("n")), lambda a, x: F.struct(x.cast("long").alias("last"), (a["n"] + F.least(x.cast("long") - a["last"], F.lit(width).cast("long"))).alias("n")))["n"])
@@ -57,22 +49,24 @@ def covered(positions: Column, width: int = 3) -> Column:
 
 
 def repeat_words(w: Column) -> Column:
-    """Words in 3-word windows that stand twice or more in the text, the first one included."""
-    mask = (1 << POSITION_BITS) - 1
-    windows = lambda f: F.transform(F.sequence(F.lit(0), F.size(w) - 3), f)
-    key = lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2))
-    packed = flagged_positions(
-        F.sort_array(windows(lambda i: key(i).bitwiseAND(F.lit(~mask)).bitwiseOR(i.cast("long")))), lambda x: F.shiftright(x, POSITION_BITS), lambda x: x.bitwiseAND(F.lit(mask))
-    )
-    wide = flagged_positions(F.sort_array(windows(lambda i: F.struct(key(i).alias("k"), i.cast("long").alias("p")))), lambda x: x["k"], lambda x: x["p"])
-    return F.when(F.size(w) < 3, F.lit(0).cast("long")).when(F.size(w) <= mask, covered(packed)).otherwise(covered(wide))
+    """Words in 3-word windows that stand twice or more in the text, the first one included.
+
+    Windows are sorted by a hash, then by their words, so that equal ones stand side by side; the words themselves are
+    compared, so that windows of one hash are told apart.
+    """
+    window = lambda i: F.struct(F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)).alias("k"), *[F.get(w, i + j).alias(f"w{j}") for j in range(3)], i.cast("long").alias("p"))
+    equal = lambda x, y: (x["k"] == y["k"]) & (x["w0"] == y["w0"]) & (x["w1"] == y["w1"]) & (x["w2"] == y["w2"])
+    twin = lambda s, x, i: ((i > 0) & equal(F.get(s, i - 1), x)) | F.coalesce(equal(F.get(s, i + 1), x), F.lit(False))
+    windows = F.sort_array(F.transform(F.sequence(F.lit(0), F.size(w) - 3), window))
+    found = let(windows, lambda s: F.array_sort(F.transform(F.filter(s, lambda x, i: twin(s, x, i)), lambda x: x["p"])))
+    return F.when(F.size(w) < 3, F.lit(0).cast("long")).otherwise(covered(found))
 
 
-def document_stats(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with the columns of STATS added (as a struct column _stats), without a shuffle."""
-    t = F.coalesce(F.col(text), F.lit(""))
+def document_stats(text: Column) -> Column:
+    """The numbers of STATS as a struct."""
+    t = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, " \t\x0b\x0c\r", "")) > 0)
-    stats = let(
+    return let(
         F.array_remove(F.split(t, SPACE + "+"), ""),
         lambda w: F.struct(
             F.size(w).cast("long").alias("n_words"),
@@ -82,20 +76,19 @@ def document_stats(docs: DataFrame, text: str = "text") -> DataFrame:
             repeat_words(w).alias("n_repeat_words"),
         ),
     )
-    return docs.withColumn("_stats", stats)
 
 
-def base_failed(stats: str, rules: Rules) -> Column:
-    s = F.col(stats)
+def base_failed(s: Column, rules: Rules) -> Column:
     return (s["n_words"] < rules.min_words) | (100 * s["n_repeat_words"] > rules.max_repeat_percent * s["n_words"])
 
 
 def host_rates(judged: DataFrame, rules: Rules, settle: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
-    """(host, n, failed, rate, spread, rejected) from rows of (host, failed boolean).
+    """(host, n, n_failed, host_rate, host_spread, rejected) from rows of (host, failed boolean).
 
     Prior: a beta distribution with the mean and variance of the hosts' raw rates, each host weighing the same,
     less the variance that counting alone gives. The strength is kept within 2 and 1e6. One row for each host is
-    combined before the shuffle, so a host with a third of all documents costs no more than another.
+    combined before the shuffle, so a host with a third of all documents costs no more than another. The prior is one
+    row of three numbers, which the driver reads.
     """
     hosts = judged.groupBy("host").agg(F.count("*").alias("n"), F.count_if("failed").alias("failed")).withColumn("raw", F.col("failed") / F.col("n"))
     if settle is not None:  # read twice: for the prior and for the rates
@@ -104,47 +97,46 @@ def host_rates(judged: DataFrame, rules: Rules, settle: Callable[[DataFrame, str
     prior = hosts.agg(m.alias("m"), v.alias("v"), noise.alias("noise")).select(
         F.coalesce(F.col("m"), F.lit(0.0)).alias("m"), F.greatest(F.coalesce(F.col("v") - F.col("m") * (1 - F.col("m")) * F.col("noise"), F.lit(0.0)), F.lit(1e-9)).alias("v")
     )
-    prior = prior.select("m", F.least(F.greatest(F.col("m") * (1 - F.col("m")) / F.col("v") - 1, F.lit(2.0)), F.lit(1e6)).alias("strength"))
-    a, b = F.col("m") * F.col("strength") + F.col("failed"), (1 - F.col("m")) * F.col("strength") + F.col("n") - F.col("failed")
+    mean, strength = prior.select("m", F.least(F.greatest(F.col("m") * (1 - F.col("m")) / F.col("v") - 1, F.lit(2.0)), F.lit(1e6)).alias("strength")).first()
+    a, b = mean * F.lit(strength) + F.col("failed"), (1 - mean) * F.lit(strength) + F.col("n") - F.col("failed")
     rate, spread = a / (a + b), F.sqrt(a * b / (a + b) / (a + b) / (a + b + 1))
     verdict = F.col("host").isNotNull() & (rate - rules.surety * spread > rules.host_limit)
-    return hosts.crossJoin(F.broadcast(prior)).select("host", "n", F.col("failed").alias("n_failed"), rate.alias("host_rate"), spread.alias("host_spread"), verdict.alias("rejected"))
+    return hosts.select("host", "n", F.col("failed").alias("n_failed"), rate.alias("host_rate"), spread.alias("host_spread"), verdict.alias("rejected"))
 
 
-def host_verdicts(judged: DataFrame, rejected: DataFrame, rules: Rules) -> DataFrame:
-    """judged with host_rejected. The rejected hosts are counted; few are broadcast, many are joined by host with a salt."""
+def meet_hosts(rows: DataFrame, host: Column, spread_by: Column, rejected: DataFrame, rules: Rules, how: str) -> DataFrame:
+    """rows joined with the rejected hosts (a column host), which are counted: few are broadcast, many are joined by host with a salt."""
     bad = rejected.select(F.col("host").alias("_host"), F.lit(True).alias("host_rejected"))
-    few = bad.limit(rules.broadcast_hosts + 1).count() <= rules.broadcast_hosts
-    if few:
-        return judged.join(F.broadcast(bad), judged["host"] == bad["_host"], "left").drop("_host")
-    salts = 64
-    spread = bad.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    salted = judged.withColumn("_s", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
-    return salted.join(spread, (salted["host"] == spread["_host"]) & (salted["_s"] == spread["_salt"]), "left").drop("_host", "_salt", "_s")
+    if bad.limit(rules.broadcast_hosts + 1).count() <= rules.broadcast_hosts:
+        return rows.join(F.broadcast(bad), host == bad["_host"], how)
+    dealt = bad.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.join(dealt, (host == dealt["_host"]) & (F.pmod(spread_by, F.lit(SALTS)).cast("int") == dealt["_salt"]), how)
 
 
 def kept_documents(docs: DataFrame, settle: Callable[[DataFrame, str], DataFrame], rules: Rules = Rules(), text: str = "text", host: str = "source") -> DataFrame:
     """The rows of docs that quality() keeps. Only what the verdict needs is worked out, once for the hosts and once for the rows."""
-    w = F.array_remove(F.split(F.coalesce(F.col(text), F.lit("")), SPACE + "+"), "")
-    failed = let(w, lambda w: F.when(F.size(w) < rules.min_words, F.lit(True)).otherwise(100 * repeat_words(w) > rules.max_repeat_percent * F.size(w)))
-    rejected = host_rates(docs.select(F.col(host).alias("host"), failed.alias("failed")), rules, settle).filter("rejected")
-    bad = settle(rejected.select(F.col("host").alias("_host")), "hosts")
-    few = bad.limit(rules.broadcast_hosts + 1).count() <= rules.broadcast_hosts
-    return docs.filter(~failed).join(F.broadcast(bad) if few else bad, F.col(host) == F.col("_host"), "left_anti").select(*docs.columns)
+    t = F.coalesce(docs[text], F.lit(""))
+    failed = let(F.array_remove(F.split(t, SPACE + "+"), ""), lambda w: F.when(F.size(w) < rules.min_words, F.lit(True)).otherwise(100 * repeat_words(w) > rules.max_repeat_percent * F.size(w)))
+    rejected = host_rates(docs.select(docs[host].alias("host"), failed.alias("failed")), rules, settle).filter("rejected")
+    return meet_hosts(docs.filter(~failed), docs[host], F.xxhash64(t), settle(rejected.select("host"), "hosts"), rules, "left_anti")
+
+
+RESULTS = (*STATS, "base_failed", "kept", "host_rejected")
 
 
-def quality(docs: DataFrame, rules: Rules = Rules(), host: str = "source", keep: tuple[str, ...] = ("doc_id",), settle: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
-    """The columns `keep` of every document, its statistics, base_failed, host_rejected and kept.
+def quality(docs: DataFrame, rules: Rules = Rules(), host: str = "source", keep: tuple[str, ...] = ("doc_id",), settle: Callable[[DataFrame, str], DataFrame] | None = None, text: str = "text") -> DataFrame:
+    """The columns `keep` of every document, its statistics, base_failed, kept and host_rejected.
 
     settle(df, label), where given, writes the judged rows once so that the second pass doesn't read texts again.
     """
-    judged = document_stats(docs).withColumn("failed", base_failed("_stats", rules)).withColumn("host", F.col(host))
-    judged = judged.select(*keep, *[F.col("_stats")[s].alias(s) for s in STATS], "failed", "host")
+    own = [c for c in keep if c not in RESULTS]
+    judged = docs.select(F.struct(*[docs[c].alias(f"c{i}") for i, c in enumerate(own)], F.lit(0).alias("_")).alias("own"), document_stats(docs[text]).alias("stats"), docs[host].alias("host"))
+    judged = judged.withColumn("failed", base_failed(F.col("stats"), rules))
     if settle is not None:
         judged = settle(judged, "quality")
     rejected = host_rates(judged.select("host", "failed"), rules, settle).filter("rejected")
     if settle is not None:
         rejected = settle(rejected.select("host"), "hosts")
-    out = host_verdicts(judged, rejected, rules)
+    out = meet_hosts(judged, judged["host"], F.xxhash64("own", "stats"), rejected, rules, "left")
     gone = F.coalesce(F.col("host_rejected"), F.lit(False))
-    return out.select(*keep, *STATS, F.col("failed").alias("base_failed"), (~F.col("failed") & ~gone).alias("kept"), gone.alias("host_rejected"))
+    return out.select(*[F.col(f"own.c{i}").alias(c) for i, c in enumerate(own)], *[F.col(f"stats.{x}").alias(x) for x in STATS], F.col("failed").alias("base_failed"), (~F.col("failed") & ~gone).alias("kept"), gone.alias("host_rejected"))

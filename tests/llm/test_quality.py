@@ -46,8 +46,8 @@ def test_statistics(spark):
         assert r["kept"] == (not r["base_failed"] and not r["host_rejected"])
 
 
-def test_wide_positions(spark, monkeypatch):
-    monkeypatch.setattr(q, "POSITION_BITS", 4)
+def test_windows_of_one_hash_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(q.F, "xxhash64", lambda *words: q.F.length(words[0]).cast("long"))
     rows = [(i, t, "h") for i, t in enumerate(corpus()[:40])]
     out = q.quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
     assert {r["doc_id"]: r["n_repeat_words"] for r in out} == {i: stats(t)[4] for i, t, _ in rows}
@@ -72,3 +72,16 @@ def test_many_hosts_by_shuffle(spark):
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, text string, source string, host string, failed int, _stats int")
     assert q.quality(df, settle=materialise).count() == 0
+
+
+def test_clashing_names_and_long_texts(spark):
+    names = ("n_words", "stats", "own", "host", "failed", "_host", "_stats", "host_rejected", "kept", "_salt")
+    long = " ".join(f"w{i}" for i in range(40_000)) + " one two three one two three"
+    rows = [(1, long, "a", *["x"] * len(names)), (2, "short", "b", *["y"] * len(names)), (3, long, None, *["z"] * len(names))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    for rules in (q.Rules(), q.Rules(broadcast_hosts=0)):
+        out = q.quality(df, rules, keep=("doc_id", "host", "_host", "n_words"), settle=materialise)
+        assert out.columns == ["doc_id", "host", "_host", *q.STATS, "base_failed", "kept", "host_rejected"]
+        assert {(r["doc_id"], r["host"], r["n_words"], r["n_repeat_words"], r["kept"]) for r in out.collect()} == {(1, "x", 40_006, 6, True), (2, "y", 1, 0, False), (3, "z", 40_006, 6, True)}
+        left = q.kept_documents(df, materialise, rules)
+        assert left.columns == df.columns and sorted(r["doc_id"] for r in left.collect()) == [1, 3]
