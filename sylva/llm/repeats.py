@@ -11,11 +11,15 @@ are judged on the input. The work is exact and goes in four steps, none of which
    rest gets a suffix array by Larsson-Sadakane refinement and common prefixes by Kasai. Runs with a common prefix
    of `match` bytes are one string, whose smallest document keeps it.
 4. Owners that stand very often are spread over several shards by the content of the piece. What such a shard can't
-   decide alone (the first of each string in it) is merged across shards by binary search in sorted fingerprints.
+   decide alone (the first of each string in it) is merged across shards by binary search in the sorted strings.
+
+Hashes only bring equal strings together; whatever decides on a removal compares bytes: suffixes by their order and
+common prefixes, equal pieces byte by byte, strings of several shards as a whole.
 
 The removed ranges go back to the blocks, which cut them out. Ties: rows that share an id never remove from each
-other. Nulls: a null text is empty; a row with a null id is left whole and is no source. Extra columns are carried
-along whatever their names. An empty table gives an empty result.
+other. Nulls: a null text is empty; a row with a null id is left whole and is no source. A text of any length is a block
+of its own at most. Extra columns are carried along whatever their names, but for those with the name of a result, which
+the result replaces. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -217,6 +221,30 @@ def portions(owner: np.ndarray, length: np.ndarray) -> Iterator[slice]:
 
 FOUND = "kind int, key long, a binary, b binary, c binary, d binary"
 FOUND_ARROW = pa.schema([("kind", pa.int32()), ("key", pa.int64()), *((x, pa.binary()) for x in "abcd")])
+#: A string of MATCH bytes as one value; numpy drops zero bytes at the end of such values, which all have one width.
+STRING = f"S{MATCH}"
+
+
+def by_bytes(content: np.ndarray, text: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(an example of each kind, kind of each piece): pieces are of one kind if their bytes are equal; content: a hash of each."""
+    _, sample, kind = np.unique(content, return_index=True, return_inverse=True)
+    odd = np.flatnonzero(sizes != sizes[sample[kind]])
+    for a, b in runs(np.append(0, np.cumsum(sizes))):
+        like = sample[kind[a:b]]
+        same = sizes[a:b] == sizes[like]
+        length = np.where(same, sizes[a:b], 0)
+        apart = gather(text, starts[a:b], length) != gather(text, starts[like], length)
+        if apart.any():
+            odd = np.union1d(odd, a + np.repeat(np.arange(b - a), length)[apart])
+    if len(odd):  # different pieces of one hash get kinds of their own
+        found: dict[tuple[int, bytes], int] = {}
+        for i in odd:
+            key = (int(kind[i]), text[starts[i] : starts[i] + sizes[i]].tobytes())
+            if key not in found:
+                found[key] = len(sample)
+                sample = np.append(sample, i)
+            kind[i] = found[key]
+    return sample, kind
 
 
 def ranges_by_block(block: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[tuple]:
@@ -248,7 +276,7 @@ def decide(bits: int):
             sums = prefix_sums(text[bounds[a] : bounds[b]], EXACT)
             hashes[a:b] = range_hash(sums, starts[a:b] - bounds[a], ends[a:b] - bounds[a])
         content = mix(hashes + mix(size.astype(U) ^ (own.astype(U) << U(32))))
-        _, sample, kind = np.unique(content, return_index=True, return_inverse=True)
+        sample, kind = by_bytes(content, text, starts, size)
         least = np.full(len(sample), np.iinfo(np.int64).max)
         np.minimum.at(least, kind, doc)
         later = doc > least[kind]  # an equal piece stands in a smaller document
@@ -299,14 +327,16 @@ def decide(bits: int):
                     sums = prefix_sums(data[bounds[a] : bounds[b]], EXACT)
                     prints[lo:hi] = mix(range_hash(sums, open_[lo:hi] - bounds[a], open_[lo:hi] - bounds[a] + MATCH))
             who, off = spread_out(open_)
-            keys = prints[np.searchsorted(open_, base[where[kind[who]]] + off)]
-            order = np.argsort(keys)
-            keys, who, off = keys[order], who[order], off[order]
-            edges = np.searchsorted(keys >> U(64 - bits), np.arange((1 << bits) + 1, dtype=U))
+            place = np.searchsorted(open_, base[where[kind[who]]] + off)
+            order = np.argsort(prints[place])
+            place, who, off = place[order], who[order], off[order]
+            edges = np.searchsorted(prints[place] >> U(64 - bits), np.arange((1 << bits) + 1, dtype=U))
             for k in np.flatnonzero(np.diff(edges)):
                 s = slice(edges[k], edges[k + 1])
                 w = who[s]
-                rows.append((1, int(k), keys[s].tobytes(), doc[w].tobytes(), block[w].tobytes(), (first[w] + off[s]).astype(np.int64).tobytes()))
+                at = open_[place[s]]
+                strings = gather(data, at, np.full(len(at), MATCH))
+                rows.append((1, int(k), pa.compress(strings.tobytes(), codec="zstd", asbytes=True), doc[w].tobytes(), block[w].tobytes(), (first[w] + off[s]).astype(np.int64).tobytes()))
             return rows
 
         distinct = own[sample]
@@ -326,7 +356,8 @@ def decide(bits: int):
 def merge(table: pa.Table) -> pa.Table:
     """Strings of spread shards, merged by binary search: all but those of the smallest document are removed."""
     read = lambda c, kind: [np.frombuffer(x.as_buffer(), kind) for x in table[c]]
-    keys, docs, blocks, spots = read("a", U), read("b", np.int64), read("c", np.int64), read("d", np.int64)
+    docs, blocks, spots = read("b", np.int64), read("c", np.int64), read("d", np.int64)
+    keys = [np.frombuffer(pa.decompress(x.as_buffer(), MATCH * len(d), codec="zstd"), STRING) for x, d in zip(table["a"], docs, strict=True)]
     all_keys, least = merge_shards([smallest(k, d) for k, d in zip(keys, docs, strict=True)])
     doc, block, spot = (np.concatenate(x) for x in (docs, blocks, spots))
     gone = least[np.searchsorted(all_keys, np.concatenate(keys))] < doc
@@ -369,8 +400,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_column: str = "doc_id
     the digest of the bytes that are left.
     """
     spark = docs.sparkSession
-    rest = [c for c in docs.columns if c != text and c != id_column]
     result = "kept_text" if kept_text else "kept_sha256"
+    rest = [c for c in docs.columns if c not in (text, id_column, "n_bytes", "n_removed", "n_spans", result)]
     names = [id_column, *rest]
     plain = docs.select(F.col(id_column).cast("long").alias("_id"), *[F.col(f"`{c}`").alias(f"_r{i}") for i, c in enumerate(rest)], F.coalesce(F.col(text), F.lit("")).alias("_text"))
     held = ["_id", *[f"_r{i}" for i in range(len(rest))]]

@@ -86,8 +86,31 @@ def test_empty_and_extra_columns(spark):
     assert repeats.remove_repeats(empty.drop("n_bytes", "_text")).count() == 0
     text = "some words that are long enough to be found as one string of fifty bytes"
     df = spark.createDataFrame([(1, text, "x"), (2, text + " more", "y")], "doc_id long, text string, _text string")
+    df = df.withColumns({c: df["doc_id"] for c in ("n_bytes", "n_removed", "kept_sha256", "kept_text", "block", "ids", "_id", "_first")})
     out = {r["doc_id"]: r for r in repeats.remove_repeats(df, kept_text=True).collect()}
     assert out[1]["kept_text"] == text and out[2]["kept_text"] == " more" and out[2]["_text"] == "y"
+    assert (out[2]["n_bytes"], out[2]["n_removed"], out[2]["kept_sha256"], out[2]["_id"], out[2]["block"]) == (len(text) + 5, len(text), 2, 2, 2)
+
+
+def test_pieces_of_one_hash_are_told_apart():
+    r = random.Random(6)
+    pieces = [bytes(r.choice(b"ab") for _ in range(r.randrange(1, 4))) for _ in range(200)]
+    sizes = np.array([len(p) for p in pieces])
+    text, starts = np.frombuffer(b"".join(pieces), np.uint8), np.cumsum(sizes) - sizes
+    for content in (np.zeros(200, np.uint64), (sizes % 2).astype(np.uint64)):
+        sample, kind = repeats.by_bytes(content, text, starts, sizes)
+        assert all(pieces[sample[kind[i]]] == p for i, p in enumerate(pieces)) and len(set(kind.tolist())) == len(set(pieces))
+
+
+def test_strings_are_merged_by_their_bytes(spark):
+    """Fingerprints that collide decide nothing: shards are merged by whole strings, which may end in zero bytes."""
+    ship(spark)
+    r = random.Random(9)
+    shared = ["".join(r.choice("ab\x00") for _ in range(60)) + "\x00" * 5 for _ in range(6)]
+    rows = [(i, "".join(r.choice(shared) + "".join(r.choice("cd") for _ in range(9)) for _ in range(4))) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = repeats.remove_repeats(df, spread=1).withColumnRenamed("n_bytes", "n_bytes_out")
+    assert rows_of(out) == brute(rows)
 
 
 @settings(max_examples=60, deadline=None)
