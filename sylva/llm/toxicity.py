@@ -7,12 +7,15 @@ classifier over the presence of letter runs and their beginnings is fitted in nu
 
 with the logistic loss: the second part is the risk on the negatives, corrected by the class prior; where it falls
 below zero the step goes the other way (Kiryo et al., 2017). The prior is the share of toxic rows among the labelled
-training rows. Features are chosen by counts over all training texts; the fit takes bounded samples.
+training rows. Features are chosen by counts over all training texts. Every training text is dealt to one of several
+classifiers, of Fit.bucket texts each about; each is fitted on its own texts as the unlabelled ones and on the positives,
+and the weights are averaged. The positives are all confirmed ones, or a sample of them: Fit.positives is its size.
 
 Texts alone are scored; labels, language, source and id are no inputs of a score. Nulls: a null text is empty and
 gets the score of a text without features; rows with a null or missing label are unlabelled; a null id counts as the
 empty string for the choice of training rows. If no toxic row may be learned from, every score is 0. Repeated rows
-count each. An empty table gives an empty result.
+count each. Texts of any length are scored whole. Extra columns of either table are ignored whatever their names. An
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,6 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sylva.llm.hashing import LOWER, U, mix, prefix_sums, range_hash, runs, utf8
+from sylva.runtime import materialise, release
 
 BITS = 20
 RANGE = 14
@@ -39,11 +43,14 @@ IS_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 @dataclass(frozen=True)
 class Fit:
-    #: Rows that the fit takes at most: confirmed toxic, and unlabelled.
-    positives: int = 10_000
-    unlabelled: int = 20_000
+    #: Confirmed toxic rows that the fit takes at most; they are sampled by a hash beyond.
+    positives: int = 5_000
+    #: Training texts of one classifier, about.
+    bucket: int = 10_000
     features: int = 4096
     steps: int = 400
+    #: Unlabelled texts, and positives, in one step.
+    batch: int = 2_000
     rate: float = 0.05
     decay: float = 1e-3
     #: How far below zero the corrected risk may fall, and the weight of the step back.
@@ -118,6 +125,8 @@ def choose(counts: np.ndarray, n: int, n_toxic: int, most: int) -> np.ndarray:
 
 
 def picked(chosen):
+    """Batches of (text, toxic, key) with the text replaced by the numbers of its features."""
+
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = utf8(batch.column(0))
@@ -125,7 +134,12 @@ def picked(chosen):
             for a, b, doc, feature in present(raw, offsets, chosen.value):
                 edges = np.searchsorted(doc, np.arange(b - a + 1))
                 out += [feature[x:y].astype(np.int16).tobytes() for x, y in zip(edges[:-1], edges[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), batch.column(1)], names=["found", "toxic"])
+            key = batch.column(2).to_numpy(zero_copy_only=False).view(U)
+            order = np.argsort(key, kind="stable")  # rows that repeat get keys of their own
+            heads = np.flatnonzero(np.concatenate(([True], key[order][1:] != key[order][:-1])))
+            again = np.empty(len(key), U)
+            again[order] = (np.arange(len(key)) - np.repeat(heads, np.diff(np.append(heads, len(key))))).astype(U)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), batch.column(1), pa.array((key + mix(again) * (again > 0)).view(np.int64))], names=["found", "toxic", "key"])
 
     return apply
 
@@ -134,19 +148,29 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, n_features: int, how: Fit) -> tuple[np.ndarray, float]:
-    """Weights and bias that minimise the non-negative risk, by Adam over whole samples."""
+class Rows:
+    """Texts as lists of feature numbers, dealt into batches that take turns."""
+
+    def __init__(self, rows: list[np.ndarray], batch: int) -> None:
+        self.parts = []
+        for a in range(0, max(len(rows), 1), batch):
+            part = rows[a : a + batch]
+            self.parts.append((np.repeat(np.arange(len(part)), [len(r) for r in part]), np.concatenate(part).astype(np.int64) if part else np.zeros(0, np.int64), max(len(part), 1)))
+
+    def at(self, step: int) -> tuple[np.ndarray, np.ndarray, int]:
+        return self.parts[step % len(self.parts)]
 
-    def matrix(rows):
-        return np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.concatenate(rows).astype(np.int64) if rows else np.zeros(0, np.int64), max(len(rows), 1)
 
-    p, u = matrix(positive), matrix(unlabelled)
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, n_features: int, how: Fit) -> tuple[np.ndarray, float]:
+    """Weights and bias that minimise the non-negative risk, by Adam over batches."""
+    positives, others = Rows(positive, how.batch), Rows(unlabelled, how.batch)
     w = np.zeros(n_features + 1)
     w[-1] = np.log(prior / (1 - prior))
     m, v = np.zeros_like(w), np.zeros_like(w)
     margin = lambda x: np.bincount(x[0], w[x[1]], x[2]) + w[-1]
     slope = lambda x, g: np.append(np.bincount(x[1], g[x[0]], n_features), g.sum()) / x[2]
     for step in range(1, how.steps + 1):
+        p, u = positives.at(step), others.at(step)
         fp, fu = margin(p), margin(u)
         negative = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
         g_negative = slope(u, sigmoid(fu)) - prior * slope(p, sigmoid(fp))
@@ -157,6 +181,32 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     return w[:-1], float(w[-1])
 
 
+WEIGHTS = "part long, weights binary, n long"
+
+
+def fit_bucket(positives, prior: float, n_features: int, how: Fit):
+    """The weights of the classifier of one bucket, times its texts."""
+
+    def apply(table: pa.Table) -> pa.Table:
+        order = np.lexsort((table["found"].to_numpy(), table["key"].to_numpy()))  # whatever the order of arrival
+        rows = [np.frombuffer(table["found"][int(i)].as_buffer(), np.int16) for i in order]
+        weights, bias = fit([np.frombuffer(x, np.int16) for x in positives.value], rows, prior, n_features, how)
+        return pa.table({"part": table["bucket"][:1].combine_chunks(), "weights": pa.array([(np.append(weights, bias) * len(rows)).tobytes()], pa.binary()), "n": pa.array([len(rows)], pa.int64())})
+
+    return apply
+
+
+def add_weights(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for all classifiers of a task."""
+    total, n = None, 0
+    for batch in batches:
+        for x, k in zip(batch.column(1), batch.column(2), strict=True):
+            weights = np.frombuffer(x.as_buffer())
+            total, n = weights if total is None else total + weights, n + k.as_py()
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([total.tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["part", "weights", "n"])
+
+
 def scored(model):
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chosen, weights, bias = model.value
@@ -173,6 +223,7 @@ def scored(model):
 def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, how: Fit = Fit(), text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of docs; labels: (id_column, toxic), learned from where held_out is false."""
     spark = docs.sparkSession
+    docs, labels = docs.select(id_column, text), labels.select(id_column, "toxic")
     rows = docs.select(F.col(id_column).alias("doc_id"), held_out.alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     learned = labels.filter(~held_out & F.col(id_column).isNotNull() & F.col("toxic").isNotNull())
     share = learned.agg(F.avg((F.col("toxic") == 1).cast("double"))).first()[0]
@@ -191,16 +242,19 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: Column, how: Fit = Fi
         return rows.select(F.col("doc_id").alias(id_column), "held_out", F.lit(0.0).alias("score"), F.lit(0).alias("predicted"))
     chosen = choose(counts, n, n_toxic, how.features)
     shared = spark.sparkContext.broadcast(chosen)
-    hashed = lambda share, *seed: F.pmod(F.xxhash64("doc_id", *map(F.lit, seed)), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30))
-    sample = train.filter(F.when(F.col("toxic"), hashed(how.positives / n_toxic, 1)).otherwise(hashed(1.2 * how.unlabelled / n)))
-    found = sample.select("text", "toxic").mapInArrow(picked(shared), "found binary, toxic boolean").limit(how.positives + 2 * how.unlabelled).collect()
-    as_rows = lambda keep: [np.frombuffer(r["found"], np.int16) for r in found if keep(r)]
-    positive = as_rows(lambda r: r["toxic"])
-    others = as_rows(lambda r: not r["toxic"])
-    # The unlabelled sample holds positives in the share that they have among all training texts.
-    share_of = round(len(others) * n_toxic / max(n - n_toxic, 1))
-    mixed = others + [positive[i % len(positive)] for i in range(share_of if positive else 0)]
-    weights, bias = fit(positive, mixed, prior, max(int(chosen.max()) + 1, 1), how)
+    found = train.select("text", "toxic", F.xxhash64("doc_id", "text").alias("key")).mapInArrow(picked(shared), "found binary, toxic boolean, key long")
+    found = materialise(found, "features")
+    n_features, buckets = max(int(chosen.max()) + 1, 1), max(1, -(-n // how.bucket))
+    share = min(1.0, how.positives / n_toxic)
+    sample = found.filter(F.col("toxic") & (F.pmod(F.xxhash64("key", F.lit(1)), F.lit(1 << 30)) < int(share * (1 << 30)))).select("key", "found")
+    positives = spark.sparkContext.broadcast([bytes(r["found"]) for r in sample.sort("key", "found").collect()])  # about Fit.positives rows
+    dealt = found.select("found", "key", F.pmod(F.xxhash64("key", F.lit(2)), F.lit(buckets)).alias("bucket"))
+    # One row for each task, then 16 in all reach the driver, however many classifiers there are.
+    sums = dealt.groupBy("bucket").applyInArrow(fit_bucket(positives, prior, n_features, how), WEIGHTS).mapInArrow(add_weights, WEIGHTS)
+    sums = sums.repartition(16, F.xxhash64("weights")).mapInArrow(add_weights, WEIGHTS).sort("weights").collect()
+    mean = sum(np.frombuffer(r["weights"]) for r in sums) / sum(r["n"] for r in sums)
+    weights, bias = mean[:-1], float(mean[-1])
+    release(found)
     model = spark.sparkContext.broadcast((chosen, weights, bias))
     out = rows.mapInArrow(scored(model), f"doc_id {kind}, held_out boolean, score double")
     return out.select(F.col("doc_id").alias(id_column), "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
