@@ -32,7 +32,7 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share: spark.checkpoint.dir where it is set, else one below the working folder.
 
-    The fallback serves tests on one machine; a cluster names its own folder.
+    The fallback serves tests on one machine; on a cluster a folder that isn't named is an error.
     """
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
@@ -41,6 +41,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     base = f"file://{os.path.join(os.environ.get('TMPDIR', '/tmp'), 'sylva-shared')}"
     sc.setCheckpointDir(base)
     return sc.getCheckpointDir()
