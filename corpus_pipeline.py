@@ -1,7 +1,9 @@
 """The corpus pipeline: stages of the training-data operators, each written as Parquet and read by the next.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept. All but the last return
-the columns of documents. Rows that share an id count as one document for the stages that drop documents.
+the columns of documents, and extra columns of docs, whatever their names, are left out. Rows that share an id count as
+one document for the stages that drop documents. Null texts fail the quality rules; texts of any length go through
+whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group that n-gram Jaccard links connect."""
     prepare(spark)
+    docs = docs.select(*COLUMNS)
     groups = jaccard_components(docs, SHINGLE, PERCENT)
     gone = materialise(groups.filter("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
     few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
@@ -50,7 +53,7 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of the benchmark."""
     prepare(spark)
-    return without_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select(*COLUMNS)
+    return without_leaks(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
