@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sylva.functions.geometry import box, clipped, crosses, dbl, grown, inside, merged_name, regex_identifier, stem, touches
+from sylva.functions.geometry import box, box_area, clipped, crosses, dbl, grown, inside, merged_name, regex_identifier, stem, touches
+from sylva.functions.overlay import SLACK, union_area, with_cover
 from sylva.operators.spatial_join import grid_join
 
 
@@ -59,16 +60,32 @@ def within_tile(crowns: DataFrame, tiles: DataFrame, key: str, shrink: float = 1
     return crowns.join(boxes, key).filter(inside(box(), grown(box("t_"), -shrink))).select(*crowns.columns)
 
 
+def outline_cover(crowns: DataFrame, outlines: DataFrame, key: str, cell: float) -> DataFrame:
+    """(key, within, meets) of the crowns whose box touches that of an outline: whether they lie within the union of all outlines, and meet it.
+
+    Where both tables have a column rings, crowns and outlines are polygons (shapes), else boxes. The outlines that touch
+    one crown are gathered, few as they are.
+    """
+    shaped = "rings" in crowns.columns and "rings" in outlines.columns
+    more = ["rings"] if shaped else []
+    met = grid_join(crowns.select(key, "x0", "y0", "x1", "y1", *more), outlines.select("x0", "y0", "x1", "y1", *more), cell)
+    by = [F.col("a_" + k).alias(k) for k in (key, "x0", "y0", "x1", "y1")]
+    if shaped:
+        known = met.groupBy(*by).agg(F.first("a_rings").alias("rings"), F.collect_list("b_rings").alias("covers"))
+        known = with_cover(known.select(key, "rings", "covers"), "rings", "covers")
+        return known.select(key, (F.col("covered") >= F.col("area") * (1 - SLACK)).alias("within"), (F.col("covered") > 0).alias("meets"))
+    known = met.groupBy(*by).agg(F.collect_list(F.struct(*[v.alias(k) for k, v in box("b_").items()])).alias("covers"))
+    return known.select(key, (union_area(F.col("covers"), box()) >= box_area(box()) * (1 - SLACK)).alias("within"), F.lit(True).alias("meets"))
+
+
 def exclude_within(crowns: DataFrame, outlines: DataFrame, key: str, cell: float) -> DataFrame:
-    """Crowns that don't lie within an outline."""
-    held = grid_join(crowns.select(key, "x0", "y0", "x1", "y1"), outlines.select("x0", "y0", "x1", "y1"), cell, condition=inside(box("a_"), box("b_")))
-    return crowns.join(held.select(F.col("a_" + key).alias(key)).distinct(), key, "left_anti")
+    """Crowns that don't lie within the union of the outlines."""
+    return crowns.join(outline_cover(crowns, outlines, key, cell).filter("within").select(key), key, "left_anti")
 
 
 def fuse(forest: DataFrame, urban: DataFrame, outlines: DataFrame, key: str, cell: float) -> DataFrame:
-    """Forest crowns that meet an outline, and urban crowns that don't lie within one."""
-    met = grid_join(forest.select(key, "x0", "y0", "x1", "y1"), outlines.select("x0", "y0", "x1", "y1"), cell, condition=touches(box("a_"), box("b_")))
-    inner = forest.join(met.select(F.col("a_" + key).alias(key)).distinct(), key, "left_semi")
+    """Forest crowns that meet an outline, and urban crowns that don't lie within the union of the outlines."""
+    inner = forest.join(outline_cover(forest, outlines, key, cell).filter("meets").select(key), key, "left_semi")
     return inner.withColumn("model", F.lit("forest")).unionByName(exclude_within(urban, outlines, key, cell).withColumn("model", F.lit("urban")), allowMissingColumns=True)
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sylva.functions.geometry import box, box_area, crosses, dbl, overlap_area, stem, tile_id
+from sylva.functions.geometry import box, box_area, box_ring, crosses, dbl, grown, stem, tile_id
+from sylva.functions.overlay import SLACK, union_area, with_cover
 from sylva.operators.spatial_join import grid_join
 
 
@@ -32,17 +33,24 @@ def tile_grid(images: DataFrame, width: int, height: int, buffer: int, crs: int,
 
 
 def coverage_flags(tiles: DataFrame, outlines: DataFrame, buffer: float, cell: float) -> DataFrame:
-    """tiles with only_forest (outlines cover the buffered tile) and only_urban (none meets it).
+    """tiles with only_forest (the outlines together cover the buffered tile) and only_urban (none meets it).
 
-    Outlines count only if they cross the tile without its buffer. Covering is told by area, exact for outlines that
-    don't overlap each other.
+    Outlines count only if they cross the tile without its buffer. Outlines that overlap or abut are one area. Outlines with
+    a column rings are polygons (shapes), others boxes.
     """
     a, b = box("a_"), box("b_")
     plain = {"x0": a["x0"] + dbl(buffer), "y0": a["y0"] + dbl(buffer), "x1": a["x1"] - dbl(buffer), "y1": a["y1"] - dbl(buffer)}
-    met = grid_join(tiles.select("tile_id", "x0", "y0", "x1", "y1"), outlines.select("x0", "y0", "x1", "y1"), cell, condition=crosses(plain, b))
-    covered = met.groupBy(F.col("a_tile_id").alias("tile_id")).agg(F.sum(overlap_area(a, b)).alias("_covered"))
+    shaped = "rings" in outlines.columns
+    met = grid_join(tiles.select("tile_id", "x0", "y0", "x1", "y1"), outlines.select("x0", "y0", "x1", "y1", *(["rings"] if shaped else [])), cell, condition=crosses(plain, b))
+    by = [F.col("a_tile_id").alias("tile_id"), *[F.col("a_" + k).alias(k) for k in a]]
+    if shaped:  # a polygon may miss the tile that its box meets
+        whole, inner = (met.groupBy(*by).agg(F.collect_list("b_rings").alias("covers")).withColumn("rings", F.array(box_ring(grown(box(), -m)))) for m in (0.0, buffer))
+        covered = with_cover(whole.select("tile_id", "rings", "covers"), "rings", "covers").join(with_cover(inner.select(F.col("tile_id").alias("_id"), "rings", "covers"), "rings", "covers").filter("covered > 0").select("_id"), F.col("tile_id") == F.col("_id"))
+        covered = covered.select("tile_id", F.col("covered").alias("_covered"))
+    else:
+        covered = met.groupBy(*by).agg(F.collect_list(F.struct(*[v.alias(k) for k, v in b.items()])).alias("covers")).select("tile_id", union_area(F.col("covers"), box()).alias("_covered"))
     known = tiles.join(covered, "tile_id", "left")
-    return known.withColumn("only_forest", F.coalesce(F.col("_covered") >= box_area(box()), F.lit(False))).withColumn("only_urban", F.col("_covered").isNull()).drop("_covered")
+    return known.withColumn("only_forest", F.coalesce(F.col("_covered") >= box_area(box()) * (1 - SLACK), F.lit(False))).withColumn("only_urban", F.col("_covered").isNull()).drop("_covered")
 
 
 def tiles_for(tiles: DataFrame, exclude: tuple[str, ...]) -> DataFrame:

@@ -30,7 +30,9 @@ FROM {part}"""),
 FROM {part} WHERE p_partkey%4<>0"""),
     "f_outlines": ("nation", """SELECT n_nationkey AS outline_id, cast(n_regionkey*500 AS double) AS x0, cast((n_nationkey*97)%2000 AS double) AS y0,
   cast(n_regionkey*500+150+n_nationkey*4 AS double) AS x1, cast((n_nationkey*97)%2000+300 AS double) AS y1
-FROM {nation}"""),
+FROM {nation}
+UNION ALL SELECT n_nationkey+100, cast(n_regionkey*500+150+n_nationkey*4 AS double), cast((n_nationkey*97)%2000 AS double),
+  cast(n_regionkey*500+450 AS double), cast((n_nationkey*97)%2000+300 AS double) FROM {nation}"""),
     "f_images": ("supplier", """SELECT s_suppkey AS image_id, concat('FDOP20_', cast(100+s_suppkey%10 AS varchar(8)), '_', cast(200+cast(floor(s_suppkey/1e1) AS bigint) AS varchar(8)), '_rgbi.tif') AS file_name,
   cast((s_suppkey%10)*1000 AS double) AS c, cast(floor(s_suppkey/1e1)*1000 AS double) AS f, 2e-1 AS a, -2e-1 AS e, 5000 AS width, 5000 AS height
 FROM {supplier}"""),

@@ -11,6 +11,7 @@ from sylva.operators import images as im
 from sylva.operators import tiling
 from sylva.operators.manifest import outstanding
 from sylva.plans.fixtures import load, with_views
+from sylva.runtime import ship
 
 WIDTH, BUFFER, CRS = 250, 20, 25832
 
@@ -47,13 +48,37 @@ def tile_coverage_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flagged(spark, sf_dir).select("tile_id", "only_forest", "only_urban")
 
 
-FLAGS = TILES + ",\n" + with_views("f_outlines").removeprefix("WITH ") + """,
-met AS (SELECT t.tile_id, sum((least(t.x1,o.x1)-greatest(t.x0,o.x0))*(least(t.y1,o.y1)-greatest(t.y0,o.y0))) AS covered FROM tiles t JOIN f_outlines o
-  ON t.minx < o.x1 AND o.x0 < t.minx+250 AND t.miny < o.y1 AND o.y0 < t.miny+250 GROUP BY t.tile_id),
-flag AS (SELECT t.tile_id, coalesce(covered >= 84100, false) AS only_forest, covered IS NULL AS only_urban FROM tiles t LEFT JOIN met USING (tile_id))"""
+def union_cells(subject: str, key: str, touch: str) -> str:
+    """Views that cut each subject at the edges of the outlines that it meets, and add up the cells that any of these covers."""
+    return f"""met AS (SELECT t.{key}, t.x0, t.y0, t.x1, t.y1, o.x0 AS a, o.y0 AS b, o.x1 AS c, o.y1 AS d FROM {subject} t JOIN f_outlines o ON {touch}),
+cx AS (SELECT {key}, v AS u0, lead(v) OVER (PARTITION BY {key} ORDER BY v) AS u1 FROM (SELECT DISTINCT {key}, unnest([x0, x1, least(greatest(a, x0), x1), least(greatest(c, x0), x1)]) AS v FROM met)),
+cy AS (SELECT {key}, v AS v0, lead(v) OVER (PARTITION BY {key} ORDER BY v) AS v1 FROM (SELECT DISTINCT {key}, unnest([y0, y1, least(greatest(b, y0), y1), least(greatest(d, y0), y1)]) AS v FROM met)),
+bits AS (SELECT cx.{key}, (u1-u0)*(v1-v0) AS size, EXISTS (SELECT 1 FROM met m WHERE m.{key} = cx.{key} AND a <= u0 AND c >= u1 AND b <= v0 AND d >= v1) AS held
+  FROM cx JOIN cy ON cy.{key} = cx.{key} WHERE u1 IS NOT NULL AND v1 IS NOT NULL),
+cover AS (SELECT {key}, bool_and(held) AS whole FROM bits WHERE size > 0 GROUP BY {key})"""
+
+
+FLAGS = TILES + ",\n" + with_views("f_outlines").removeprefix("WITH ") + ",\n" + union_cells("tiles", "tile_id", "t.minx < o.x1 AND o.x0 < t.minx+250 AND t.miny < o.y1 AND o.y0 < t.miny+250") + """,
+flag AS (SELECT t.tile_id, coalesce(whole, false) AS only_forest, whole IS NULL AS only_urban FROM tiles t LEFT JOIN cover USING (tile_id))"""
 SQL_FLAGS = FLAGS + "\nSELECT * FROM flag"
 
 
+def as_shape(df: DataFrame) -> DataFrame:
+    """Boxes as polygons: a ring with a vertex in the middle of each side, and as their second part a ring of no size."""
+    b = box()
+    mx, my = (b["x0"] + b["x1"]) / 2, (b["y0"] + b["y1"]) / 2
+    at = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+    ring = [at(b["x0"], b["y0"]), at(mx, b["y0"]), at(b["x1"], b["y0"]), at(b["x1"], my), at(b["x1"], b["y1"]), at(mx, b["y1"]), at(b["x0"], b["y1"]), at(b["x0"], my), at(b["x0"], b["y0"])]
+    return df.withColumn("rings", F.array(F.array(*ring), F.array(*[at(mx, my)] * 4)))
+
+
+def tile_coverage_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flags with outlines as polygons."""
+    ship(spark)
+    found = tiling.coverage_flags(tiles(spark, sf_dir), as_shape(load(spark, sf_dir, "f_outlines")), BUFFER, 300.0)
+    return found.select("tile_id", "only_forest", "only_urban")
+
+
 def tile_exclude(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.dual_route(flagged(spark, sf_dir)).select("tile_id", "model")
 
@@ -158,12 +183,11 @@ SQL_EXTENT = with_views("f_crowns") + "\nSELECT min(x0)-5 AS x0, min(y0)-5 AS y0
 
 
 def predictions_in_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    annots = load(spark, sf_dir, "f_annots").filter("aid % 3 = 0 AND x1 < 60")
-    return im.within_extent(load(spark, sf_dir, "f_preds"), annots, "tile").select("pid", "tile")
+    return im.within_extent(load(spark, sf_dir, "f_preds"), load(spark, sf_dir, "f_annots"), "tile").select("pid", "tile")
 
 
 SQL_IN_EXTENT = with_views("f_preds", "f_annots") + """,
-ext AS (SELECT tile, min(x0) AS a, min(y0) AS b, max(x1) AS c, max(y1) AS d FROM f_annots WHERE aid % 3 = 0 AND x1 < 60 GROUP BY tile)
+ext AS (SELECT tile, min(x0) AS a, min(y0) AS b, max(x1) AS c, max(y1) AS d FROM f_annots GROUP BY tile)
 SELECT pid, p.tile FROM f_preds p JOIN ext USING (tile) WHERE x0 <= c AND a <= x1 AND y0 <= d AND b <= y1"""
 
 
@@ -191,12 +215,12 @@ UNION ALL SELECT 'both', image_id, count(*) FROM (SELECT * FROM k WHERE image_id
 
 
 QUERIES = {
-    "tile_grid": tile_grid, "tile_id_parse": tile_id_parse, "tile_coverage_flags": tile_coverage_flags, "tile_exclude": tile_exclude, "image_height_match": image_height_match,
+    "tile_grid": tile_grid, "tile_id_parse": tile_id_parse, "tile_coverage_flags": tile_coverage_flags, "tile_coverage_polygons": tile_coverage_polygons, "tile_exclude": tile_exclude, "image_height_match": image_height_match,
     "layer_height_fallback": layer_height_fallback, "image_adjacency": image_adjacency, "cross_batch_adjacency": cross_batch_adjacency, "merged_names": merged_names, "within_tile_semi": within_tile_semi,
     "affine_roundtrip": affine_roundtrip, "clip_boxes": clip_boxes, "layer_extent": layer_extent, "predictions_in_extent": predictions_in_extent, "resume_manifest": resume_manifest, "union_dedup": union_dedup,
 }
 ORACLES = {
-    "tile_grid": SQL_TILES, "tile_id_parse": SQL_PARSE, "tile_coverage_flags": SQL_FLAGS, "tile_exclude": SQL_EXCLUDE, "image_height_match": SQL_HEIGHTS,
+    "tile_grid": SQL_TILES, "tile_id_parse": SQL_PARSE, "tile_coverage_flags": SQL_FLAGS, "tile_coverage_polygons": SQL_FLAGS, "tile_exclude": SQL_EXCLUDE, "image_height_match": SQL_HEIGHTS,
     "layer_height_fallback": SQL_FALLBACK, "image_adjacency": SQL_ADJACENCY, "cross_batch_adjacency": SQL_CROSS, "merged_names": SQL_MERGED, "within_tile_semi": SQL_WITHIN,
     "affine_roundtrip": SQL_AFFINE, "clip_boxes": SQL_CLIP, "layer_extent": SQL_EXTENT, "predictions_in_extent": SQL_IN_EXTENT, "resume_manifest": SQL_RESUME, "union_dedup": SQL_UNION,
 }

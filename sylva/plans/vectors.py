@@ -12,7 +12,8 @@ from sylva.operators.clean import CleanConfig
 from sylva.operators.spatial_join import grid_join
 from sylva.operators.zonal import zonal_stats
 from sylva.plans.fixtures import load, with_views
-from sylva.runtime import materialise
+from sylva.plans.tiles import as_shape, union_cells
+from sylva.runtime import materialise, ship
 
 CELL = 64.0
 CONFIG = CleanConfig()
@@ -104,7 +105,7 @@ SELECT crown_id, (x1-x0)*(y1-y0) AS area, round(2*sqrt((x1-x0)*(y1-y0)/pi()), 9)
 
 def clipped_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Area of each crown's diamond inside a fixed box, by clipping its ring."""
-    crowns = load(spark, sf_dir, "f_crowns").filter("crown_id % 8 = 1")
+    crowns = load(spark, sf_dir, "f_crowns")
     mx, my = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2
     point = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
     ring = F.array(point(F.col("x0"), my), point(mx, F.col("y0")), point(F.col("x1"), my), point(mx, F.col("y1")), point(F.col("x0"), my))
@@ -112,7 +113,7 @@ def clipped_area(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crowns.select("crown_id", F.round(g.ring_area(g.clip_ring(ring, window)), 6).alias("area"))
 
 
-SQL_CLIPPED = with_views("f_crowns") + "\nSELECT crown_id, round((x1-x0)*(y1-y0)/8e0, 6) AS area FROM f_crowns WHERE crown_id % 8 = 1"
+SQL_CLIPPED = with_views("f_crowns") + "\nSELECT crown_id, round((x1-x0)*(y1-y0)/8e0, 6) AS area FROM f_crowns"
 
 
 def stats(spark: SparkSession, sf_dir: str, share: float = 0.5) -> tuple[DataFrame, DataFrame]:
@@ -172,8 +173,16 @@ def exclude_outlines_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.exclude_within(load(spark, sf_dir, "f_crowns"), load(spark, sf_dir, "f_outlines"), "crown_id", 128.0).select("crown_id", "image_id")
 
 
-WITHIN = "c.x0 >= o.x0 AND c.y0 >= o.y0 AND c.x1 <= o.x1 AND c.y1 <= o.y1"
-SQL_EXCLUDE = with_views("f_crowns", "f_outlines") + f"\nSELECT crown_id, image_id FROM f_crowns c WHERE NOT EXISTS (SELECT 1 FROM f_outlines o WHERE {WITHIN})"
+COVER = with_views("f_crowns", "f_outlines") + ",\n" + union_cells("f_crowns", "crown_id", "t.x0 <= o.x1 AND o.x0 <= t.x1 AND t.y0 <= o.y1 AND o.y0 <= t.y1")
+OUTSIDE = "NOT EXISTS (SELECT 1 FROM cover WHERE cover.crown_id = c.crown_id AND whole)"
+SQL_EXCLUDE = COVER + f"\nSELECT crown_id, image_id FROM f_crowns c WHERE {OUTSIDE}"
+
+
+def exclude_polygons_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with crowns and outlines as polygons."""
+    ship(spark)
+    crowns, outlines = as_shape(load(spark, sf_dir, "f_crowns")), as_shape(load(spark, sf_dir, "f_outlines"))
+    return images.exclude_within(crowns, outlines, "crown_id", 128.0).select("crown_id", "image_id")
 
 
 def fuse_models(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -181,9 +190,9 @@ def fuse_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     return images.fuse(crowns.filter("crown_id % 2 = 0"), crowns.filter("crown_id % 2 = 1"), load(spark, sf_dir, "f_outlines"), "crown_id", 128.0).select("crown_id", "model", "conf")
 
 
-SQL_FUSE = with_views("f_crowns", "f_outlines") + f"""
+SQL_FUSE = COVER + f"""
 SELECT crown_id, 'forest' AS model, conf FROM f_crowns c WHERE crown_id % 2 = 0 AND EXISTS (SELECT 1 FROM f_outlines o WHERE c.x0 <= o.x1 AND o.x0 <= c.x1 AND c.y0 <= o.y1 AND o.y0 <= c.y1)
-UNION ALL SELECT crown_id, 'urban', conf FROM f_crowns c WHERE crown_id % 2 = 1 AND NOT EXISTS (SELECT 1 FROM f_outlines o WHERE {WITHIN})"""
+UNION ALL SELECT crown_id, 'urban', conf FROM f_crowns c WHERE crown_id % 2 = 1 AND {OUTSIDE}"""
 
 
 def clean_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,6 +254,7 @@ QUERIES = {
     "border_filter": border_filter,
     "overlap_owner_filter": overlap_owner_filter,
     "exclude_outlines_anti": exclude_outlines_anti,
+    "exclude_polygons_anti": exclude_polygons_anti,
     "fuse_models": fuse_models,
 }
 LEFT = "\nSELECT p.tile, p.pid FROM f_preds p JOIN done d USING (tile) WHERE NOT list_contains(d.gone, p.pid)"
@@ -264,5 +274,6 @@ ORACLES = {
     "border_filter": SQL_BORDER,
     "overlap_owner_filter": SQL_OWNER,
     "exclude_outlines_anti": SQL_EXCLUDE,
+    "exclude_polygons_anti": SQL_EXCLUDE,
     "fuse_models": SQL_FUSE,
 }
