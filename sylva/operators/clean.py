@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,20 +77,26 @@ def greedy_suppress(df: DataFrame, group: str = "tile", key: str = "pid", iou: f
 
     A row's group is itself and all rows that overlap it, those that were removed before included; the best is the
     first of the most confident. So a group can vanish when its best was removed earlier. Pairs are sparse and found
-    on the grid; the fold runs over the rows of one group that have partners at all, one array in one row.
+    on the grid; the fold walks once over the rows of one group that have partners at all.
     """
-    rows = df.select(group, F.col(key).alias("i"), "conf")
     pairs = iou_pairs(df, group, key, iou, cell, area_difference)
-    nearby = pairs.groupBy(group, "i").agg(F.sort_array(F.collect_list("j")).alias("near"), F.max(F.struct("conf", (-F.col("j")).alias("k"))).alias("top"))
-    own = rows.join(nearby, [group, "i"]).withColumn("best", F.greatest(F.col("top"), F.struct("conf", (-F.col("i")).alias("k")))["k"] * -1)
-    folded = own.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("i", "near", "best"))).alias("steps"))
-    none = F.array().cast("array<bigint>")
-    removed = F.aggregate(
-        "steps",
-        none,
-        lambda gone, s: F.when(F.array_contains(gone, s["i"]), gone).otherwise(F.array_union(gone, F.array_remove(F.array_union(s["near"], F.array(s["i"])), s["best"]))),
-    )
-    gone = folded.select(group, F.explode(removed).alias(key))
+
+    def walk(table: pa.Table) -> pa.Table:
+        i, j, conf = (table[c].to_numpy() for c in ("i", "j", "conf"))
+        confidence = dict(zip(j.tolist(), conf.tolist(), strict=True))  # pairs stand in both orders, so every row is a j
+        order = np.argsort(i, kind="stable")
+        i, j = i[order], j[order]
+        heads = np.append(np.flatnonzero(np.diff(i, prepend=i[0] - 1)), len(i))
+        gone: set[int] = set()
+        for a, b in zip(heads[:-1], heads[1:], strict=True):
+            own = int(i[a])
+            if own not in gone:
+                near = {own, *j[a:b].tolist()}
+                gone |= near - {max(near, key=lambda x: (confidence[x], -x))}
+        removed = sorted(gone)
+        return pa.table([pa.array([table[group][0].as_py()] * len(removed), table.schema.field(group).type), pa.array(removed, pa.int64())], names=[group, key])
+
+    gone = pairs.select(group, F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "conf").groupBy(group).applyInArrow(walk, f"`{group}` {df.schema[group].dataType.simpleString()}, `{key}` long")
     return df.join(gone, [group, key], "left_anti")
 
 
@@ -102,12 +110,13 @@ def containment_pairs(df: DataFrame, group: str, key: str, threshold: float, cel
 def containment_counts(df: DataFrame, group: str = "tile", key: str = "pid", threshold: float = 0.9, cell: float = 64.0) -> DataFrame:
     """df with num_contained (how many it contains), is_contained, and containment_ratio (itself counts, so 1 at least)."""
     a, b = box("a_"), box("b_")
-    pairs = containment_pairs(df, group, key, threshold, cell)
-    outer = pairs.groupBy(group, F.col("outer").alias(key)).agg(F.count("*").alias("num_contained"))
-    inner = pairs.select(group, F.col("inner").alias(key), F.lit(True).alias("is_contained")).distinct()
-    share = overlap_area(a, b) / F.when(box_area(b) > 0, box_area(b)).otherwise(dbl(1))
-    most = grid_join(df, df, cell, (group,)).groupBy(F.col(f"b_{group}").alias(group), F.col(f"b_{key}").alias(key)).agg(F.max(share).alias("containment_ratio"))
-    joined = df.join(outer, [group, key], "left").join(inner, [group, key], "left").join(most, [group, key], "left")
+    share = F.when(box_area(b) > 0, overlap_area(a, b) / box_area(b)).otherwise(dbl(0))
+    pairs = grid_join(df, df, cell, (group,)).select(F.col(f"a_{group}").alias(group), F.col(f"a_{key}").alias("outer"), F.col(f"b_{key}").alias("inner"), share.alias("share"))
+    held = (F.col("outer") != F.col("inner")) & (F.col("share") >= dbl(threshold))
+    # One join: each pair counts for both of its rows, with a partial aggregate before the shuffle.
+    sides = F.explode(F.array(F.struct(F.col("outer").alias("k"), held.cast("int").alias("n"), F.lit(False).alias("is"), dbl(0).alias("r")), F.struct(F.col("inner").alias("k"), F.lit(0).alias("n"), held.alias("is"), F.col("share").alias("r")))).alias("s")
+    counted = pairs.select(group, sides).groupBy(group, F.col("s.k").alias(key)).agg(F.sum("s.n").alias("num_contained"), F.max("s.is").alias("is_contained"), F.max("s.r").alias("containment_ratio"))
+    joined = df.join(counted, [group, key], "left")
     return joined.withColumns({
         "num_contained": F.coalesce("num_contained", F.lit(0).cast("long")),
         "is_contained": F.coalesce("is_contained", F.lit(False)),

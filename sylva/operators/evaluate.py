@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from itertools import product
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,36 +30,54 @@ def candidates(preds: DataFrame, annots: DataFrame, group: str, cell: float) ->
     return pairs.select(F.col("a_" + group).alias(group), F.col("a_pid").alias("pid"), F.col("b_aid").alias("aid"), box_iou(box("a_"), box("b_")).alias("iou"), F.col("a_conf").alias("conf"))
 
 
-def greedy_match(pairs: DataFrame, keys: list[str], threshold: Column) -> DataFrame:
-    """(keys, pid, aid, iou): each prediction in order takes the annotation with the greatest IoU that is left, if it reaches the threshold.
+def greedy_match(pairs: DataFrame, group: str, ious: Sequence[float], confs: Sequence[float] = (0.0,)) -> DataFrame:
+    """(group, iou_t, conf_t, pid, aid, iou) for all thresholds: each prediction of conf_t or more, in order, takes the annotation of greatest IoU that is left, if it reaches iou_t.
 
-    Ties go to the smaller aid. A fold over the predictions of one group that have candidates.
+    Ties go to the smaller aid. Pairs below the smallest threshold can't be taken and stay behind; the rest of one group is
+    sorted once and walked once for each pair of thresholds.
+    """
+    names = ("iou_t", "conf_t", "pid", "aid", "iou")
+    kinds = (pa.float64(), pa.float64(), pa.int64(), pa.int64(), pa.float64())
+
+    def walk(table: pa.Table) -> pa.Table:
+        order = np.lexsort((table["aid"].to_numpy(), -table["iou"].to_numpy(), table["pid"].to_numpy()))
+        pid, aid, iou, conf = (table[c].to_numpy()[order] for c in ("pid", "aid", "iou", "conf"))
+        heads = np.append(np.flatnonzero(np.diff(pid, prepend=pid[0] - 1)), len(pid))
+        options = [(int(pid[x]), float(conf[x]), list(zip(iou[x:y].tolist(), aid[x:y].tolist(), strict=True))) for x, y in zip(heads[:-1], heads[1:], strict=True)]
+        found = []
+        for least, sure in product(ious, confs):
+            used: set[int] = set()
+            for p, c, near in options:
+                if c < sure:
+                    continue
+                for v, q in near:
+                    if v < least:
+                        break
+                    if q not in used:
+                        used.add(q)
+                        found.append((least, sure, p, q, v))
+                        break
+        columns = list(zip(*found, strict=True)) or [()] * 5
+        own = pa.array([table[group][0].as_py()] * len(found), table.schema.field(group).type)
+        return pa.table([own, *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[group, *names])
+
+    near = pairs.filter(F.col("iou") >= dbl(min(ious))).select(group, F.col("pid").cast("long"), F.col("aid").cast("long"), "iou", "conf")
+    kind = pairs.schema[group].dataType.simpleString()
+    return near.groupBy(group).applyInArrow(walk, f"`{group}` {kind}, iou_t double, conf_t double, pid long, aid long, iou double")
+
+
+def threshold_grid(preds: DataFrame, annots: DataFrame, group: str, ious: Sequence[float], confs: Sequence[float], cell: float) -> DataFrame:
+    """(group, iou_t, conf_t, tp, fp, fn, precision, recall, f1) for all thresholds in one pass: pairs are found once.
+
+    Groups without annotations, or without predictions of conf_t or more, have no row for that threshold.
     """
-    ranked = pairs.groupBy(*keys, "pid").agg(F.sort_array(F.collect_list(F.struct((-F.col("iou")).alias("neg"), "aid"))).alias("options"), F.first(threshold).alias("limit"))
-    steps = ranked.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pid", "options", "limit"))).alias("steps"))
-    start = F.struct(F.array().cast("array<bigint>").alias("used"), F.array().cast("array<struct<pid:bigint,aid:bigint,iou:double>>").alias("made"))
-
-    def step(state: Column, s: Column) -> Column:
-        best = F.get(F.filter(s["options"], lambda o: ~F.array_contains(state["used"], o["aid"])), F.lit(0))
-        made = F.struct(s["pid"].alias("pid"), best["aid"].alias("aid"), (-best["neg"]).alias("iou"))
-        ok = best.isNotNull() & (-best["neg"] >= s["limit"])
-        return F.when(ok, F.struct(F.concat(state["used"], F.array(best["aid"])).alias("used"), F.concat(state["made"], F.array(made)).alias("made"))).otherwise(state)
-
-    folded = steps.select(*keys, F.aggregate("steps", start, step)["made"].alias("made"))
-    return folded.select(*keys, F.explode("made").alias("m")).select(*keys, "m.*")
-
-
-def threshold_grid(preds: DataFrame, annots: DataFrame, group: str, ious: list[float], confs: list[float], cell: float) -> DataFrame:
-    """(group, iou_t, conf_t, tp, fp, fn, precision, recall, f1) for all thresholds in one pass: pairs are found once."""
     spark = preds.sparkSession
     grid = F.broadcast(spark.createDataFrame([(float(i), float(c)) for i, c in product(ious, confs)], "iou_t double, conf_t double"))
     keys = [group, "iou_t", "conf_t"]
-    pairs = candidates(preds, annots, group, cell).join(grid, F.col("conf") >= F.col("conf_t"))
-    hit = greedy_match(pairs, keys, F.col("iou_t")).groupBy(*keys).agg(F.count("*").alias("tp"))
+    hit = greedy_match(candidates(preds, annots, group, cell), group, ious, confs).groupBy(*keys).agg(F.count("*").alias("tp"))
     n_pred = preds.join(grid, F.col("conf") >= F.col("conf_t")).groupBy(*keys).agg(F.count("*").alias("n_pred"))
-    groups = preds.select(group).union(annots.select(group)).distinct().join(grid)
     n_ann = annots.groupBy(group).agg(F.count("*").alias("n_ann"))
-    joined = groups.join(hit, keys, "left").join(n_pred, keys, "left").join(n_ann, group, "left").fillna(0, ["tp", "n_pred", "n_ann"])
+    joined = n_pred.join(n_ann, group).join(hit, keys, "left").fillna(0, ["tp"])
     joined = joined.select(*keys, "tp", (F.col("n_pred") - F.col("tp")).alias("fp"), (F.col("n_ann") - F.col("tp")).alias("fn"))
     return joined.withColumns(scores(F.col("tp"), F.col("fp"), F.col("fn")))
 

@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from sylva.operators import evaluate as ev
 from sylva.plans.fixtures import load, with_views
 from sylva.plans.vectors import RATIO
+from sylva.runtime import ship
 
 CELL = 64.0
-IOUS, CONFS = [0.3, 0.5, 0.7], [0.25, 0.5, 0.75]
+# The thresholds of the evaluation.
+IOUS = CONFS = [0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
+LIMITS = "[3e-1, 4e-1, 5e-1, 6e-1, 7e-1, 8e-1, 9e-1]"
 BOTH = with_views("f_preds", "f_annots")
 CROSS = "a.tile = b.tile AND a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1"
 PAIRS = f"pair AS (SELECT a.tile, a.pid, b.aid, {RATIO} AS iou, a.conf FROM f_preds a JOIN f_annots b ON {CROSS})"
@@ -22,7 +25,8 @@ def both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = ev.candidates(*both(spark, sf_dir), "tile", CELL)
-    return ev.greedy_match(pairs, ["tile"], F.lit(0.5)).select("tile", "pid", "aid", F.round("iou", 9).alias("iou"))
+    ship(spark)
+    return ev.greedy_match(pairs, "tile", [0.5]).select("tile", "pid", "aid", F.round("iou", 9).alias("iou"))
 
 
 SQL_GREEDY = with_views("f_preds", "f_annots", recursive=True) + ",\n" + PAIRS + """,
@@ -34,6 +38,7 @@ SQL_MATCH = SQL_GREEDY + "\nSELECT tile, pid, aid, round(iou, 9) AS iou FROM fol
 
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     return ev.threshold_grid(*both(spark, sf_dir), "tile", IOUS, CONFS, CELL)
 
 
@@ -45,16 +50,15 @@ def pr_f1_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(grid(spark, sf_dir))
 
 
-GRID = with_views("f_preds", "f_annots", recursive=True) + ",\n" + PAIRS + """,
-lim AS (SELECT iou_t, conf_t FROM (SELECT unnest([3e-1, 5e-1, 7e-1]) AS iou_t), (SELECT unnest([2.5e-1, 5e-1, 7.5e-1]) AS conf_t)),
+GRID = with_views("f_preds", "f_annots", recursive=True) + ",\n" + PAIRS + f""",
+lim AS (SELECT iou_t, conf_t FROM (SELECT unnest({LIMITS}) AS iou_t), (SELECT unnest({LIMITS}) AS conf_t)),""" + """
 cut AS (SELECT pair.*, iou_t, conf_t FROM pair JOIN lim ON conf >= conf_t),
 step AS (SELECT tile, iou_t, conf_t, pid, list({'iou': iou, 'aid': aid} ORDER BY iou DESC, aid) AS options, row_number() OVER (PARTITION BY tile, iou_t, conf_t ORDER BY pid) AS n FROM cut GROUP BY tile, iou_t, conf_t, pid),
 fold AS (SELECT tile, iou_t, conf_t, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS used FROM (SELECT DISTINCT tile, iou_t, conf_t FROM cut)
   UNION ALL SELECT tile, iou_t, conf_t, n, CASE WHEN o.iou >= iou_t THEN list_append(used, o.aid) ELSE used END
   FROM (SELECT f.tile, f.iou_t, f.conf_t, s.n, f.used, list_filter(s.options, lambda x: NOT list_contains(f.used, x.aid))[1] AS o FROM fold f JOIN step s ON s.tile = f.tile AND s.iou_t = f.iou_t AND s.conf_t = f.conf_t AND s.n = f.n + 1)),
 hit AS (SELECT tile, iou_t, conf_t, CAST(arg_max(len(used), n) AS BIGINT) AS tp FROM fold GROUP BY tile, iou_t, conf_t),
-num AS (SELECT g.tile, iou_t, conf_t, (SELECT count(*) FROM f_preds p WHERE p.tile = g.tile AND p.conf >= conf_t) AS np, (SELECT count(*) FROM f_annots q WHERE q.tile = g.tile) AS na
-  FROM (SELECT tile FROM f_preds UNION SELECT tile FROM f_annots) g, lim),
+num AS (SELECT a.tile, iou_t, conf_t, count(*) AS np, max(na) AS na FROM (SELECT tile, count(*) AS na FROM f_annots GROUP BY tile) a JOIN f_preds p ON p.tile = a.tile JOIN lim ON p.conf >= conf_t GROUP BY a.tile, iou_t, conf_t),
 cnt AS (SELECT num.tile, num.iou_t, num.conf_t, coalesce(tp, 0) AS tp, np - coalesce(tp, 0) AS fp, na - coalesce(tp, 0) AS fn FROM num LEFT JOIN hit ON hit.tile = num.tile AND hit.iou_t = num.iou_t AND hit.conf_t = num.conf_t)"""
 PR = """{0} AS (SELECT *, CASE WHEN p + r > 0 THEN 2*p*r/(p+r) ELSE 0e0 END AS f1 FROM (SELECT *, CASE WHEN tp+fp > 0 THEN tp/(tp+fp) ELSE 0e0 END AS p, CASE WHEN tp+fn > 0 THEN tp/(tp+fn) ELSE 0e0 END AS r FROM {1}))"""
 SQL_GRID = GRID + ",\n" + PR.format("sc", "cnt") + "\nSELECT tile, iou_t, conf_t, tp, fp, fn, round(p, 9) AS precision, round(r, 9) AS recall, round(f1, 9) AS f1 FROM sc"
@@ -112,11 +116,11 @@ SELECT a.tile, a.aid, pid, round(coalesce(iou, 0e0), 9) AS iou FROM f_annots a L
 
 def prompt_box_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     preds, annots = both(spark, sf_dir)
-    return ev.fit_prompt_boxes(annots, preds.filter("pid % 2 = 1"), "tile", 0.6, 0.5, CELL)
+    return ev.fit_prompt_boxes(annots, preds, "tile", 0.6, 0.5, CELL)
 
 
 SQL_FIT = BOTH + f""",
-opt AS (SELECT b.tile, b.aid, {RATIO} AS iou, a.pid, a.x0 AS cx0, a.y0 AS cy0, a.x1 AS cx1, a.y1 AS cy1 FROM f_preds a JOIN f_annots b ON {CROSS} WHERE a.pid % 2 = 1),
+opt AS (SELECT b.tile, b.aid, {RATIO} AS iou, a.pid, a.x0 AS cx0, a.y0 AS cy0, a.x1 AS cx1, a.y1 AS cy1 FROM f_preds a JOIN f_annots b ON {CROSS}),
 top AS (SELECT *, row_number() OVER (PARTITION BY tile, aid ORDER BY iou DESC, pid) AS n FROM opt),
 fit AS (SELECT b.*, t.cx0, t.cy0, t.cx1, t.cy1, CASE WHEN iou >= 6e-1 THEN 'keep' WHEN (least(b.x1,cx1)-greatest(b.x0,cx0))*(least(b.y1,cy1)-greatest(b.y0,cy0))/((b.x1-b.x0)*(b.y1-b.y0)) >= 5e-1 THEN 'cut' ELSE 'box' END AS action
   FROM f_annots b LEFT JOIN (SELECT * FROM top WHERE n = 1) t ON t.tile = b.tile AND t.aid = b.aid)

@@ -60,6 +60,7 @@ SELECT tile, pid, coalesce((SELECT count(*) FROM held WHERE outer_id = pid), 0)
 
 def suppressed(difference: float):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
         return clean.greedy_suppress(load(spark, sf_dir, "f_preds"), iou=0.4, area_difference=difference, cell=CELL).select("tile", "pid")
 
     return query
@@ -201,6 +202,7 @@ def clean_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     The survivors of the suppression feed the statistics, the containment counts and the rules, so they are written
     once, as are the counted rows: otherwise each of their readers would plan and run all that stands before.
     """
+    ship(spark)
     preds = load(spark, sf_dir, "f_preds").withColumn("image_id", F.col("tile") % 10)
     rows = clean.sequence_ids(clean.confidence_filter(preds, CONFIG.confidence), "tile", "pid").withColumn("area", g.ring_area(g.box_ring(box())))
     rows = materialise(clean.greedy_suppress(clean.area_filter(rows, CONFIG.min_area, CONFIG.max_area), iou=CONFIG.iou, area_difference=0.5, cell=CELL), "survivors")
