@@ -156,6 +156,11 @@ def diameter(area: Column) -> Column:
     return 2 * F.sqrt(area / F.pi())
 
 
+def point_json(p: Column) -> Column:
+    """A point as JSON text."""
+    return F.concat(F.lit('{"x": '), p["x"].cast("string"), F.lit(', "y": '), p["y"].cast("string"), F.lit("}"))
+
+
 def distance(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     return F.sqrt((x1 - x0) * (x1 - x0) + (y1 - y0) * (y1 - y0))
 

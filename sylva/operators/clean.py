@@ -9,7 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sylva.functions.geometry import box, box_area, box_iou, dbl, near_border, overlap_area
+from sylva.functions.geometry import box, box_area, box_iou, dbl, near_border, overlap_area, ring_area
+from sylva.functions.polygons import apply_kernel, simplify
 from sylva.operators.spatial_join import grid_join
 
 
@@ -38,6 +39,12 @@ def area_filter(df: DataFrame, low: float, high: float) -> DataFrame:
     return df.filter(F.col("area").between(dbl(low), dbl(high)))
 
 
+def simplified_area(df: DataFrame, ring: str = "ring", tolerance: float = 2.0) -> DataFrame:
+    """df with area: that of each ring simplified, which all later steps take for its area. Rings of five points or fewer keep theirs."""
+    plain = df.withColumn("_long", F.when(F.size(ring) > 5, F.col(ring)))
+    return apply_kernel(plain, "_long", lambda r: simplify(r, tolerance) if r else None, "_simple").withColumn("area", ring_area(F.coalesce("_simple", ring))).drop("_long", "_simple")
+
+
 def sequence_ids(df: DataFrame, group: str, order: str) -> DataFrame:
     """poly_id: the row's number within its group, from 0, as text."""
     return df.withColumn("poly_id", (F.row_number().over(Window.partitionBy(group).orderBy(order)) - 1).cast("string"))

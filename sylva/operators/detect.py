@@ -56,7 +56,7 @@ def detect_crowns(pixels: DataFrame, size: int = 7, above: float = 2.5, reach: f
     The cells are found by joins, so images may be of any size; only one cell's pixels meet in a group.
     """
     seeds = raster.local_maxima(pixels, size, above)
-    seeds = seeds.select("image_id", (F.col("r") * 100000 + F.col("c")).alias("seed_id"), F.col("c").cast("double").alias("x"), F.col("r").cast("double").alias("y"))
+    seeds = seeds.select("image_id", raster.pixel_number(F.col("r"), F.col("c")).alias("seed_id"), F.col("c").cast("double").alias("x"), F.col("r").cast("double").alias("y"))
     cells = raster.nearest_seed(pixels, seeds, reach).join(pixels.select("image_id", "r", "c", "h"), ["image_id", "r", "c"]).filter(F.col("h") > above)
     return hulls(cells, ["image_id", "seed_id"], "c", "r", "h")
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sylva.functions.geometry import dbl, ndvi, rescale, to_8_bit
+from sylva.runtime import materialise
 
 
 def ndvi_pixels(pixels: DataFrame) -> DataFrame:
@@ -69,11 +70,16 @@ def center_crop(pixels: DataFrame, images: DataFrame, rows: int, cols: int) -> D
     return found.withColumns({"r": F.col("r") - F.col("_top"), "c": F.col("c") - F.col("_left")}).drop("_top", "_left")
 
 
-def mosaic(first: DataFrame, second: DataFrame, value: str, nodata_above: float = 1e10) -> DataFrame:
-    """Pixels (x, y, value) of both; where both have one, the first wins unless it has no data. No data is 0 in the end."""
+def mosaic(first: DataFrame, second: DataFrame, value: str, nodata_above: float = 1e10, keys: tuple[str, ...] = ("x", "y")) -> DataFrame:
+    """Pixels (keys, value) of both; where both have one, the first wins unless it has no data. No data is 0 in the end."""
     known = lambda c: F.when(F.abs(c) <= dbl(nodata_above), c)
-    a, b = (df.select("x", "y", known(F.col(value)).alias(n)) for df, n in ((first, "_a"), (second, "_b")))
-    return a.join(b, ["x", "y"], "full").select("x", "y", F.coalesce("_a", "_b", dbl(0)).alias(value))
+    a, b = (df.select(*keys, known(F.col(value)).alias(n)) for df, n in ((first, "_a"), (second, "_b")))
+    return a.join(b, list(keys), "full").select(*keys, F.coalesce("_a", "_b", dbl(0)).alias(value))
+
+
+def pixel_number(row: Column, col: Column) -> Column:
+    """One number for a pixel of a raster of any width, in the order of rows, then columns."""
+    return row * (1 << 32) + col
 
 
 def masked(value: Column, above: float) -> Column:
@@ -94,22 +100,43 @@ def local_maxima(pixels: DataFrame, size: int, above: float, band: str = "h") ->
 
 
 def smooth(pixels: DataFrame, sigma: float, band: str = "h", reach: float = 4.0) -> DataFrame:
-    """Gaussian mean along rows, then columns, weighted over the pixels that exist."""
+    """Gaussian mean along rows, then columns. Beyond its border an image is mirrored, border pixels twice; missing pixels have no weight.
+
+    Each pixel gives its weighted value to the places around it, and around its mirror images that are near the border.
+    """
     half = max(1, int(reach * sigma + 0.5))
-    weights = [(k, math.exp(-0.5 * (k / sigma) ** 2)) for k in range(-half, half + 1)]
-    offsets = F.explode(F.array(*[F.struct(F.lit(k).alias("k"), dbl(w).alias("w")) for k, w in weights])).alias("o")
+    weights = F.array(*[F.struct(F.lit(k).alias("k"), dbl(math.exp(-0.5 * (k / sigma) ** 2)).alias("w")) for k in range(-half, half + 1)])
+    size = pixels.groupBy("image_id").agg((F.max("r") + 1).alias("_r"), (F.max("c") + 1).alias("_c"))
+    places = pixels.select("image_id", "r", "c")
     for axis in ("c", "r"):
-        spread = pixels.select("*", offsets).withColumn(axis, F.col(axis) + F.col("o.k"))
+        n, at = F.col(f"_{axis}"), F.col(axis)
+        images = F.filter(F.array(at, -1 - at, 2 * n - 1 - at, 2 * n + at, at - 2 * n), lambda v: (v >= -half) & (v < n + half))  # noqa: B023
+        targets = F.flatten(F.transform(images, lambda v: F.transform(weights, lambda x: F.struct((v + x["k"]).alias("t"), x["w"].alias("w")))))
+        inside = F.filter(targets, lambda x: (x["t"] >= 0) & (x["t"] < n))  # noqa: B023
+        spread = pixels.join(size, "image_id").select("image_id", "r", "c", band, F.explode(inside).alias("o")).withColumn(axis, F.col("o.t"))
         means = spread.groupBy("image_id", "r", "c").agg((F.sum(F.col(band) * F.col("o.w")) / F.sum("o.w")).alias(band))
-        pixels = means.join(pixels.select("image_id", "r", "c"), ["image_id", "r", "c"], "left_semi")
+        pixels = means.join(places, ["image_id", "r", "c"], "left_semi")
     return pixels
 
 
 def nearest_seed(pixels: DataFrame, seeds: DataFrame, reach: float) -> DataFrame:
-    """The nearest seed (seed_id, image_id, x, y) of each pixel within reach: raster form of clipped Voronoi cells.
+    """The nearest seed (seed_id, image_id, x, y) of each pixel: raster form of clipped Voronoi cells.
 
-    Ties go to the smaller seed_id. Seeds are listed in the grid cells around them, so a pixel meets only near ones.
+    Ties go to the smaller seed_id; an image without seeds has no cells. Seeds are listed in the grid cells around them,
+    so a pixel meets only near ones. Pixels without a seed within reach are looked at again with twice the reach.
     """
+    live = pixels.join(seeds.select("image_id").distinct(), "image_id", "left_semi").select("image_id", "r", "c")
+    found = None
+    while True:
+        near = materialise(nearest_within(live, seeds, reach), "cells")
+        found = near if found is None else found.unionByName(near)
+        live = materialise(live.join(near, ["image_id", "r", "c"], "left_anti"), "far")
+        if live.isEmpty():
+            return found
+        reach = 2 * reach
+
+
+def nearest_within(pixels: DataFrame, seeds: DataFrame, reach: float) -> DataFrame:
     at = lambda c: F.floor(F.col(c) / dbl(reach))
     around = F.explode(F.sequence(F.lit(-1), F.lit(1)))
     listed = seeds.withColumn("_dx", around).withColumn("_dy", around).select("seed_id", "image_id", F.col("x").alias("sx"), F.col("y").alias("sy"), (at("x") + F.col("_dx")).alias("_gx"), (at("y") + F.col("_dy")).alias("_gy"))
@@ -137,3 +164,25 @@ def patch_max(patches: DataFrame, width: int, size: int) -> DataFrame:
     down = Window.partitionBy("vec_id", "c").orderBy("r").rangeBetween(-half, half)
     seen = flat.withColumn("_row", F.max("value").over(across)).withColumn("_max", F.max("_row").over(down))
     return seen.filter(F.col("value") == F.col("_max")).select("vec_id", "pos", "value")
+
+
+def stacked(pixels: DataFrame, bands: list[str], order: list[int] | None = None, out: str = "bands") -> DataFrame:
+    """The bands of each pixel as one array, in the order of their numbers if one is given."""
+    chosen = bands if order is None else [bands[i] for i in order]
+    return pixels.withColumn(out, F.array(*[F.col(b) for b in chosen])).drop(*bands)
+
+
+def resize_mask(mask: Column, height: int, width: int, rows: int, cols: int) -> Column:
+    """A mask (an array of height x width numbers of 0 to 1, row by row) resized bilinearly, then cut to whole numbers: what isn't 1 throughout is 0."""
+
+    def source(i: Column, n: int, target: int) -> tuple[Column, Column, Column]:
+        at = F.least(F.greatest((i + 0.5) * dbl(n / target) - 0.5, dbl(0)), dbl(n - 1))
+        low = F.floor(at).cast("int")
+        return low, F.least(low + 1, F.lit(n - 1)), at - low
+
+    def value(p: Column) -> Column:
+        (a, b, u), (x, y, v) = source(F.floor(p / cols), height, rows), source(p % cols, width, cols)
+        at = lambda r, c: F.get(mask, r * width + c).cast("double")
+        return ((at(a, x) * (1 - v) + at(a, y) * v) * (1 - u) + (at(b, x) * (1 - v) + at(b, y) * v) * u).cast("int")
+
+    return F.transform(F.sequence(F.lit(0), F.lit(rows * cols - 1)), value)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sylva.functions.geometry import box, dbl, in_circle, ndvi
+from sylva.operators.raster import pixel_number
 from sylva.operators.spatial_join import points_in_boxes
 
 
@@ -28,7 +29,7 @@ def zonal_stats(df: DataFrame, pixels: DataFrame, key: str, image: str, share: f
     spots = pixels.select("image_id", F.col("c").cast("double").alias("x"), F.col("r").cast("double").alias("y"), "r", "c", "h", ndvi(F.col("red"), F.col("nir")).alias("v"))
     inside = in_circle(F.col("x"), F.col("y"), F.col("a_cx"), F.col("a_cy"), F.col("a_radius"))
     found = points_in_boxes(spots, places, cell, (("image_id", "image_id"),), inside)
-    order = -(F.col("r") * 100000 + F.col("c"))
+    order = -pixel_number(F.col("r"), F.col("c"))
     stats = found.groupBy(F.col(f"a_{key}").alias(key)).agg(
         F.count("*").alias("n_pixels"), F.max(F.struct("h", order.alias("k"))).alias("top"), F.min("v").alias("index_min"), F.max("v").alias("index_max"), F.avg("v").alias("index_mean"), F.var_pop("v").alias("index_var")
     )

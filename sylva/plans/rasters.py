@@ -81,16 +81,16 @@ SELECT p.image_id, r-t AS r, c-l AS c, h FROM f_pixels p JOIN s USING (image_id)
 
 
 def mosaic_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pixels = load(spark, sf_dir, "f_pixels").filter("image_id = 0")
-    a = pixels.select(F.col("c").alias("x"), F.col("r").alias("y"), F.when(F.col("red") % 5 == 0, F.lit(1e12)).otherwise(F.col("h")).alias("h"))
-    b = pixels.select((F.col("c") + 40).alias("x"), F.col("r").alias("y"), F.col("h").alias("h"))
-    return raster.mosaic(a, b, "h")
+    pixels = load(spark, sf_dir, "f_pixels")
+    a = pixels.select("image_id", F.col("c").alias("x"), F.col("r").alias("y"), F.when(F.col("red") % 5 == 0, F.lit(1e12)).otherwise(F.col("h")).alias("h"))
+    b = pixels.select("image_id", (F.col("c") + 40).alias("x"), F.col("r").alias("y"), F.col("h").alias("h"))
+    return raster.mosaic(a, b, "h", keys=("image_id", "x", "y"))
 
 
 SQL_MOSAIC = PIXELS + """,
-a AS (SELECT c AS x, r AS y, CASE WHEN red % 5 <> 0 THEN h END AS h FROM f_pixels WHERE image_id = 0),
-b AS (SELECT c+40 AS x, r AS y, h FROM f_pixels WHERE image_id = 0)
-SELECT x, y, coalesce(a.h, b.h, 0e0) AS h FROM a FULL JOIN b USING (x, y)"""
+a AS (SELECT image_id, c AS x, r AS y, CASE WHEN red % 5 <> 0 THEN h END AS h FROM f_pixels),
+b AS (SELECT image_id, c+40 AS x, r AS y, h FROM f_pixels)
+SELECT image_id, x, y, coalesce(a.h, b.h, 0e0) AS h FROM a FULL JOIN b USING (image_id, x, y)"""
 
 
 def local_maxima(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,7 +115,7 @@ def nearest_seed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 CELLS = PIXELS + ",\n" + MAXIMA + """,
 met AS (SELECT p.image_id, p.r, p.c, t.r*1000+t.c AS seed_id, CAST((p.r-t.r)*(p.r-t.r)+(p.c-t.c)*(p.c-t.c) AS DOUBLE) AS d2 FROM f_pixels p JOIN top t
-  ON p.image_id = t.image_id AND t.r BETWEEN p.r-8 AND p.r+8 AND t.c BETWEEN p.c-8 AND p.c+8 WHERE (p.r-t.r)*(p.r-t.r)+(p.c-t.c)*(p.c-t.c) <= 64),
+  ON p.image_id = t.image_id),
 cell AS (SELECT image_id, r, c, arg_min(seed_id, (d2, seed_id)) AS seed_id, min(d2) AS d2 FROM met GROUP BY image_id, r, c)"""
 SQL_SEED = CELLS + "\nSELECT * FROM cell"
 
@@ -137,8 +137,11 @@ def smoothed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 WEIGHTS = "w AS (SELECT CAST(k AS BIGINT) AS k, exp(-5e-1*k*k) AS w FROM (SELECT unnest(range(-4, 5)) AS k))"
 SQL_SMOOTH = PIXELS + ",\n" + WEIGHTS + """,
-one AS (SELECT p.image_id, p.r, p.c, sum(q.h*w)/sum(w) AS h FROM f_pixels p JOIN w ON true JOIN f_pixels q ON q.image_id = p.image_id AND q.r = p.r AND q.c = p.c+k GROUP BY p.image_id, p.r, p.c)
-SELECT p.image_id, p.r, p.c, round(sum(q.h*w)/sum(w), 6) AS h FROM one p JOIN w ON true JOIN one q ON q.image_id = p.image_id AND q.c = p.c AND q.r = p.r+k GROUP BY p.image_id, p.r, p.c"""
+n AS (SELECT image_id, max(r)+1 AS nr, max(c)+1 AS nc FROM f_pixels GROUP BY image_id),
+mc AS (SELECT p.image_id, p.r, p.c, w, nc, (p.c+k+4*nc) % (2*nc) AS m FROM f_pixels p JOIN n USING (image_id), w),
+one AS (SELECT mc.image_id, mc.r, mc.c, sum(q.h*w)/sum(w) AS h FROM mc JOIN f_pixels q ON q.image_id = mc.image_id AND q.r = mc.r AND q.c = CASE WHEN m < nc THEN m ELSE 2*nc-1-m END GROUP BY mc.image_id, mc.r, mc.c),
+mr AS (SELECT p.image_id, p.r, p.c, w, nr, (p.r+k+4*nr) % (2*nr) AS m FROM one p JOIN n USING (image_id), w)
+SELECT mr.image_id, mr.r, mr.c, round(sum(q.h*w)/sum(w), 6) AS h FROM mr JOIN one q ON q.image_id = mr.image_id AND q.c = mr.c AND q.r = CASE WHEN m < nr THEN m ELSE 2*nr-1-m END GROUP BY mr.image_id, mr.r, mr.c"""
 
 
 def patch_local_max(spark: SparkSession, sf_dir: str) -> DataFrame:

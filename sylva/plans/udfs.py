@@ -102,7 +102,7 @@ def detect_stub(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect_crowns(load(spark, sf_dir, "f_pixels")).select("image_id", "seed_id", "score")
 
 
-SQL_DETECT = PIXELS + ",\n" + MAXIMA + "\nSELECT image_id, r*100000+c AS seed_id, least(h/50, 1e0) AS score FROM top"
+SQL_DETECT = PIXELS + ",\n" + MAXIMA + "\nSELECT image_id, r*4294967296+c AS seed_id, least(h/50, 1e0) AS score FROM top"
 
 
 def detect_on_patches(spark: SparkSession, sf_dir: str) -> DataFrame:

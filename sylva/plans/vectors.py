@@ -132,7 +132,7 @@ def zonal_ndvi_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sql_zonal(share: str = "5e-1") -> str:
     return f"""circle AS (SELECT pid, tile % 10 AS image_id, (x0+x1)/2 AS cx, (y0+y1)/2 AS cy, sqrt((x1-x0)*(x1-x0)+(y1-y0)*(y1-y0))/2*{share} AS r FROM f_preds),
-spot AS (SELECT p.pid, x.h, x.r*100000+x.c AS k, (x.nir/2.55e2-x.red/2.55e2)/(x.nir/2.55e2+x.red/2.55e2+1e-10) AS v FROM circle p JOIN f_pixels x
+spot AS (SELECT p.pid, x.h, x.r*4294967296+x.c AS k, (x.nir/2.55e2-x.red/2.55e2)/(x.nir/2.55e2+x.red/2.55e2+1e-10) AS v FROM circle p JOIN f_pixels x
   ON p.image_id = x.image_id AND (x.c-p.cx)*(x.c-p.cx)+(x.r-p.cy)*(x.r-p.cy) <= p.r*p.r),
 zone AS (SELECT pid, count(*) AS n_pixels, max(h) AS height, arg_max(k, (h, -k)) AS height_pixel, min(v) AS index_min, max(v) AS index_max, avg(v) AS index_mean, var_pop(v) AS index_var FROM spot GROUP BY pid),
 stat AS (SELECT p.pid, coalesce(n_pixels, 0) AS n_pixels, coalesce(height, -1e0) AS height, coalesce(height_pixel, -1) AS height_pixel, coalesce(index_min, -1e0) AS index_min,
@@ -204,7 +204,8 @@ def clean_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     ship(spark)
     preds = load(spark, sf_dir, "f_preds").withColumn("image_id", F.col("tile") % 10)
-    rows = clean.sequence_ids(clean.confidence_filter(preds, CONFIG.confidence), "tile", "pid").withColumn("area", g.ring_area(g.box_ring(box())))
+    rows = clean.sequence_ids(clean.confidence_filter(preds, CONFIG.confidence), "tile", "pid").withColumn("ring", g.box_ring(box()))
+    rows = clean.simplified_area(rows).drop("ring")
     rows = materialise(clean.greedy_suppress(clean.area_filter(rows, CONFIG.min_area, CONFIG.max_area), iou=CONFIG.iou, area_difference=0.5, cell=CELL), "survivors")
     found = zonal_stats(rows, load(spark, sf_dir, "f_pixels"), "pid", "image_id")
     found = found.select("pid", "height", F.round("index_mean", 9).alias("index_mean"), F.round("index_var", 9).alias("index_var"))
@@ -215,7 +216,7 @@ def clean_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = chosen.join(known, ["tile", "pid"])
     mean = g.round_ring(F.array(g.vertex_mean(g.box_ring(box()))))[0]
     return out.select(
-        "tile", "poly_id", F.col("conf").alias("Confidence_score"), F.col("area").alias("Area"), F.col("height").alias("TreeHeight"), F.concat(F.lit("x="), mean["x"].cast("decimal(18,3)").cast("string"), F.lit(";y="), mean["y"].cast("decimal(18,3)").cast("string")).alias("Centroid"),
+        "tile", "poly_id", F.col("conf").alias("Confidence_score"), F.col("area").alias("Area"), F.col("height").alias("TreeHeight"), g.point_json(mean).alias("Centroid"),
         F.round(g.diameter(F.col("area")), 9).alias("Diameter"), F.col("is_contained").cast("string").alias("is_contained"), F.col("num_contained"),
     )
 
@@ -236,7 +237,7 @@ other AS (SELECT tile, min(pid) AS o, arg_min(m, pid) AS om, arg_min(v, pid) AS
 fit AS (SELECT * FROM known WHERE NOT (height < 3 AND height > -1) AND NOT ((m < -5e-1 OR v > 5e-1) AND m > -1) AND NOT (abs(x0) <= 1 OR abs(y0) <= 1 OR abs(x1-160) <= 1 OR abs(y1-140) <= 1)),
 named AS (SELECT f.tile, CASE WHEN num_contained = 0 THEN pid WHEN abs(m-om) > 5e-2 THEN CASE WHEN v < ov THEN pid ELSE o END WHEN area > 0 THEN pid END AS pid FROM fit f LEFT JOIN other USING (tile) WHERE num_contained < 2)
 SELECT k.tile, poly_id, conf AS "Confidence_score", area AS "Area", height AS "TreeHeight",
-  concat('x=', CAST(CAST(round_even((3*x0+2*x1)/5e0*1e3, 0)/1e3 AS DECIMAL(18,3)) AS VARCHAR), ';y=', CAST(CAST(round_even((3*y0+2*y1)/5e0*1e3, 0)/1e3 AS DECIMAL(18,3)) AS VARCHAR)) AS "Centroid",
+  concat('{{"x": ', CAST(round_even((3*x0+2*x1)/5e0*1e3, 0)/1e3 AS VARCHAR), ', "y": ', CAST(round_even((3*y0+2*y1)/5e0*1e3, 0)/1e3 AS VARCHAR), '}}') AS "Centroid",
   round(2*sqrt(area/pi()), 9) AS "Diameter", CAST(is_contained AS VARCHAR) AS is_contained, num_contained FROM named n JOIN known k ON k.pid = n.pid"""
 
 
