@@ -12,6 +12,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from sylva.functions.overlay import covered_area
+
 Ring = list[tuple[float, float]]
 
 
@@ -82,25 +84,75 @@ def clip_convex(subject: Ring, clip: Ring) -> Ring:
     return subject
 
 
-def intersection_area(a: Ring, b: Ring) -> float:
-    """Of any two simple rings: both are signed sums of triangles from one corner, whose intersections are convex."""
+def polygon_iou(a: Ring, b: Ring) -> float:
+    """Of two closed rings."""
+    column = lambda r: pa.array([[{"x": x, "y": y} for x, y in r]], pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())])))
+    return float(iou_batch(column(a), column(b))[0])
 
-    def triangles(ring: Ring) -> list[tuple[float, Ring]]:
-        out, (ox, oy) = [], ring[0]
-        for (x0, y0), (x1, y1) in zip(ring[1:], ring[2:], strict=False):
-            twice = (x0 - ox) * (y1 - oy) - (x1 - ox) * (y0 - oy)
-            if twice:
-                out.append((1.0, [(ox, oy), (x0, y0), (x1, y1)]) if twice > 0 else (-1.0, [(ox, oy), (x1, y1), (x0, y0)]))
-        return out
 
-    total = sum(s * t * area(clip_convex(p, q)) for s, p in triangles(a) for t, q in triangles(b))
-    return abs(total)
+def padded(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(rings, sizes) of a column of closed rings: (n, most, 2) with the closing vertex left out and the last one repeated."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    points = column.flatten()
+    xy = np.stack([points.field(k).to_numpy(zero_copy_only=False) for k in (0, 1)], axis=1) if len(points) else np.zeros((1, 2))
+    first = np.cumsum(sizes) - sizes
+    count = np.maximum(sizes - 1, 0)
+    at = np.minimum(np.arange(max(count.max(initial=0), 1)), np.maximum(count[:, None] - 1, 0)) + first[:, None]
+    return xy[np.minimum(at, len(xy) - 1)], count
+
+
+def convex_rings(rings: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Which rings turn one way at every vertex, and once round in all."""
+    at = np.arange(rings.shape[1])
+    take = lambda i: np.take_along_axis(rings, np.broadcast_to(i, rings.shape[:2])[..., None], axis=1)
+    a = rings - take(np.where(at == 0, np.maximum(count - 1, 0)[:, None], np.maximum(at - 1, 0)))
+    b = take(np.where(at + 1 < count[:, None], np.minimum(at + 1, rings.shape[1] - 1), 0)) - rings
+    real = at < count[:, None]
+    cross = np.where(real, a[..., 0] * b[..., 1] - a[..., 1] * b[..., 0], 0)
+    turned = np.where(real, np.arctan2(cross, (a * b).sum(axis=2)), 0).sum(axis=1)
+    return ((cross >= 0).all(axis=1) | (cross <= 0).all(axis=1)) & (np.abs(turned) < 7)
+
+
+def signed_areas(rings: np.ndarray) -> np.ndarray:
+    moved = rings - rings[:, :1]
+    nxt = np.roll(moved, -1, axis=1)
+    return (moved[..., 0] * nxt[..., 1] - nxt[..., 0] * moved[..., 1]).sum(axis=1) / 2
+
+
+def clip_batch(subject: np.ndarray, clip: np.ndarray) -> np.ndarray:
+    """Parts of convex rings inside anticlockwise convex ones, pair by pair; repeated vertices cut nothing off."""
+    for k in range(clip.shape[1]):
+        p, q = clip[:, k], clip[:, (k + 1) % clip.shape[1]]
+        d = q - p
+        side = d[:, None, 0] * (subject[..., 1] - p[:, None, 1]) - d[:, None, 1] * (subject[..., 0] - p[:, None, 0])
+        before, last = np.roll(subject, 1, axis=1), np.roll(side, 1, axis=1)
+        inside = side >= 0
+        cross = inside != (last >= 0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            point = before + (last / (last - side))[..., None] * (subject - before)
+        both = np.stack((np.where(cross[..., None], point, 0), subject), axis=2).reshape(len(subject), -1, 2)
+        keep = np.stack((cross, inside), axis=2).reshape(len(subject), -1)
+        order = np.argsort(~keep, axis=1, kind="stable")[:, : max(int(keep.sum(axis=1).max(initial=0)), 1)]
+        count = keep.sum(axis=1)
+        order = np.where(np.arange(order.shape[1]) < count[:, None], order, np.take_along_axis(order, np.maximum(count - 1, 0)[:, None], axis=1))
+        subject = np.take_along_axis(both, order[..., None], axis=1)
+        subject = np.where((count > 0)[:, None, None], subject, 0)
+    return subject
 
 
-def polygon_iou(a: Ring, b: Ring) -> float:
-    common = intersection_area(a, b)
-    union = area(a) + area(b) - common
-    return common / union if union > 0 else 0.0
+def iou_batch(a: pa.Array, b: pa.Array) -> np.ndarray:
+    """IoU of the rings of two columns, row by row: convex rings all at once, others by slabs."""
+    (p, n), (q, m) = padded(a), padded(b)
+    areas = signed_areas(p), signed_areas(q)
+    q = np.where((areas[1] < 0)[:, None, None], q[:, ::-1], q)
+    convex = convex_rings(p, n) & convex_rings(q, m)
+    common = np.zeros(len(p))
+    if convex.any():
+        common[convex] = np.abs(signed_areas(clip_batch(p[convex], q[convex])))
+    for i in np.flatnonzero(~convex):
+        common[i] = covered_area([p[i]], [[q[i]]])  # repeated vertices make edges without length
+    union = np.abs(areas[0]) + np.abs(areas[1]) - common
+    return np.where(union > 0, common / np.where(union > 0, union, 1), 0.0)
 
 
 def decode_rle(counts: list[int], height: int, width: int) -> np.ndarray:

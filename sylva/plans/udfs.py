@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from sylva.functions import geometry as g
 from sylva.functions.geometry import box
-from sylva.functions.polygons import apply_kernel, contours, decode_rle, polygon_iou, rings_of, simplify
+from sylva.functions.polygons import apply_kernel, contours, decode_rle, iou_batch, simplify
 from sylva.operators import evaluate as ev
 from sylva.operators.detect import detect_crowns, detect_patches, hulls, threshold_detector
 from sylva.operators.spatial_join import grid_join
@@ -87,8 +87,7 @@ def polygon_iou_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [polygon_iou(a, b) for a, b in zip(rings_of(batch.column(2)), rings_of(batch.column(3)), strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.float64())], names=["pid", "aid", "iou"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(iou_batch(batch.column(2), batch.column(3)), pa.float64())], names=["pid", "aid", "iou"])
 
     return pairs.mapInArrow(run, "pid long, aid long, iou double").withColumn("iou", F.round("iou", 6))
 

@@ -22,7 +22,8 @@ def inside(shape, x, y):
 def star(r, n):
     angles = np.sort(np.array([r.uniform(0, 6.283) for _ in range(n)]))
     size = np.array([r.uniform(0.5, 4) for _ in range(n)])
-    return np.stack((r.uniform(4.1, 7.9) + size * np.cos(angles), r.uniform(4.1, 7.9) + size * np.sin(angles)), axis=1)
+    x, y = r.uniform(4.1, 7.9), r.uniform(4.1, 7.9)
+    return np.stack((x + size * np.cos(angles), y + size * np.sin(angles)), axis=1)
 
 
 def test_covered_area_against_a_raster():
@@ -71,3 +72,28 @@ def test_polygons_with_holes_and_gaps(spark):
     tiles = spark.createDataFrame([("a", -1.0, -1.0, 5.0, 5.0), ("b", 1.0, 1.0, 12.0, 9.0), ("c", 36.0, 6.0, 40.0, 10.0)], "tile_id string, x0 double, y0 double, x1 double, y1 double")
     flags = {r["tile_id"]: (r["only_forest"], r["only_urban"]) for r in tiling.coverage_flags(tiles, out, 0.5, 8.0).collect()}
     assert flags == {"a": (False, False), "b": (True, False), "c": (False, True)}
+
+
+def test_polygon_iou_of_convex_and_other_rings():
+    from sylva.functions.polygons import polygon_iou
+
+    r = random.Random(3)
+    x, y = np.meshgrid((np.arange(480) + 0.5) / 40, (np.arange(480) + 0.5) / 40)
+    for k in range(40):
+        rings = []
+        for _ in range(2):
+            points = star(r, r.randrange(3, 8))
+            if k % 2:
+                from sylva.functions.polygons import convex_hull
+
+                hull = convex_hull([tuple(p) for p in points])[:-1]
+                points = np.array(hull if k % 4 == 1 else hull[::-1])
+            rings.append([tuple(map(float, p)) for p in points])
+        a, b = (inside([np.array(p)], x, y) for p in rings)
+        got = polygon_iou(*[p + p[:1] for p in rings])
+        if k % 2:
+            assert abs(got - (a & b).sum() / max((a | b).sum(), 1)) < 0.02
+        else:  # rings may cross themselves nowhere, as their angles are in order
+            assert abs(got - (a & b).sum() / max((a | b).sum(), 1)) < 0.06
+    square = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0), (0.0, 0.0)]
+    assert polygon_iou(square, square) == 1.0 and polygon_iou(square, [(x + 9, y) for x, y in square]) == 0.0
