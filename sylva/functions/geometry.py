@@ -33,6 +33,11 @@ def pixel_to_geo(t: dict[str, Column], row: Column, col: Column, centre: bool =
     return t["a"] * col + t["b"] * row + t["c"], t["d"] * col + t["e"] * row + t["f"]
 
 
+def pixels_to_geo(t: dict[str, Column], rows: Column, cols: Column) -> tuple[Column, Column]:
+    """World coordinates of arrays of pixels."""
+    return F.zip_with(rows, cols, lambda r, c: pixel_to_geo(t, r, c)[0]), F.zip_with(rows, cols, lambda r, c: pixel_to_geo(t, r, c)[1])
+
+
 def geo_to_pixel(t: dict[str, Column], x: Column, y: Column, floor: bool = False) -> tuple[Column, Column]:
     """(row, col) of a point without shear; truncated towards zero, or floored. A zero pixel size is an error."""
     whole = F.floor if floor else lambda v: v.cast("long")

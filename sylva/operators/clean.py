@@ -62,6 +62,11 @@ def border_filter(df: DataFrame, bounds: dict[str, Column], eps: float) -> DataF
     return df.filter(~near_border(box(), bounds, eps))
 
 
+def owner_strip(tile: float, buffer: float, tiles: int, pixel: float) -> Column:
+    """Half the width of the strip along a border that the merged image owns."""
+    return dbl((tile + 2 * buffer) * tiles * abs(pixel) / 2)
+
+
 def overlap_owner_filter(df: DataFrame, bounds: dict[str, Column], strip: Column, merged: Column) -> DataFrame:
     """Crowns of an image that isn't merged itself, but for those that lie wholly in a strip that a merged image owns."""
     b = box()
@@ -69,17 +74,17 @@ def overlap_owner_filter(df: DataFrame, bounds: dict[str, Column], strip: Column
     return df.filter(merged | ~owned)
 
 
-def iou_pairs(df: DataFrame, group: str, key: str, iou: float, cell: float, area_difference: float | None = None) -> DataFrame:
-    """Ordered pairs (group, i, j) of different boxes of a group with an IoU above the limit and areas that are near."""
+def iou_pairs(df: DataFrame, group: str, key: str, iou: float | str, cell: float, area_difference: float | None = None) -> DataFrame:
+    """Ordered pairs (group, i, j) of different boxes of a group with an IoU above the limit (a number, or a column) and areas that are near."""
     a, b = box("a_"), box("b_")
-    rule = (F.col(f"a_{key}") != F.col(f"b_{key}")) & (box_iou(a, b) > dbl(iou))
+    rule = (F.col(f"a_{key}") != F.col(f"b_{key}")) & (box_iou(a, b) > (F.col("a_" + iou) if isinstance(iou, str) else dbl(iou)))
     if area_difference is not None:
         rule = rule & (F.abs(box_area(a) - box_area(b)) / F.greatest(box_area(a), box_area(b)) < dbl(area_difference))
     pairs = grid_join(df, df, cell, (group,), rule)
     return pairs.select(F.col(f"a_{group}").alias(group), F.col(f"a_{key}").alias("i"), F.col(f"b_{key}").alias("j"), F.col("b_conf").alias("conf"))
 
 
-def greedy_suppress(df: DataFrame, group: str = "tile", key: str = "pid", iou: float = 0.5, area_difference: float = 1.0, cell: float = 64.0) -> DataFrame:
+def greedy_suppress(df: DataFrame, group: str = "tile", key: str = "pid", iou: float | str = 0.5, area_difference: float = 1.0, cell: float = 64.0) -> DataFrame:
     """Rows that survive a fold in key order: a row that isn't removed yet keeps the most confident of its group.
 
     A row's group is itself and all rows that overlap it, those that were removed before included; the best is the

@@ -8,15 +8,28 @@ of the pixels around it that belong to it.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sylva.functions.polygons import RING, as_structs, contours, convex_hull
 from sylva.operators import raster
+from sylva.operators.clean import iou_pairs
+
+
+@dataclass(frozen=True)
+class ModelConfig:
+    """What a trained network is set to, and what is done with its results."""
+
+    base: str = "COCO-InstanceSegmentation/mask_rcnn_R_101_FPN_3x.yaml"
+    classes: int = 1
+    score: float = 0.3
+    suppression: float = 0.5
+    max_batch_size: int = 10
 
 
 class Detector(Protocol):
@@ -67,3 +80,39 @@ def hulls(points: DataFrame, keys: list[str], x: str, y: str, value: str) -> Dat
     from sylva.functions.polygons import apply_kernel
 
     return apply_kernel(grouped, "points", convex_hull).drop("points")
+
+
+def batched(work: DataFrame, key: str, size: int, group: str) -> DataFrame:
+    """work with batch: numbers of runs of `size` rows of a group, in order of the key."""
+    return work.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(group).orderBy(key)) - 1) / size))
+
+
+def shuffled(work: DataFrame, key: str, seed: int, group: str) -> DataFrame:
+    """work with place: a number in each group, in an order that the seed alone decides."""
+    mixed = F.pmod((F.col(key) + seed) * 2654435761, F.lit(1 << 32))
+    return work.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy(mixed, key)))
+
+
+def suppress_non_maxima(found: DataFrame, config: ModelConfig = ModelConfig(), group: str = "tile", key: str = "pid", cell: float = 64.0) -> DataFrame:
+    """What a network's own last step leaves: detections of the least score, without those that overlap a better one that stays.
+
+    Pairs above the limit are found on the grid; one walk a group, in order of score, then key.
+    """
+    sure = found.filter(F.col("conf") >= config.score)
+    pairs = iou_pairs(sure, group, key, config.suppression, cell)
+    pairs = pairs.join(sure.select(group, F.col(key).alias("i"), F.col("conf").alias("own")), [group, "i"])
+
+    def walk(table: pa.Table) -> pa.Table:
+        i, j, own = (table[c].to_numpy() for c in ("i", "j", "own"))
+        near: dict[int, list[int]] = {}
+        for a, b in zip(i.tolist(), j.tolist(), strict=True):
+            near.setdefault(a, []).append(b)
+        gone: set[int] = set()
+        for a in sorted(near, key=dict(zip(i.tolist(), zip((-own).tolist(), i.tolist(), strict=True), strict=True)).__getitem__):
+            if a not in gone:
+                gone.update(near[a])
+        lost = sorted(gone)
+        return pa.table([pa.array([table[group][0].as_py()] * len(lost), table.schema.field(group).type), pa.array(lost, pa.int64())], names=[group, key])
+
+    lost = pairs.select(group, F.col("i").cast("long"), F.col("j").cast("long"), "own").groupBy(group).applyInArrow(walk, f"`{group}` {found.schema[group].dataType.simpleString()}, `{key}` long")
+    return sure.join(lost, [group, key], "left_anti")

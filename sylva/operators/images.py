@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sylva.functions.geometry import box, box_area, clipped, crosses, dbl, grown, inside, merged_name, regex_identifier, stem, touches
+from sylva.functions.geometry import box, box_area, clipped, crosses, dbl, grown, inside, merged_name, pixel_to_geo, regex_identifier, stem, touches
 from sylva.functions.overlay import SLACK, union_area, with_cover
 from sylva.operators.spatial_join import grid_join
 
@@ -108,3 +108,35 @@ def clip_to_bounds(df: DataFrame, bounds: dict, inset: float = 2.0) -> DataFrame
     cut = clipped(ordered, grown(bounds, -inset))
     out = df.select(*[c for c in df.columns if c not in cut], *[v.alias(k) for k, v in cut.items()])
     return out.filter((F.col("x0") < F.col("x1")) & (F.col("y0") < F.col("y1")))
+
+
+def project(preds: DataFrame, tiles: DataFrame, key: str = "tile_id") -> DataFrame:
+    """Predictions with their rings (pixel column and row) in world coordinates, and the tile's reference system.
+
+    tiles: (key, crs, a, b, c, d, e, f). Predictions without a tile have a null ring and reference system. Points are the
+    centres of pixels.
+    """
+    t = {k: F.col("_t." + k) for k in "abcdef"}
+    known = tiles.select(key, F.struct(*"abcdef").alias("_t"), "crs")
+    place = lambda p: [v.alias(n) for v, n in zip(pixel_to_geo(t, p["y"], p["x"], centre=True), "xy", strict=True)]
+    return preds.join(known, key, "left").withColumn("ring", F.when(F.col("_t").isNotNull(), F.transform("ring", lambda p: F.struct(*place(p))))).drop("_t")
+
+
+def by_stem(images: DataFrame, files: DataFrame, order: tuple[str, ...] = ("gpkg", "json"), name: str = "file_name") -> DataFrame:
+    """images with the file (name) of the same stem, of the first kind of `order` that there is; null if there is none."""
+    kind = F.regexp_extract("name", r"\.([^.]*)$", 1)
+    rank = F.array_position(F.array(*map(F.lit, order)), kind)
+    best = files.withColumn("_rank", rank).filter("_rank > 0").groupBy(stem(F.col("name")).alias("_stem")).agg(F.min(F.struct("_rank", "name"))["name"].alias("match"))
+    return images.join(best, stem(F.col(name)) == F.col("_stem"), "left").drop("_stem")
+
+
+def extent_overlap(left: DataFrame, right: DataFrame, group: str) -> DataFrame:
+    """(group, x0, y0, x1, y1) of what the extents of two layers have in common, group by group; groups without any go."""
+    extent = lambda df, p: df.groupBy(group).agg(*[(F.min if k in ("x0", "y0") else F.max)(k).alias(p + k) for k in ("x0", "y0", "x1", "y1")])
+    joined = extent(left, "l_").join(extent(right, "r_"), group)
+    return joined.select(group, *[v.alias(k) for k, v in clipped(box("l_"), box("r_")).items()]).filter("x0 < x1 AND y0 < y1")
+
+
+def unmatched(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Keys of the left table that the right one lacks, to be reported."""
+    return left.select(key).distinct().join(right.select(key).distinct(), key, "left_anti")
