@@ -9,6 +9,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 PACKAGE = Path(__file__).resolve().parent
 _SHIPPED: set[str] = set()
@@ -81,6 +82,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def relieve(spark: SparkSession) -> None:
+    """Have the executors collect garbage, so that their JVMs give free heap back before the next stage of a pipeline needs other memory."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')").alias("done")).agg(F.count("done")).collect()
+
+
 def give_back() -> None:
     """Return freed memory of this process to the system; workers live on from task to task."""
     import ctypes
