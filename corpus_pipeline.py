@@ -18,22 +18,27 @@ from sylva.llm.quality import kept_documents
 from sylva.llm.repeats import remove_repeats
 from sylva.llm.sentencepiece_codec import encode_texts
 from sylva.llm.session import prepare
-from sylva.runtime import materialise
+from sylva.runtime import materialise, relieve
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Near copies share four fifths of their five-word shingles.
 SHINGLE, PERCENT = 5, 80
 
 
+def begin(spark: SparkSession) -> None:
+    prepare(spark)
+    relieve(spark)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
-    prepare(spark)
+    begin(spark)
     return kept_documents(docs.select(*COLUMNS), materialise)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group that n-gram Jaccard links connect."""
-    prepare(spark)
+    begin(spark)
     docs = docs.select(*COLUMNS)
     groups = jaccard_components(docs, SHINGLE, PERCENT)
     gone = materialise(groups.filter("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
@@ -43,7 +48,7 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the byte strings that a document with a smaller id has too; texts that were all repeats go."""
-    prepare(spark)
+    begin(spark)
     left = remove_repeats(docs.select(*COLUMNS), kept_text=True)
     left = left.filter((F.col("n_removed") == 0) | (F.length(F.trim("kept_text")) > 0))
     changed = F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("kept_text").cast("long"))
@@ -52,13 +57,13 @@ def repeated_strings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without passages of the benchmark."""
-    prepare(spark)
+    begin(spark)
     return without_leaks(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their token ids, and whether the backend agreed with the library on them."""
-    prepare(spark)
+    begin(spark)
     return encode_texts(docs.select(*COLUMNS)).withColumn("n_tokens", F.size("token_ids").cast("long"))
 
 
