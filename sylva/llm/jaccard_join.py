@@ -39,8 +39,8 @@ SMALL = 6
 GROUPED = 16
 #: Ids of candidate documents in one broadcast at most; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-#: log2 of the numbers in a short profile at most.
-SHORT = 8
+#: log2 of the numbers in a short profile at most, and how many there are for a shingle up to that.
+SHORT, FINE = 10, 4.0
 
 
 def document_sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -252,14 +252,14 @@ def similar(percent: int):
     return apply
 
 
-def profiles(k: int, most: int = 32):
-    """How many shingles each document has in each of about n / 4 equal ranges of hashes (a power of two, 2**most at most)."""
+def profiles(k: int, most: int = 32, fine: float = 0.5):
+    """How many shingles each document has in each of fine * n / 2 to fine * n equal ranges of hashes (a power of two, 2**most at most)."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, out = [], []
             for _, tokens in document_sets(batch, k):
-                bits = min(most, max(1, (len(tokens) // 4).bit_length()))
+                bits = min(most, max(1, int(len(tokens) * fine / 2).bit_length()))
                 counts = np.bincount((tokens >> U(64 - bits)).astype(np.int64), minlength=1 << bits)
                 sizes.append(len(tokens))
                 out.append(counts.astype(np.uint8).tobytes() if counts.max() < 256 else None)
@@ -295,7 +295,7 @@ def texts_of(ids: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def ends(pairs: DataFrame) -> DataFrame:
-    return pairs.select(F.explode(F.array("a", "b")).alias("id"))
+    return pairs.select(F.col("a").alias("id")).distinct().unionByName(pairs.select(F.col("b").alias("id")).distinct())
 
 
 def linked(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -330,7 +330,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, text: str
     members = materialise(members, "members")
     apart = members.groupBy("set").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("set")
     live = materialise(members.join(apart, "set", "left_semi"), "live")
-    short = texts_of(live.select("b"), own).mapInArrow(profiles(k, SHORT), "doc long, size long, profile binary").groupBy("doc").agg(F.max("profile").alias("profile"))
+    short = texts_of(live.select("b"), own).mapInArrow(profiles(k, SHORT, FINE), "doc long, size long, profile binary").groupBy("doc").agg(F.max("profile").alias("profile"))
     rest = live.join(short, live["b"] == short["doc"]).select("set", "b", "n", "root", "profile").groupBy("set").applyInArrow(left_over(percent), "a long, b long")
     more = linked(rest, own, k, percent)
     roots = materialise(components(links.unionByName(more)), "roots")
