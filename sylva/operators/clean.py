@@ -54,8 +54,9 @@ def height_passes(height: Column, low: float) -> Column:
     return ~((height < dbl(low)) & (height > -1))
 
 
-def index_passes(mean: Column, variance: Column, low: float, high: float) -> Column:
-    return ~(((mean < dbl(low)) | (variance > dbl(high))) & (mean > -1))
+def index_passes(mean: Column, variance: Column, low: float | Column, high: float | Column) -> Column:
+    low, high = (v if isinstance(v, Column) else dbl(v) for v in (low, high))
+    return ~(((mean < low) | (variance > high)) & (mean > -1))
 
 
 def border_filter(df: DataFrame, bounds: dict[str, Column], eps: float) -> DataFrame:

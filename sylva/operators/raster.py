@@ -4,10 +4,14 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sylva.functions.geometry import dbl, ndvi, rescale, to_8_bit
+from sylva.functions.polygons import RING, apply_kernel, as_structs, convex_hull, label
+from sylva.functions.repair import voronoi_cells
 from sylva.runtime import materialise
 
 
@@ -186,3 +190,37 @@ def resize_mask(mask: Column, height: int, width: int, rows: int, cols: int) ->
         return ((at(a, x) * (1 - v) + at(a, y) * v) * (1 - u) + (at(b, x) * (1 - v) + at(b, y) * v) * u).cast("int")
 
     return F.transform(F.sequence(F.lit(0), F.lit(rows * cols - 1)), value)
+
+
+def components_of(cells: DataFrame, group: str, row: str = "r", col: str = "c") -> DataFrame:
+    """(group, r, c, component) of pixels: 4-connected regions, numbered from 1 in the order of their first pixel. A group's pixels meet in one task."""
+    kinds = {f.name: f.dataType.simpleString() for f in cells.schema}
+
+    def run(table: pa.Table) -> pa.Table:
+        r, c = table[row].to_numpy(), table[col].to_numpy()
+        mask = np.zeros((int(r.max() - r.min()) + 1, int(c.max() - c.min()) + 1), bool)
+        mask[r - r.min(), c - c.min()] = True
+        found = label(mask, False)[r - r.min(), c - c.min()]
+        return pa.table([table[group], table[row], table[col], pa.array(found, pa.int64())], names=[group, row, col, "component"])
+
+    return cells.select(group, row, col).groupBy(group).applyInArrow(run, f"`{group}` {kinds[group]}, `{row}` {kinds[row]}, `{col}` {kinds[col]}, component long")
+
+
+def cell_crowns(cells: DataFrame, pixels: DataFrame, above: float, share: float) -> DataFrame:
+    """(image_id, seed_id, verdict, ring) of the cells that are kept: the hull of all pixels of a whole one, of those above the limit of another; null for fewer than three."""
+    kept = cell_share(cells, pixels, above, share).filter("verdict <> 'drop'").select("image_id", "seed_id", "verdict")
+    points = cells.join(pixels.select("image_id", "r", "c", "h"), ["image_id", "r", "c"]).filter(F.col("h") > dbl(above)).join(kept, ["image_id", "seed_id"])
+    grouped = points.groupBy("image_id", "seed_id", "verdict").agg(F.collect_list(F.struct(F.col("c").cast("double").alias("x"), F.col("r").cast("double").alias("y"))).alias("points"))
+    return apply_kernel(grouped, "points", convex_hull).drop("points")
+
+
+def vector_cells(seeds: DataFrame, group: str, bounds: tuple[float, float, float, float]) -> DataFrame:
+    """(group, seed_id, ring) of seeds (group, seed_id, x, y): Voronoi cells clipped to the bounds; unbounded ones have none and go. A group's seeds meet in one task."""
+    kind = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
+
+    def run(table: pa.Table) -> pa.Table:
+        rings = voronoi_cells(np.stack([table[c].to_numpy() for c in "xy"], axis=1), bounds)
+        return pa.table([table[group], table["seed_id"], pa.array([as_structs(r) for r in rings], kind)], names=[group, "seed_id", "ring"])
+
+    types = {f.name: f.dataType.simpleString() for f in seeds.schema}
+    return seeds.select(group, "seed_id", "x", "y").groupBy(group).applyInArrow(run, f"`{group}` {types[group]}, seed_id {types['seed_id']}, ring {RING}").filter("ring IS NOT NULL")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from sylva.plans import evaluation, files, rasters, tiles, udfs, vectors
+from sylva.plans import evaluation, files, rasters, shapes, tiles, udfs, vectors
 
-MODULES = (vectors, tiles, rasters, evaluation, udfs, files)
+MODULES = (vectors, tiles, rasters, evaluation, udfs, files, shapes)
 QUERIES: dict = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 ORACLES: dict[str, str] = {name: text for m in MODULES for name, text in m.ORACLES.items()}
