@@ -6,8 +6,9 @@ no token reaches over the border of a turn and the mask is exact. Marks inside t
 backslash is doubled, and a mark gets one after its first character.
 
 Turns are ordered by turn, then role, then text (ties and repeated rows are kept). Null texts and roles are empty;
-a null conversation id is a conversation. An empty table gives an empty result. A conversation is one output row, so
-its turns meet in one task; conversations are spread by their id.
+a null conversation id is a conversation. Texts of any length are formatted whole, and extra columns are ignored whatever
+their names. An empty table gives an empty result. A conversation is one output row, so its turns meet in one task;
+conversations are spread by their id.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -92,11 +94,14 @@ def format_chats(turns: DataFrame, vocabulary: str = "byte_bpe_50k.json", learn:
                 batch = big.slice(first, BATCH)
                 made = [render(t, roles) for t in batch.column(1).to_pylist()]
                 encoded = library.encode_batch([m[0] for m in made], add_special_tokens=False)
-                spans = [np.array(e.offsets, np.int32).reshape(-1, 2) for e in encoded]
+                spans = [np.fromiter(chain.from_iterable(e.offsets), np.int32, 2 * len(e)).reshape(-1, 2) for e in encoded]
                 masks = [loss_mask(s[:, 0], m[1], m[2]) for s, m in zip(spans, made, strict=True)]
-                columns = [pa.array([m[0] for m in made], pa.string()), pa.array([e.ids for e in encoded], pa.list_(pa.int32()))]
-                columns += [pa.array([s[:, i] for s in spans], pa.list_(pa.int32())) for i in (0, 1)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(masks, pa.list_(pa.bool_()))], names=["conv_id", "formatted", "token_ids", "token_starts", "token_ends", "loss_mask"])
+                edges = pa.array(np.append(0, np.cumsum([len(e) for e in encoded])), pa.int32())
+                listed = lambda x, edges=edges: pa.ListArray.from_arrays(edges, pa.array(x))
+                flat = np.concatenate(spans)
+                ids = np.fromiter(chain.from_iterable(e.ids for e in encoded), np.int32, len(flat))
+                columns = [pa.array([m[0] for m in made], pa.string()), listed(ids), listed(flat[:, 0]), listed(flat[:, 1]), listed(np.concatenate(masks))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["conv_id", "formatted", "token_ids", "token_starts", "token_ends", "loss_mask"])
 
     return whole.mapInArrow(apply, f"conv_id {turns.schema['conv_id'].dataType.simpleString()}, {OUTPUT}")
 
@@ -107,17 +112,16 @@ def read_chats(formatted: DataFrame) -> DataFrame:
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, starts, ends, mask in zip(*(batch.column(i).to_pylist() for i in range(1, 5)), strict=True):
+            starts, ends, mask = (batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in (2, 3, 4))
+            edges = np.append(0, np.cumsum([len(x) for x in batch.column(2)]))
+            for text, a, b in zip(batch.column(1).to_pylist(), edges[:-1], edges[1:], strict=True):
                 told, n = hashlib.sha256(), 0
                 for role, said in FORM.findall(text):
                     told.update(f"{unescape(role)}\n{unescape(said)}\n".encode())
                     n += 1
-                parts, last = [], -1
-                for a, b, learned in zip(starts, ends, mask, strict=True):
-                    if learned:
-                        parts.append(text[max(a, last) : b])
-                        last = max(last, b)
-                loss = unescape("".join(parts))
+                # Learned tokens that follow each other cover one piece of the text.
+                turn = np.flatnonzero(np.diff(mask[a:b].astype(np.int8), prepend=0, append=0)) + a
+                loss = unescape("".join(text[starts[x] : ends[x:y].max()] for x, y in zip(turn[::2], turn[1::2], strict=True)))
                 rows.append((n, told.hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(text)))
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
