@@ -4,28 +4,31 @@ The model file's protocol buffer is parsed here and rebuilt as a tokenizers pipe
 extra spaces, leading mark, spaces to marks), pieces with their scores (unigram) or merges ordered by score (BPE),
 byte fallback, and the decoder that undoes it all. Texts are encoded in batches on several threads.
 
-The ids and the decoded texts are this backend's. In a model that cuts_are_safe() accepts, Python does the normaliser's
-work (spaces to marks, the leading mark) and cuts the texts, so that each distinct pre-token is encoded once; runs of
-marks, whose merges tie in the model, are merged here in sentencepiece's order, which the tokenizers library lacks.
+The ids and the decoded texts are this backend's: whole texts go through its normaliser, pre-tokenizer, merges and
+decoder. Only pre-tokens that begin with a run of marks, whose merges tie in the model, are merged here in
+sentencepiece's order, which the tokenizers library lacks.
 
 Parity is verified against the sentencepiece library for every text; where the two differ, the library's ids are
 returned and the row says so.
 
 Nulls and empty texts have no ids. Decoding gives back the text, but for U+2581, which the model can't tell from a
-space. Repeated rows count each; extra columns are kept or ignored as the caller selects. Empty tables work.
+space. A text of any length is encoded whole, a longer one than BATCH_BYTES in a call of its own. Repeated rows count
+each. Extra columns are kept by encode_texts() and decode_texts(), which replace those that have the name of a result;
+round_trip() returns the id and its results only. Empty tables work.
 """
 
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from heapq import heappop, heappush
-from itertools import chain
+from itertools import chain, groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from sylva.llm.protobuf import Model, read_model
@@ -33,9 +36,7 @@ from sylva.llm.token_counts import MARK, cuts_are_safe, resolve
 from sylva.runtime import give_back
 
 #: Texts encoded in one call, by bytes.
-BATCH_BYTES = 1 << 19
-#: Pre-tokens kept in one worker's memory before it is emptied.
-MEMORY = 400_000
+BATCH_BYTES = 1 << 18
 #: No merge crosses these cuts in a model that cuts_are_safe() accepts.
 CUT = f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+"
 
@@ -49,7 +50,11 @@ def merges_of(model: Model) -> list[tuple[str, str]]:
 
 
 def backend(model: Model):
-    """The tokenizers pipeline that does what the model says."""
+    """(general, quick): tokenizers pipelines that do what the model says; they share pieces and merges.
+
+    general cuts texts into pre-tokens; quick merges a whole text at once, with the same ids, as no merge crosses a cut. It is
+    None for models that cuts_are_safe() doesn't accept.
+    """
     from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
     if model.kind == Model.BPE:
@@ -69,13 +74,16 @@ def backend(model: Model):
         steps.append(normalizers.Replace(" ", MARK))
     if steps:
         core.normalizer = normalizers.Sequence(steps)
-    if cuts_are_safe(model):
-        core.pre_tokenizer = pre_tokenizers.Split(Regex(CUT), "isolated")
-    undo = [decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse()]
+    undo = [decoders.ByteFallback(), decoders.Fuse(), decoders.Metaspace(MARK, "never")]
     if model.add_dummy_prefix:
         undo.append(decoders.Strip(" ", 1, 0))
     core.decoder = decoders.Sequence(undo)
-    return core
+    if not cuts_are_safe(model):
+        return core, None
+    quick = Tokenizer(core.model)
+    quick.normalizer, quick.decoder = core.normalizer, core.decoder
+    core.pre_tokenizer = pre_tokenizers.Split(Regex(CUT), "isolated")
+    return core, quick
 
 
 def by_score(model: Model):
@@ -119,29 +127,6 @@ def by_score(model: Model):
     return ids
 
 
-class Words(dict):
-    """Ids of pre-tokens. Those that are new are encoded together by the backend, on several threads.
-
-    before: what stands before each key in the text that is encoded. tied: encodes pre-tokens with a run of marks.
-    """
-
-    def __init__(self, core, tied, before: str = "") -> None:
-        super().__init__()
-        self.core, self.tied, self.before = core, tied, before
-
-    def ids(self, cuts: list[list[str]]) -> list[list[int]]:
-        new = [p for p in set(chain.from_iterable(cuts)) if p not in self]
-        if len(self) + len(new) > MEMORY:
-            self.clear()
-            new = list(set(chain.from_iterable(cuts)))
-        runs = [p for p in new if (self.before + p).startswith(MARK * 2)]
-        self.update((p, self.tied(self.before + p)) for p in runs)
-        plain = [p for p in new if p not in self]
-        self.update(zip(plain, (e.ids for e in self.core.encode_batch_fast([self.before + p for p in plain], add_special_tokens=False)), strict=True))
-        get = self.__getitem__
-        return [list(chain.from_iterable(map(get, c))) for c in cuts]
-
-
 class Codec:
     """Both libraries on one model file, made once per worker process."""
 
@@ -153,35 +138,34 @@ class Codec:
             data = file.read()
         self.threads = threads
         model = read_model(data)
-        self.core = backend(model)
+        self.model_kind = model.kind
+        self.core, self.quick = backend(model)
         self.library = sentencepiece.SentencePieceProcessor(model_proto=data)
-        self.words = None
-        self.first = MARK if model.add_dummy_prefix else ""
-        if cuts_are_safe(model):  # texts are cut first, so that each distinct pre-token is encoded once
-            self.core.normalizer = self.core.pre_tokenizer = None
-            tied = by_score(model)
-            self.words, self.spaced = Words(self.core, tied), Words(self.core, tied, MARK)
-            self.cut = re.compile(CUT).findall
+        self.tied = by_score(model) if self.quick else None
 
     def own_ids(self, texts: list[str]) -> list[list[int]]:
-        """Ids by the backend."""
-        if self.words is None:
-            return [e.ids for e in self.core.encode_batch_fast(texts, add_special_tokens=False)]
-        out: list[list[int]] = [[]] * len(texts)
-        # Where single spaces part the words, each word and the mark before it is a pre-token, or several with line feeds between.
-        easy = [i for i, t in enumerate(texts) if t and self.first and t[0] != " " and "  " not in t and MARK not in t]
-        rest = [i for i in set(range(len(texts))).difference(easy) if texts[i]]
-        for chosen, words, cuts in ((easy, self.spaced, [texts[i].split(" ") for i in easy]), (rest, self.words, [self.cut(self.first + texts[i].replace(" ", MARK)) for i in rest])):
-            for i, ids in zip(chosen, words.ids(cuts), strict=True):
-                out[i] = ids
+        """Ids by the backend, of whole texts on several threads."""
+        encoded = (self.quick or self.core).encode_batch_fast(texts, add_special_tokens=False)
+        if self.quick is None:
+            return [e.ids for e in encoded]
+        return [self.with_runs(t) if "  " in t or MARK in t or t[:1] == " " else e.ids for t, e in zip(texts, encoded, strict=True)]
+
+    def with_runs(self, text: str) -> list[int]:
+        """The backend's ids, but for pre-tokens that begin with a run of marks: their merges tie, and go in the model's order."""
+        [encoded] = self.core.encode_batch([text], add_special_tokens=False)
+        cuts = self.core.pre_tokenizer.pre_tokenize_str(self.core.normalizer.normalize_str(text))
+        out: list[int] = []
+        for word, tokens in groupby(zip(encoded.word_ids, encoded.ids, strict=True), itemgetter(0)):
+            cut = cuts[word][0]
+            out += self.tied(cut) if cut.startswith(MARK * 2) else [i for _, i in tokens]
         return out
 
     def encode(self, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
         """(ids, whether the backend agreed with the library) of each text: the backend's ids, or the library's where they differ."""
-        theirs = self.library.encode(texts, num_threads=self.threads)
+        theirs = self.library.encode(texts, num_threads=self.threads, return_type="numpy")
         ours = self.own_ids(texts)
-        agree = [a == b for a, b in zip(ours, theirs, strict=True)]
-        return [a if same else b for a, b, same in zip(ours, theirs, agree, strict=True)], agree
+        agree = [len(a) == len(b) and bool((np.array(a, b.dtype) == b).all()) for a, b in zip(ours, theirs, strict=True)]
+        return [a if same else b.tolist() for a, b, same in zip(ours, theirs, agree, strict=True)], agree
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         """Texts of ids, by the backend's decoder."""
@@ -197,6 +181,10 @@ def codec(path: str, threads: int) -> Codec:
     return _CODECS[path, threads]
 
 
+def lengths(texts: pa.Array) -> list[int]:
+    return pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+
+
 def portions(sizes: list[int]) -> Iterator[tuple[int, int]]:
     first = held = 0
     for i, n in enumerate(sizes):
@@ -210,19 +198,20 @@ def portions(sizes: list[int]) -> Iterator[tuple[int, int]]:
 
 def encode_texts(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", text: str = "text", threads: int = 2) -> DataFrame:
     """docs with token_ids array<int> and parity boolean added. No shuffle."""
+    docs = docs.drop("token_ids", "parity")
     names = docs.columns
     at = names.index(text)
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = codec(resolve(vocabulary), threads)
         for batch in batches:
-            texts = [t or "" for t in batch.column(at).to_pylist()]
-            for a, b in portions([len(t) for t in texts]):
-                ids, agree = both.encode(texts[a:b])
+            for a, b in portions(lengths(batch.column(at))):
                 part = batch.slice(a, b - a)
+                ids, agree = both.encode([t or "" for t in part.column(at).to_pylist()])
                 flat = np.fromiter(chain.from_iterable(ids), np.int32, sum(map(len, ids)))
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(agree, pa.bool_())], names=[*names, "token_ids", "parity"])
+        give_back()
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(apply, f"{kinds}, token_ids array<int>, parity boolean")
@@ -230,6 +219,7 @@ def encode_texts(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", text:
 
 def decode_texts(encoded: DataFrame, vocabulary: str = "piece_bpe_32k.model", ids: str = "token_ids", threads: int = 2) -> DataFrame:
     """encoded with decoded string added: the text of its ids."""
+    encoded = encoded.drop("decoded")
     names = encoded.columns
     at = names.index(ids)
 
@@ -239,6 +229,7 @@ def decode_texts(encoded: DataFrame, vocabulary: str = "piece_bpe_32k.model", id
             for a in range(0, batch.num_rows, 64):
                 part = batch.slice(a, 64)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(both.decode([i or [] for i in part.column(at).to_pylist()]), pa.string())], names=[*names, "decoded"])
+        give_back()
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema)
     return encoded.mapInArrow(apply, f"{kinds}, decoded string")
@@ -253,11 +244,10 @@ def round_trip(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", text: s
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = codec(resolve(vocabulary), threads)
         for batch in batches:
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in portions([len(t) for t in texts]):
-                ids, agree = both.encode(texts[a:b])
-                back = both.decode(ids)
-                same = [x == t.replace(MARK, " ") for x, t in zip(back, texts[a:b], strict=True)]
+            for a, b in portions(lengths(batch.column(1))):
+                texts = [t or "" for t in batch.column(1).slice(a, b - a).to_pylist()]
+                ids, agree = both.encode(texts)
+                same = [x == t.replace(MARK, " ") for x, t in zip(both.decode(ids), texts, strict=True)]
                 sums = [zlib.crc32(np.array(i, "<i4").tobytes()) for i in ids]
                 columns = [pa.array([len(i) for i in ids], pa.int64()), pa.array(agree, pa.bool_()), pa.array(same, pa.bool_()), pa.array(sums, pa.int64())]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *columns], names=[id_column, "n_tokens", "parity", "round_trip", "ids_crc32"])

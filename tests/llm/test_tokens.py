@@ -1,3 +1,6 @@
+import random
+import struct
+
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -53,7 +56,7 @@ def test_the_backend_gives_ids_and_texts(monkeypatch):
     monkeypatch.setattr(codec, "own_ids", lambda texts: mine)
     [ids], [agree] = codec.encode(["some words"])
     assert ids is mine[0] and agree
-    codec.core.decoder = decoders.Fuse()
+    codec.core.decoder = codec.quick.decoder = decoders.Fuse()
     assert codec.decode([ids]) == ["▁some▁words"]
 
 
@@ -64,11 +67,37 @@ def test_unsafe_cuts_are_told():
     assert not tc.cuts_are_safe(model)
 
 
-def test_unigram_models_are_rebuilt():
-    pieces = [("<unk>", 0.0, 2), ("▁a", -1.0, 1), ("b", -2.0, 1), ("▁ab", -2.5, 1), ("▁", -3.0, 1), ("a", -3.5, 1)]
-    model = Model(pieces=[Piece(*p) for p in pieces], kind=Model.UNIGRAM, remove_extra_whitespaces=True)
-    core = sc.backend(model)
-    assert core.encode("ab  a", add_special_tokens=False).tokens == ["▁ab", "▁a"] and core.decode(core.encode("ab a").ids) == "ab a"
+def message(number, value):
+    """A field of the wire format: a varint, a float, or bytes."""
+
+    def varint(n):
+        return bytes([n & 127 | 128]) + varint(n >> 7) if n > 127 else bytes([n])
+
+    if isinstance(value, float):
+        return varint(number << 3 | 5) + struct.pack("<f", value)
+    return varint(number << 3 | 2) + varint(len(value)) + value if isinstance(value, bytes) else varint(number << 3) + varint(value)
+
+
+def unigram_model():
+    """A unigram model with byte fallback: words and letters with scores made by hand, no training."""
+    words = ["▁the", "▁a", "▁an", "▁and", "nd", "the", "er", "▁ther", "ing", "▁s", "▁si", "▁sing", "sing", "n", "g"]
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *((f"<0x{i:02X}>", 0.0, 6) for i in range(256))]
+    pieces += [(w, -2.0 - 0.37 * i, 1) for i, w in enumerate(words)] + [(c, -9.0 - 0.11 * i, 1) for i, c in enumerate("▁abcdefhilmorst")]
+    body = b"".join(message(1, message(1, t.encode()) + message(2, s) + message(3, k)) for t, s, k in pieces)
+    trainer = b"".join(message(n, v) for n, v in ((3, 1), (35, 1), (40, 0), (41, 1), (42, 2), (43, (1 << 64) - 1)))
+    normaliser = message(1, b"identity") + message(3, 1) + message(4, 0) + message(5, 1)
+    return body + message(2, trainer) + message(3, normaliser)
+
+
+def test_unigram_models_are_rebuilt(tmp_path):
+    (tmp_path / "own.model").write_bytes(unigram_model())
+    codec = sc.Codec(str(tmp_path / "own.model"), 2)
+    r = random.Random(5)
+    parts = ["the", "and", "sing", "er", "thering", "Z", "é", "梦", "\U0001f600", "a", "an", "q\n", "x y"]
+    texts = [" ".join(r.choice(parts) for _ in range(r.randrange(1, 400))) for _ in range(60)] + ["", "a", " the  and"]
+    ids, agree = codec.encode(texts)
+    assert all(agree) and ids == codec.library.encode(texts) and codec.decode(ids) == texts
+    assert codec.model_kind == Model.UNIGRAM and sum(3 <= i < 259 for x in ids for i in x) > 100
 
 
 def test_tables(spark):
@@ -79,6 +108,6 @@ def test_tables(spark):
     assert got == sorted(((i, len((t or "").encode()), len(library.encode(t or ""))) for i, t in rows), key=str)
     trip = sc.round_trip(df).collect()
     assert len(trip) == len(rows) and all(r["parity"] and r["round_trip"] for r in trip)
-    back = sc.decode_texts(sc.encode_texts(df.drop("n_tokens"))).collect()
+    back = sc.decode_texts(sc.encode_texts(df.withColumnsRenamed({"n_tokens": "token_ids"}).withColumn("parity", df["doc_id"]).withColumn("decoded", df["doc_id"]))).collect()
     assert all(r["decoded"] == (r["text"] or "").replace("▁", " ") and r["parity"] and r["token_ids"] == library.encode(r["text"] or "") for r in back)
     assert tc.token_counts(df.limit(0), "piece_bpe_32k.model").count() == 0 and sc.round_trip(df.limit(0)).count() == 0
