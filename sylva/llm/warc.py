@@ -3,23 +3,29 @@
 An ARC archive opens with a version block whose second line names the version and whose third line names the fields
 of the header line of every record. parse_arc() follows these and the declared lengths; nothing is searched for in
 content. to_warc() then makes the record that an archive in WARC form would have had: identifier, timestamp, type,
-digests. Conversion is one pass over each archive; archives are independent of each other.
+digests. Archives, plain or gzipped by record, are independent of each other. WARC files hold one gzip member a record,
+and a warcinfo record before each run of CHUNK_BYTES.
+
+A record's key is the number in its own X-Page-ID header; a record without one has a null key.
 
 Nulls: a null payload is empty, a null url is "urn:none", a null id stays null and never is the response of others.
-Repeated rows: rows that share the largest id of their payload are responses all. An empty table gives no records.
+Repeated rows: rows that share the largest id of their payload are responses all. Payloads of any length are one record;
+one that is longer than CHUNK_BYTES is a run of its own. Extra columns are ignored whatever their names. An empty table
+gives no records.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
-import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +37,8 @@ FIELDS = {
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Bytes of content after which the next ARC archive is begun.
 ARCHIVE_BYTES = 4 << 20
-#: Records in one WARC file at most.
-FILE_RECORDS = 2000
+#: Bytes of records, compressed, after which the next run begins, and runs in one WARC file at most.
+CHUNK_BYTES, FILE_CHUNKS = 8 << 20, 16
 #: Payloads that repeat, in one broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 100_000
 CAPTURED = "20240101000000"
@@ -141,11 +147,23 @@ def to_warc(record: ArcRecord, key: int | None, original: int | None) -> bytes:
         f"WARC-Target-URI: {record.url}", f"WARC-IP-Address: {record.ip}", f"WARC-Payload-Digest: sha1:{base32_sha1(payload)}", f"WARC-Block-Digest: sha1:{base32_sha1(block)}",
     ]
     if kind == "revisit":
-        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{record_id(original, '')}>"]
+        lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{record_id(original, '')}>", f"X-Payload-Bytes: {len(payload)}"]
     lines += [f"Content-Type: {'application/http; msgtype=response' if head else record.mime}", f"Content-Length: {len(block)}"]
     return "\r\n".join(lines).encode("utf-8", "surrogateescape") + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def member(record: bytes) -> bytes:
+    """A record as a gzip member of its own whose last byte is 0: the high byte of its length, or that of an empty member after it."""
+    data = gzip.compress(record, 1, mtime=0)
+    return data if data[-1] == 0 else data + gzip.compress(b"", 1, mtime=0)
+
+
+def warcinfo() -> bytes:
+    block = b"software: sylva\r\nformat: WARC File Format 1.1\r\n"
+    lines = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <{record_id(None, 'warcinfo')}>", f"WARC-Date: {iso_date(CAPTURED)}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(header fields, block) of each record, by declared lengths; block digests are verified."""
     at = 0
@@ -181,30 +199,78 @@ def legacy_archives(rows: Iterable[tuple[int | None, str | None, bytes]], name:
         yield write_arc(f"{name}-{n}.arc", 1 + n % 2, held)
 
 
-def originals(pages: DataFrame, min_bytes: int) -> DataFrame:
-    """(sha, original) of each payload of at least min_bytes that several rows have. Counted before the shuffle, so a payload of many rows is no hot key."""
-    named = pages.filter(F.octet_length("payload") >= min_bytes).groupBy("sha").agg(F.max("key").alias("original"), F.count("*").alias("n"))
-    return named.filter("n > 1").select(F.col("sha").alias("_sha"), "original")
+RECORD = "key long, url string, ip string, date string, mime string, version int, content binary, sha string, size long"
 
 
-def write_warc(pages: DataFrame, path: str, settle, key: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0) -> None:
-    """Write the rows of pages, by way of legacy archives, as gzipped WARC files below path."""
+def write_legacy(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html") -> DataFrame:
+    """(name, content): legacy archives, of both versions, with a record for each row of pages."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
+        for n, batch in enumerate(batches):
+            rows = zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)
+            for k, archive in enumerate(legacy_archives(rows, f"legacy-{task}-{n}")):
+                yield pa.RecordBatch.from_arrays([pa.array([f"legacy-{task}-{n}-{k}.arc"]), pa.array([archive], pa.binary())], names=["name", "content"])
+
     body: Column = F.coalesce(F.col(payload), F.lit("")).cast("binary")
-    rows = pages.select(F.col(key).alias("key"), F.col(url).alias("url"), body.alias("payload"), F.sha1(body).alias("sha"))
-    first = settle(originals(rows, min_bytes), "payloads")
+    return pages.select(F.col(key).cast("long"), F.col(url), body).mapInArrow(make, "name string, content binary")
+
+
+def read_legacy(archives: DataFrame, bodies: bool = True) -> DataFrame:
+    """The records of archives (content), plain or gzipped, with the digest and size of each payload; content is null without bodies."""
+    names = [f.split(" ")[0] for f in RECORD.split(", ")]
+    kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), pa.binary(), pa.string(), pa.int64()]
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column(0):
+                data = content.as_py()
+                rows = []
+                for r in parse_arc(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
+                    head, payload = split_http(r.content)
+                    own = http_field(head, b"X-Page-ID")
+                    rows.append((None if own is None else int(own), r.url, r.ip, r.date, r.mime, r.version, r.content if bodies else None, base32_sha1(payload), len(payload)))
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
+
+    return archives.select("content").mapInArrow(read, RECORD)
+
+
+def originals(records: DataFrame, min_bytes: int) -> DataFrame:
+    """(_sha, original) of each payload of at least min_bytes that several records have. Counted before the shuffle, so a payload of many records is no hot key."""
+    named = records.filter(F.col("size") >= min_bytes).groupBy("sha").agg(F.max("key").alias("original"), F.count("*").alias("n"))
+    return named.filter("n > 1").select(F.col("sha").alias("_sha"), "original")
+
+
+def convert(archives: DataFrame, path: str, settle, min_bytes: int = 0) -> None:
+    """Write the records of legacy archives (content) as WARC files below path: the largest key of equal payloads is the response, others revisit it."""
+    records = read_legacy(archives)
+    first = settle(originals(read_legacy(archives, False).select("key", "sha", "size"), min_bytes), "payloads")
     few = first.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
-    joined = rows.join(F.broadcast(first) if few else first, rows["sha"] == first["_sha"], "left").select("key", "url", "payload", "original")
+    joined = records.join(F.broadcast(first) if few else first, records["sha"] == first["_sha"], "left").select("key", "url", "ip", "date", "mime", "version", "content", "original")
 
-    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for n, batch in enumerate(batches):
-            keys, urls, payloads, firsts = (batch.column(i).to_pylist() for i in range(4))
-            order = iter(zip(keys, firsts, strict=True))
-            for archive in legacy_archives(zip(keys, urls, payloads, strict=True), f"legacy-{n}"):
-                # The text writer ends each row with a line feed: the last byte of the record.
-                yield pa.RecordBatch.from_arrays([pa.array([to_warc(r, *next(order))[:-1] for r in parse_arc(archive)], pa.binary())], names=["record"])
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [member(warcinfo())], 0
+        for batch in batches:
+            for key, url, ip, date, mime, version, content, original in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                held.append(member(to_warc(ArcRecord(url, ip, date, mime, content, version), key, original)))
+                size += len(held[-1])
+                if size >= CHUNK_BYTES:
+                    yield chunk(held)
+                    held, size = [member(warcinfo())], 0
+        if size:
+            yield chunk(held)
+
+    def chunk(members: list[bytes]) -> pa.RecordBatch:
+        # The text writer ends each row with its separator: a 0, the last byte of a member.
+        return pa.RecordBatch.from_arrays([pa.array([b"".join(members)[:-1]], pa.binary())], names=["members"])
 
-    out = joined.mapInArrow(convert, "record binary").select(F.col("record").cast("string").alias("value"))
-    out.write.option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+    out = joined.mapInArrow(make, "members binary").select(F.col("members").cast("string").alias("value"))
+    out.write.option("lineSep", "\0").option("maxRecordsPerFile", FILE_CHUNKS).text(path)
+
+
+def write_warc(pages: DataFrame, path: str, settle, key: str = "page_id", url: str = "url", payload: str = "html", min_bytes: int = 0) -> None:
+    """Write the rows of pages, by way of legacy archives, as WARC files below path."""
+    convert(settle(write_legacy(pages, key, url, payload), "archives"), path, settle, min_bytes)
 
 
 def read_warc(files: DataFrame) -> DataFrame:
@@ -220,12 +286,14 @@ def read_warc(files: DataFrame) -> DataFrame:
             for content in batch.column(0):
                 data = content.as_py()
                 rows = []
-                for fields, block in parse_warc(zlib.decompress(data, 47) if data[:2] == b"\x1f\x8b" else data):
+                for fields, block in parse_warc(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
+                    if fields["warc-type"] == "warcinfo":
+                        continue
                     head, payload = split_http(block)
                     kind, digest, own = fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha1:"), http_field(head, b"X-Page-ID")
                     if kind != "revisit" and digest != base32_sha1(payload):
                         raise ValueError(f"the payload of {fields['warc-record-id']} doesn't match its digest")
-                    size = int(http_field(head, b"Content-Length") or 0) if kind == "revisit" else len(payload)
+                    size = int(fields.get("x-payload-bytes") or http_field(head, b"Content-Length") or 0) if kind == "revisit" else len(payload)
                     rows.append((None if own is None else int(own), fields["warc-target-uri"], fields["warc-date"], size, digest, kind, key_of(fields["warc-refers-to"]) if kind == "revisit" else None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)] if rows else [pa.array([], k) for k in kinds], names=names)
 
