@@ -40,6 +40,8 @@ class RunConfig:
     simplify_tolerance: float = 0.2
     exclude_files: tuple[str, ...] = ()
     keep_intermediate: bool = False
+    timestamped_output_directory: bool = False
+    crs: int = 25832
 
     def __post_init__(self) -> None:
         dual = self.urban_model and self.forrest_model and self.forrest_outline
