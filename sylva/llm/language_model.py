@@ -16,7 +16,8 @@ the pairs whose regions it holds, and the sums of the waves are added. Single-to
 by a join, as they grow with the vocabulary.
 
 Nulls: a null text is empty and has the end token only; a null id counts as the empty string for the choice of
-training rows. Repeated rows count each. An empty table gives an empty result.
+training rows. Repeated rows count each. Texts of any length are scored whole; one that is longer than BLOCK_BYTES is a
+block of its own. Extra columns are ignored whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,6 +35,8 @@ from sylva.runtime import give_back, materialise, partitions, release
 
 BLOCK_BYTES = 4 << 20
 WAVE_BYTES = 96 << 20
+#: Blocks of text whose tokens and pairs one range of hashes holds, about. Each block sends a row to each range.
+RANGE_BLOCKS = 4
 END, START = mix(np.array([1, 2], U))
 FIRST, SECOND = (mix(np.array([3, 4], U)) | U(1)).tolist()
 
@@ -245,7 +248,7 @@ def score_texts(docs: DataFrame, held_out: Column, text: str = "text", id_column
     rows = docs.select(F.col(id_column).alias("doc_id"), held_out.alias("held"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     blocks = materialise(rows.mapInArrow(encode, BLOCKS), "encoded")
     n_blocks = blocks.count()
-    bits = max(1, (max(partitions(spark), n_blocks, 2) - 1).bit_length())
+    bits = max(1, (max(partitions(spark), -(-n_blocks // RANGE_BLOCKS), 2) - 1).bit_length())
     totals = materialise(blocks.mapInArrow(count_tokens(bits), ASKED).groupBy("range").applyInArrow(add_tokens, "block long, range long, totals binary, n long, v long"), "totals")
     facts = totals.groupBy("range").agg(F.max("n").alias("n"), F.max("v").alias("v")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("v"), F.lit(0)).alias("v")).first().asDict()
     facts["docs"] = rows.filter(~F.col("held")).count()

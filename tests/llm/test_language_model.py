@@ -86,3 +86,12 @@ def test_false_membership_at_the_production_value():
     np.bitwise_or.at(region, word, mask)
     unseen = lm.read_levels(keys[100_000:], np.zeros(100_000, np.int64), np.zeros(1, np.int64), np.array([len(region)]), region)
     assert (unseen > 0).mean() < 0.025
+
+
+def test_long_texts_and_clashing_names(spark):
+    ship(spark)
+    rows = [*corpus(20)[:-1], (500, "the of the " * 60_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    names = ("held", "held_out", "block", "range", "ids", "n_tokens", "score", "_row", "train_tokens", "replies")
+    out = lm.score_texts(df.withColumns({n: F.lit(1) for n in names}), lm.fold("doc_id", 7) == 2, bits_per_event=200)
+    assert sorted(((*tuple(r)[:5], round(r["base_score"], 4), round(r["score"], 4)) for r in out.collect()), key=str) == [(*r[:5], round(r[5], 4), round(r[6], 4)) for r in brute(rows)]
