@@ -42,6 +42,8 @@ from sylva.runtime import give_back, materialise, partitions, release
 MATCH, GRAM = 50, 24
 #: Bytes of text in a block at most, but for a document that is longer.
 BLOCK_BYTES = 2 << 20
+#: Blocks of text whose owners one range of hashes holds, about.
+RANGE_BLOCKS = 8
 #: Pieces of one owner in one shard, about; owners with more are spread.
 SPREAD = 2048
 SHIFT = 24
@@ -123,8 +125,11 @@ def unpack(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray,
 
 
 def bits_for(spark, blocks: int) -> int:
-    """log2 of the number of owner ranges: one for each block at least, so that a shard holds less than a block."""
-    return max(1, (max(partitions(spark), blocks, 2) - 1).bit_length())
+    """log2 of the number of owner ranges: one for each RANGE_BLOCKS blocks at least, so that a range holds no more than these do.
+
+    Each block sends a row to each range, so the rows grow with blocks * blocks / RANGE_BLOCKS, as those of any shuffle do.
+    """
+    return max(1, (max(partitions(spark), -(-blocks // RANGE_BLOCKS), 2) - 1).bit_length())
 
 
 def ask(bits: int):
