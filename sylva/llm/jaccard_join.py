@@ -12,7 +12,8 @@ components give the pairs that are left, which are verified too. So groups of co
 members, and no pair that could matter is left out.
 
 Nulls: a null text is empty; an empty set is linked with nothing; a row with a null id is a component of its own.
-Repeated rows: rows that share an id share its component. Extra columns are ignored. An empty table gives an empty
+Repeated rows: rows that share an id share its component. Texts of any length are compared whole. Extra columns are
+ignored whatever their names. An empty table gives an empty
 result.
 """
 

@@ -10,7 +10,8 @@ together. Two facts are proven offline, from the vocabulary alone, before any te
 Pre-tokens in the table count one. Only the rest goes through the library's merges, once per distinct string.
 If the first proof fails for a model, whole texts are encoded instead.
 
-Nulls and empty texts have no tokens. Extra columns are ignored; an empty table gives an empty result.
+Nulls and empty texts have no tokens. Texts of any length are counted whole. Extra columns are ignored whatever their
+names; an empty table gives an empty result.
 """
 
 from __future__ import annotations

@@ -121,3 +121,26 @@ def test_left_over_pairs_miss_none():
             common = len(np.intersect1d(sets[a], sets[b]))
             if a // 2 != b // 2 and 100 * common >= 90 * (len(sets[a]) + len(sets[b]) - common):
                 assert (a, b) in pairs
+
+
+def test_long_texts_and_clashing_names(spark):
+    from pyspark.sql import functions as F
+
+    ship(spark)
+    long = [f"w{i}" for i in range(40_000)]
+    rows = [(5, " ".join(long)), (3, " ".join([*long[:-50], "other", "end"])), (9, " ".join(long[::2])), (1, None), (2, "few words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    names = ("set", "root", "n", "_first", "_id", "_lead", "_own", "_sha", "profile", "kind", "key", "n_shingles", "component_id", "node")
+    out = jj.jaccard_components(df.withColumns({n: F.lit(1) for n in names})).collect()
+    assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in out} == {(5, 39_998, 3), (3, 39_950, 3), (9, 19_998, 9), (1, 0, 1), (2, 1, 2)}
+
+
+def test_a_passage_in_every_document_and_many_near_copies(spark):
+    """All share one passage, and half are near copies of one text: links come from stars, and few pairs are compared."""
+    ship(spark)
+    r = np.random.default_rng(8)
+    say = lambda n: [f"w{k}" for k in r.integers(0, 5000, n)]
+    passage, text = say(60), say(200)
+    rows = [(i, " ".join(text[:-1] + [f"own{i}"])) for i in range(600)] + [(600 + i, " ".join(say(40) + passage + say(40))) for i in range(600)]
+    out = {x["doc_id"]: x["component_id"] for x in jj.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert all(out[i] == 0 for i in range(600)) and all(out[600 + i] == 600 + i for i in range(600))

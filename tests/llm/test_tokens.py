@@ -111,3 +111,13 @@ def test_tables(spark):
     back = sc.decode_texts(sc.encode_texts(df.withColumnsRenamed({"n_tokens": "token_ids"}).withColumn("parity", df["doc_id"]).withColumn("decoded", df["doc_id"]))).collect()
     assert all(r["decoded"] == (r["text"] or "").replace("▁", " ") and r["parity"] and r["token_ids"] == library.encode(r["text"] or "") for r in back)
     assert tc.token_counts(df.limit(0), "piece_bpe_32k.model").count() == 0 and sc.round_trip(df.limit(0)).count() == 0
+
+
+def test_long_texts_and_clashing_names(spark):
+    ship(spark)
+    long = "words of a long text, é梦\n" * 20_000
+    df = spark.createDataFrame([(1, long, 1, "x", True)], "doc_id long, text string, n_tokens int, n_bytes string, parity boolean")
+    [r] = tc.token_counts(df, "piece_bpe_32k.model").collect()
+    assert (r["n_bytes"], r["n_tokens"]) == (len(long.encode()), len(library.encode(long)))
+    [r] = sc.round_trip(df).collect()
+    assert r["n_tokens"] == len(library.encode(long)) and r["parity"] and r["round_trip"]
