@@ -95,4 +95,5 @@ ORACLES: dict[str, str] = {
     "op6_jaccard_join": sql.JACCARD,
     "op7_quality_rules": sql.QUALITY,
     "op9_chat_formatting": sql.CHAT,
+    "op10_suffix_array_dedup": sql.REPEATS,
 }

@@ -56,3 +56,18 @@ g AS (SELECT conv_id, count(*) AS n_turns, string_agg(concat(r, chr(10), x, chr(
   coalesce(string_agg(x, '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) FILTER (role = 'assistant'), '') AS loss, sum(size) AS size FROM f GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(told) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(size AS BIGINT) AS formatted_chars FROM g
 """
+
+#: Every string of 50 bytes (a hash of its hex digits) with the smallest document that has it; removed runs are merged where they meet.
+REPEATS = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+g AS (SELECT doc_id, i, hash(substr(h, 2 * i + 1, 100)) AS s FROM (SELECT doc_id, h, unnest(range(0, greatest(len(h) // 2 - 49, 0))) AS i FROM d)),
+m AS (SELECT s, min(doc_id) AS least FROM g GROUP BY s HAVING min(doc_id) < max(doc_id)),
+r AS (SELECT doc_id, i FROM g JOIN m USING (s) WHERE least < doc_id),
+e AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS fresh FROM r),
+f AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM e),
+x AS (SELECT doc_id, span, min(i) AS a, max(i) + 50 AS b FROM f GROUP BY doc_id, span),
+y AS (SELECT *, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM x),
+z AS (SELECT d.doc_id, h, count(a) AS n_spans, coalesce(sum(b - a), 0) AS n_removed,
+  concat(coalesce(string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a), ''), substr(h, 2 * coalesce(max(b), 0) + 1)) AS kept FROM d LEFT JOIN y ON y.doc_id = d.doc_id GROUP BY d.doc_id, h)
+SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(n_removed AS BIGINT) AS n_removed, n_spans, sha256(unhex(kept)) AS kept_sha256 FROM z
+"""
