@@ -60,7 +60,8 @@ SELECT conv_id, n_turns, sha256(told) AS turns_sha256, CAST(length(loss) AS BIGI
 #: Every string of 50 bytes (a hash of its hex digits) with the smallest document that has it; removed runs are merged where they meet.
 REPEATS = r"""
 WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
-g AS (SELECT doc_id, i, hash(substr(h, 2 * i + 1, 100)) AS s FROM (SELECT doc_id, h, unnest(range(0, greatest(len(h) // 2 - 49, 0))) AS i FROM d)),
+b AS (SELECT doc_id, j, substr(h, 2 * j + 1, 610) AS t FROM (SELECT doc_id, h, unnest(range(0, greatest(len(h) // 2 - 49, 0), 256)) AS j FROM d)),
+g AS (SELECT doc_id, j + i AS i, hash(substr(t, 2 * i + 1, 100)) AS s FROM (SELECT doc_id, j, t, unnest(range(0, least(256, len(t) // 2 - 49))) AS i FROM b)),
 m AS (SELECT s, min(doc_id) AS least FROM g GROUP BY s HAVING min(doc_id) < max(doc_id)),
 r AS (SELECT doc_id, i FROM g JOIN m USING (s) WHERE least < doc_id),
 e AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS fresh FROM r),
