@@ -14,5 +14,5 @@ ROWS, DEFAULT = 2000, "10000"
 def prepare(spark: SparkSession) -> None:
     """Send the package to the workers, and shorten Arrow batches unless the session names a length of its own."""
     ship(spark)
-    if spark.conf.get(BATCH, DEFAULT) == DEFAULT:
+    if spark.conf.get(BATCH, DEFAULT) == DEFAULT and not spark.sparkContext.getConf().contains(BATCH):
         spark.conf.set(BATCH, str(ROWS))
