@@ -24,9 +24,8 @@ def both(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def greedy_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = ev.candidates(*both(spark, sf_dir), "tile", CELL)
     ship(spark)
-    return ev.greedy_match(pairs, "tile", [0.5]).select("tile", "pid", "aid", F.round("iou", 9).alias("iou"))
+    return ev.greedy_match(*both(spark, sf_dir), "tile", [0.5]).select("tile", "pid", "aid", F.round("iou", 9).alias("iou"))
 
 
 SQL_GREEDY = with_views("f_preds", "f_annots", recursive=True) + ",\n" + PAIRS + """,
@@ -39,7 +38,7 @@ SQL_MATCH = SQL_GREEDY + "\nSELECT tile, pid, aid, round(iou, 9) AS iou FROM fol
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    return ev.threshold_grid(*both(spark, sf_dir), "tile", IOUS, CONFS, CELL)
+    return ev.threshold_grid(*both(spark, sf_dir), "tile", IOUS, CONFS)
 
 
 def rounded(df: DataFrame) -> DataFrame:
@@ -106,6 +105,7 @@ SELECT num.tile, coalesce(tp, 0) AS tp, np - coalesce(used, 0) AS fp, na - coale
 
 
 def match_best_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     return ev.best_iou(*both(spark, sf_dir), "tile", CELL).withColumn("iou", F.round("iou", 9))
 
 
@@ -115,6 +115,7 @@ SELECT a.tile, a.aid, pid, round(coalesce(iou, 0e0), 9) AS iou FROM f_annots a L
 
 
 def prompt_box_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     preds, annots = both(spark, sf_dir)
     return ev.fit_prompt_boxes(annots, preds, "tile", 0.6, 0.5, CELL)
 
