@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +18,7 @@ from sylva.operators.spatial_join import grid_join
 from sylva.plans.fixtures import load, with_views
 from sylva.plans.rasters import MAXIMA, PIXELS
 from sylva.plans.vectors import RATIO
-from sylva.runtime import scratch, ship
+from sylva.runtime import partitions, scratch, ship
 from sylva.streaming.incremental import tumbling
 
 
@@ -57,19 +58,31 @@ SQL_HULL = with_views("f_preds") + "\nSELECT pid, (x1-x0)*(y1-y0) AS area, 5 AS
 def contour_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Masks of boxes given as run lengths, decoded and traced: (pid, number, area, vertices)."""
     ship(spark)
-    preds = load(spark, sf_dir, "f_preds").select("pid", (F.col("pid") % 5 + 3).alias("w"), (F.col("pid") % 7 + 3).alias("h"))
+    # The kernel costs far more than the few bytes of a row, by which a file is cut into tasks.
+    preds = load(spark, sf_dir, "f_preds").select("pid", (F.col("pid") % 5 + 3).alias("w"), (F.col("pid") % 7 + 3).alias("h")).repartition(partitions(spark))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("x", pa.float64()), ("y", pa.float64())]))
+        known: dict[tuple, list] = {}  # the borders of masks met before; equal masks are traced once
         for batch in batches:
-            rows = []
+            pids, numbers, sizes, points = [], [], [], []
             for pid, w, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                counts = [20 + 1] + [h, 20 - h] * (w - 1) + [h, 400 - 21 - 20 * (w - 1) - h]  # columns of a 20 x 20 mask
-                mask = decode_rle(counts, 20, 20)
-                if pid % 2:
-                    mask[2, 2] = False  # a hole in the middle of a corner of the box
-                rows += [(pid, n, [{"x": x, "y": y} for x, y in ring]) for n, ring in enumerate(contours(mask))]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], kind)], names=["pid", "number", "ring"])
+                counts = (20 + 1, *(h, 20 - h) * (w - 1), h, 400 - 21 - 20 * (w - 1) - h)  # columns of a 20 x 20 mask
+                key = (counts, pid % 2)
+                if key not in known:
+                    mask = decode_rle(list(counts), 20, 20)
+                    if pid % 2:
+                        mask[2, 2] = False  # a hole in the middle of a corner of the box
+                    if len(known) >= 4096:
+                        known.clear()
+                    known[key] = contours(mask)
+                for n, ring in enumerate(known[key]):
+                    pids.append(pid)
+                    numbers.append(n)
+                    sizes.append(len(ring))
+                    points += ring
+            xy = np.array(points, np.float64).reshape(-1, 2)
+            rings = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), pa.StructArray.from_arrays([pa.array(xy[:, k]) for k in (0, 1)], names=["x", "y"]))
+            yield pa.RecordBatch.from_arrays([pa.array(pids, pa.int64()), pa.array(numbers, pa.int32()), rings], names=["pid", "number", "ring"])
 
     traced = preds.mapInArrow(run, "pid long, number int, ring array<struct<x:double,y:double>>")
     return traced.select("pid", "number", g.ring_area(F.col("ring")).alias("area"))
@@ -113,6 +126,7 @@ def detect_on_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def match_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twenty bins of the best IoU of every annotation, those without a match in the first."""
+    ship(spark)
     return ev.histogram(ev.best_iou(load(spark, sf_dir, "f_preds"), load(spark, sf_dir, "f_annots"), "tile", 64.0), "iou", 20)
 
 
