@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sylva.functions import geometry as g
+from sylva.functions.boxes import box_union, edges
 from sylva.functions.geometry import box, box_area, dbl
 from sylva.functions.overlay import shape_area
-from sylva.functions.repair import union_parts, valid_parts
+from sylva.functions.repair import valid_parts
 from sylva.operators import clean, raster
 from sylva.operators import evaluate as ev
 from sylva.operators import images as im
-from sylva.operators.spatial_join import grid_join
+from sylva.operators.spatial_join import grid_join, near_join
 from sylva.plans.fixtures import load, with_views
 from sylva.plans.rasters import CELLS, cells
 from sylva.plans.vectors import AREA, IOU, RATIO, sql_zonal, stats
@@ -67,12 +68,12 @@ def union_by_tile(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
 
     def run(table: pa.Table) -> pa.Table:
-        boxes = zip(*(table[c].to_pylist() for c in ("x0", "y0", "x1", "y1")), strict=True)
-        parts = union_parts([[np.array([(a, b), (c, b), (c, d), (a, d)])] for a, b, c, d in boxes])
-        xy = np.concatenate([np.array(p) for p in parts])
-        return pa.table({"tile": table["tile"][:1], "area": [float(sum(shape_area([np.array(p)]) for p in parts))], "x0": [float(xy[:, 0].min())], "y1": [float(xy[:, 1].max())]})
+        x0, y0, x1, y1 = box_union(edges(table)).T
+        if not len(x0):
+            return pa.table({"tile": table["tile"][:0], "area": pa.array([], pa.float64()), "x0": pa.array([], pa.float64()), "y1": pa.array([], pa.float64())})
+        return pa.table({"tile": table["tile"][:1], "area": [float(((x1 - x0) * (y1 - y0)).sum())], "x0": [float(x0.min())], "y1": [float(y1.max())]})
 
-    return load(spark, sf_dir, "f_preds").select("tile", "x0", "y0", "x1", "y1").groupBy("tile").applyInArrow(run, "tile long, area double, x0 double, y1 double").withColumn("area", F.round("area", 6))
+    return load(spark, sf_dir, "f_preds").select("tile", "x0", "y0", "x1", "y1").dropna().distinct().groupBy("tile").applyInArrow(run, "tile long, area double, x0 double, y1 double").withColumn("area", F.round("area", 6))
 
 
 SQL_UNION = with_views("f_preds") + """,
@@ -110,7 +111,7 @@ def near_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Boxes of two layers that are the same but for rounding."""
     preds = load(spark, sf_dir, "f_preds")
     moved = preds.withColumns({k: F.col(k) + F.when(F.col("pid") % 3 == 0, dbl(0.0005)).when(F.col("pid") % 3 == 1, dbl(0.5)).otherwise(dbl(0)) for k in ("x0", "y1")})
-    pairs = grid_join(preds, moved, 64.0, ("tile",), g.near_box(box("a_"), box("b_")))
+    pairs = near_join(preds, moved, ("tile",))
     return pairs.select(F.col("a_pid").alias("pid"), F.col("b_pid").alias("same"))
 
 

@@ -54,3 +54,13 @@ def test_borders_are_traced_in_the_part_of_a_mask_that_is_set():
     began = time.process_time()
     assert p.contours(mask) == [[(500.0, 500.0), (504.0, 500.0), (504.0, 503.0), (500.0, 503.0), (500.0, 500.0)]]
     assert time.process_time() - began < 0.2
+
+
+def test_many_boxes_have_one_union():
+    """A list of all pairs of 20,000 boxes doesn't fit into memory."""
+    n = 20_000
+    x = np.arange(n) % 97.0
+    y = np.arange(n) // 97 % 89.0
+    parts = k.box_union(np.stack([x, y, x + 2, y + 1], axis=1))
+    assert ((parts[:, 2] - parts[:, 0]) * (parts[:, 3] - parts[:, 1])).sum() == 98 * 89
+    assert not len(k.box_union(np.array([[0.0, 0.0, 0.0, 5.0]])))
