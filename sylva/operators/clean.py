@@ -9,9 +9,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sylva.functions.boxes import edges, suppressed
 from sylva.functions.geometry import box, box_area, box_iou, dbl, near_border, overlap_area, ring_area
 from sylva.functions.polygons import apply_kernel, simplify
-from sylva.operators.spatial_join import grid_join
+from sylva.operators.spatial_join import centre_join, grid_join
+from sylva.runtime import partitions
 
 
 @dataclass(frozen=True)
@@ -89,27 +91,19 @@ def greedy_suppress(df: DataFrame, group: str = "tile", key: str = "pid", iou: f
     """Rows that survive a fold in key order: a row that isn't removed yet keeps the most confident of its group.
 
     A row's group is itself and all rows that overlap it, those that were removed before included; the best is the
-    first of the most confident. So a group can vanish when its best was removed earlier. Pairs are sparse and found
-    on the grid; the fold walks once over the rows of one group that have partners at all.
+    first of the most confident. So a group can vanish when its best was removed earlier. The fold walks once over the
+    rows of a group; a row that is still there is held against the boxes near it, so that pairs are never listed.
     """
-    pairs = iou_pairs(df, group, key, iou, cell, area_difference)
+    kind = df.schema[group].dataType.simpleString()
+    limit = F.col(iou) if isinstance(iou, str) else dbl(iou)
 
     def walk(table: pa.Table) -> pa.Table:
-        i, j, conf = (table[c].to_numpy() for c in ("i", "j", "conf"))
-        confidence = dict(zip(j.tolist(), conf.tolist(), strict=True))  # pairs stand in both orders, so every row is a j
-        order = np.argsort(i, kind="stable")
-        i, j = i[order], j[order]
-        heads = np.append(np.flatnonzero(np.diff(i, prepend=i[0] - 1)), len(i))
-        gone: set[int] = set()
-        for a, b in zip(heads[:-1], heads[1:], strict=True):
-            own = int(i[a])
-            if own not in gone:
-                near = {own, *j[a:b].tolist()}
-                gone |= near - {max(near, key=lambda x: (confidence[x], -x))}
-        removed = sorted(gone)
+        conf, limits = (table[c].to_numpy().astype(np.float64) for c in ("conf", "limit"))
+        removed = suppressed(table[key].to_numpy(), edges(table), conf, limits, area_difference)
         return pa.table([pa.array([table[group][0].as_py()] * len(removed), table.schema.field(group).type), pa.array(removed, pa.int64())], names=[group, key])
 
-    gone = pairs.select(group, F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "conf").groupBy(group).applyInArrow(walk, f"`{group}` {df.schema[group].dataType.simpleString()}, `{key}` long")
+    rows = df.dropna(subset=[*box(), group, key]).select(group, F.col(key).cast("long").alias(key), *box(), F.col("conf").cast("double").alias("conf"), limit.cast("double").alias("limit"))
+    gone = rows.repartition(partitions(df.sparkSession), group).groupBy(group).applyInArrow(walk, f"`{group}` {kind}, `{key}` long")
     return df.join(gone, [group, key], "left_anti")
 
 
@@ -117,7 +111,9 @@ def containment_pairs(df: DataFrame, group: str, key: str, threshold: float, cel
     """(group, outer, inner): the common area is at least `threshold` of the inner box."""
     a, b = box("a_"), box("b_")
     rule = (F.col(f"a_{key}") != F.col(f"b_{key}")) & (box_area(b) > 0) & (overlap_area(a, b) / F.when(box_area(b) > 0, box_area(b)).otherwise(dbl(1)) >= dbl(threshold))
-    return grid_join(df, df, cell, (group,), rule).select(F.col(f"a_{group}").alias(group), F.col(f"a_{key}").alias("outer"), F.col(f"b_{key}").alias("inner"))
+    # An outer box that holds more than half of an inner one holds its middle.
+    pairs = centre_join(df, df, cell, (group,), rule) if threshold > 0.51 else grid_join(df, df, cell, (group,), rule)
+    return pairs.select(F.col(f"a_{group}").alias(group), F.col(f"a_{key}").alias("outer"), F.col(f"b_{key}").alias("inner"))
 
 
 def containment_counts(df: DataFrame, group: str = "tile", key: str = "pid", threshold: float = 0.9, cell: float = 64.0) -> DataFrame:

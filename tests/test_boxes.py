@@ -64,3 +64,9 @@ def test_many_boxes_have_one_union():
     parts = k.box_union(np.stack([x, y, x + 2, y + 1], axis=1))
     assert ((parts[:, 2] - parts[:, 0]) * (parts[:, 3] - parts[:, 1])).sum() == 98 * 89
     assert not len(k.box_union(np.array([[0.0, 0.0, 0.0, 5.0]])))
+
+
+@pytest.mark.parametrize("difference", [1.0, 0.5])
+def test_the_suppression_lists_no_pairs(spark, difference):
+    kept = clean.greedy_suppress(layers(spark)[0], iou=0.4, area_difference=difference)
+    assert "_gx" not in plan(kept) and kept.count() < 60
