@@ -70,3 +70,26 @@ def test_many_boxes_have_one_union():
 def test_the_suppression_lists_no_pairs(spark, difference):
     kept = clean.greedy_suppress(layers(spark)[0], iou=0.4, area_difference=difference)
     assert "_gx" not in plan(kept) and kept.count() < 60
+
+
+@pytest.mark.parametrize("least", [0.3, 0.6])
+def test_the_greedy_match_is_the_plain_loop_and_lists_no_pairs(spark, least):
+    preds, annots = layers(spark)
+    used, expected = set(), set()
+    for pid, b in enumerate(some(60, 1)):
+        near = sorted((-iou(b, a), aid) for aid, a in enumerate(some(50, 2)) if aid not in used and iou(b, a) >= least)
+        if pid % 8 / 8 >= 0.5 and near:
+            used.add(near[0][1])
+            expected.add((pid, near[0][1]))
+    found = evaluate.threshold_grid(preds, annots, "tile", [0.3, 0.6], [0.25, 0.5])
+    assert "Join Inner, ((((" not in plan(found)
+    assert {r["tp"] for r in found.filter(f"iou_t = {least} AND conf_t = 0.5").collect()} == {len(expected)}
+    match = evaluate.greedy_match(preds, annots, "tile", [least], [0.5])
+    assert {(r["pid"], r["aid"]) for r in match.collect()} == expected and "_gx" not in plan(match)
+
+
+def test_predictions_without_a_confidence_take_nothing(spark):
+    box = (0.0, 0.0, 4.0, 4.0)
+    preds = spark.createDataFrame([(0, 0, *box, None), (0, 1, 50.0, 50.0, 54.0, 54.0, 0.9)], PRED)
+    [row] = evaluate.threshold_grid(preds, spark.createDataFrame([(0, 0, *box)], ANNOT), "tile", [0.5], [0.5]).collect()
+    assert (row["tp"], row["fp"], row["fn"]) == (0, 1, 1)
