@@ -114,3 +114,19 @@ def test_boxes_that_meet_are_found_by_a_semi_join(spark):
     assert "LeftSemi" in plan(found)
     hit = [any(iou(b, a) > 0 for b in some(60, 1)) for a in some(50, 2)]
     assert [(r["tp"], r["fn"]) for r in found.collect()] == [(sum(hit), 50 - sum(hit))]
+
+
+def test_the_best_crossing_box_is_that_of_all_pairs(spark):
+    preds, annots = layers(spark)
+    best = {aid: max((iou(b, a), -pid) for pid, b in enumerate(some(60, 1))) for aid, a in enumerate(some(50, 2))}
+    found = evaluate.best_iou(preds, annots, "tile", 8.0)
+    assert "b_aid" not in plan(found)  # no list of pairs
+    got = {r["aid"]: (r["iou"], r["pid"]) for r in found.collect()}
+    assert got == {aid: (v, -pid if v > 0 else None) for aid, (v, pid) in best.items()}
+
+
+def test_a_box_without_an_area_crosses_others(spark):
+    preds = spark.createDataFrame([(0, 7, 2.0, 1.0, 2.0, 3.0, 0.5)], PRED)
+    annots = spark.createDataFrame([(0, 1, 0.0, 0.0, 4.0, 4.0)], ANNOT)
+    [row] = evaluate.best_iou(preds, annots, "tile", 8.0).collect()
+    assert (row["pid"], row["iou"]) == (7, 0.0)
