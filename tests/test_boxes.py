@@ -130,3 +130,10 @@ def test_a_box_without_an_area_crosses_others(spark):
     annots = spark.createDataFrame([(0, 1, 0.0, 0.0, 4.0, 4.0)], ANNOT)
     [row] = evaluate.best_iou(preds, annots, "tile", 8.0).collect()
     assert (row["pid"], row["iou"]) == (7, 0.0)
+
+
+def test_boxes_without_a_side_can_be_near(spark):
+    """They touch nothing, so a join of boxes that touch leaves them out."""
+    rows = [(0, 0, 1.0, 1.0, 1.0, 5.0, 0.5), (0, 1, 1.0005, 1.0, 1.0005, 5.0, 0.5), (0, 2, 1.0, 1.0, 1.002, 5.0, 0.5)]
+    df = spark.createDataFrame(rows, PRED)
+    assert {(r["a_pid"], r["b_pid"]) for r in near_join(df, df, ("tile",)).collect()} == {(0, 0), (1, 1), (2, 2), (0, 1), (1, 0)}
