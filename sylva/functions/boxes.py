@@ -119,6 +119,22 @@ def best_boxes(boxes: np.ndarray, others: np.ndarray, rank: np.ndarray, steps: S
     return row, value
 
 
+def held_boxes(outer: np.ndarray, inner: np.ndarray, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """(rows of outer, rows of inner) of the pairs where the common area is at least `share` of the inner box, which has an area."""
+    x0, y0, x1, y1 = outer.T.copy()
+    found = [np.zeros((2, 0), np.int64)]
+    step = max(1, 200_000 // max(1, len(outer)))
+    for at in range(0, len(inner), step):
+        u0, v0, u1, v1 = (c[:, None] for c in inner[at : at + step].T)
+        common = np.maximum(np.minimum(x1, u1) - np.maximum(x0, u0), 0.0)
+        common *= np.maximum(np.minimum(y1, v1) - np.maximum(y0, v0), 0.0)
+        area = (u1 - u0) * (v1 - v0)
+        own, other = np.nonzero((common >= area * share * (1 - 1e-12)) & (area > 0))
+        sure = common[own, other] / area[own, 0] >= share
+        found.append(np.stack((other[sure], own[sure] + at)))
+    return tuple(np.concatenate(found, axis=1))
+
+
 def box_union(boxes: np.ndarray) -> np.ndarray:
     """The union of boxes as boxes that don't overlap: strips between neighbouring x, cut into runs of y. Boxes without an area hold nothing."""
     boxes = boxes[(boxes[:, 0] < boxes[:, 2]) & (boxes[:, 1] < boxes[:, 3])]

@@ -6,13 +6,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
-from sylva.functions.boxes import edges, suppressed
+from sylva.functions.boxes import edges, held_boxes, suppressed
 from sylva.functions.geometry import box, box_area, box_iou, dbl, near_border, overlap_area, ring_area
 from sylva.functions.polygons import apply_kernel, simplify
-from sylva.operators.spatial_join import centre_join, grid_join
+from sylva.operators.spatial_join import cell_of, grid_join, in_cells, renamed
 from sylva.runtime import partitions
 
 
@@ -109,11 +112,29 @@ def greedy_suppress(df: DataFrame, group: str = "tile", key: str = "pid", iou: f
 
 def containment_pairs(df: DataFrame, group: str, key: str, threshold: float, cell: float) -> DataFrame:
     """(group, outer, inner): the common area is at least `threshold` of the inner box."""
-    a, b = box("a_"), box("b_")
-    rule = (F.col(f"a_{key}") != F.col(f"b_{key}")) & (box_area(b) > 0) & (overlap_area(a, b) / F.when(box_area(b) > 0, box_area(b)).otherwise(dbl(1)) >= dbl(threshold))
-    # An outer box that holds more than half of an inner one holds its middle.
-    pairs = centre_join(df, df, cell, (group,), rule) if threshold > 0.51 else grid_join(df, df, cell, (group,), rule)
-    return pairs.select(F.col(f"a_{group}").alias(group), F.col(f"a_{key}").alias("outer"), F.col(f"b_{key}").alias("inner"))
+    if threshold <= 0.51:
+        a, b = box("a_"), box("b_")
+        rule = (F.col(f"a_{key}") != F.col(f"b_{key}")) & (box_area(b) > 0) & (overlap_area(a, b) / F.when(box_area(b) > 0, box_area(b)).otherwise(dbl(1)) >= dbl(threshold))
+        return grid_join(df, df, cell, (group,), rule).select(F.col(f"a_{group}").alias(group), F.col(f"a_{key}").alias("outer"), F.col(f"b_{key}").alias("inner"))
+    # An outer box that holds more than half of an inner one holds its middle: inner boxes stand in the one cell of it.
+    named = StructType([StructField(n, df.schema[c].dataType) for n, c in ((group, group), ("outer", key), ("inner", key))])
+    none = to_arrow_schema(named).empty_table()
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        outer, inner = held_boxes(edges(left), edges(right, "b_"), threshold) if left.num_rows and right.num_rows else (np.zeros(0, np.int64),) * 2
+        if not len(outer):
+            return none
+        i, j = left[key].take(pa.array(outer)), right["b_" + key].take(pa.array(inner))
+        other = pc.not_equal(i, j)
+        i, j = i.filter(other), j.filter(other)
+        return pa.table([pa.repeat(left[group][0], len(i)), i, j], names=none.column_names)
+
+    whole = df.dropna(subset=[*box(), group, key]).select(group, key, *[v.cast("double").alias(k) for k, v in box().items()])
+    inner = renamed(whole, "b_")  # columns of its own: Spark takes equal ones on both sides for one
+    b = box("b_")
+    placed = inner.withColumn("gx", cell_of((b["x0"] + b["x1"]) / 2, cell)).withColumn("gy", cell_of((b["y0"] + b["y1"]) / 2, cell))
+    dealt = lambda rows, *by: rows.repartition(partitions(df.sparkSession), *by).groupBy(*by)
+    return dealt(in_cells(whole, cell), group, "_gx", "_gy").cogroup(dealt(placed, "b_" + group, "gx", "gy")).applyInArrow(run, named)
 
 
 def containment_counts(df: DataFrame, group: str = "tile", key: str = "pid", threshold: float = 0.9, cell: float = 64.0) -> DataFrame:

@@ -137,3 +137,13 @@ def test_boxes_without_a_side_can_be_near(spark):
     rows = [(0, 0, 1.0, 1.0, 1.0, 5.0, 0.5), (0, 1, 1.0005, 1.0, 1.0005, 5.0, 0.5), (0, 2, 1.0, 1.0, 1.002, 5.0, 0.5)]
     df = spark.createDataFrame(rows, PRED)
     assert {(r["a_pid"], r["b_pid"]) for r in near_join(df, df, ("tile",)).collect()} == {(0, 0), (1, 1), (2, 2), (0, 1), (1, 0)}
+
+
+def test_containment_lists_no_pairs(spark):
+    preds = layers(spark)[0]
+    found = clean.containment_pairs(preds, "tile", "pid", 0.9, 4.0)
+    assert "Join" not in plan(found)
+    area = lambda v: (v[2] - v[0]) * (v[3] - v[1])
+    both = lambda a, b: max(0.0, min(a[2], b[2]) - max(a[0], b[0])) * max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
+    boxes = list(enumerate(some(60, 1)))
+    assert {(r["outer"], r["inner"]) for r in found.collect()} == {(i, j) for i, a in boxes for j, b in boxes if i != j and both(a, b) / area(b) >= 0.9}
