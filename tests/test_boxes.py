@@ -147,3 +147,9 @@ def test_containment_lists_no_pairs(spark):
     both = lambda a, b: max(0.0, min(a[2], b[2]) - max(a[0], b[0])) * max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
     boxes = list(enumerate(some(60, 1)))
     assert {(r["outer"], r["inner"]) for r in found.collect()} == {(i, j) for i, a in boxes for j, b in boxes if i != j and both(a, b) / area(b) >= 0.9}
+
+
+def test_crowns_are_joined_in_cells_of_their_size():
+    from sylva.plans import vectors
+
+    assert vectors.CROWN_CELL <= 8.0  # crowns have sides of 1 to 7.25; wider cells list boxes that are far apart
