@@ -37,7 +37,7 @@ from pyspark.sql import types as T
 from sylva.llm.copies import mark_copies
 from sylva.llm.hashing import EXACT, U, mix, prefix_sums, range_hash, runs, utf8
 from sylva.llm.suffix_array import common_prefixes, merge_shards, smallest, suffix_array
-from sylva.runtime import give_back, materialise, partitions, release
+from sylva.runtime import give_back, materialise, partitions, release, relieve
 
 MATCH, GRAM = 50, 24
 #: Bytes of text in a block at most, but for a document that is longer.
@@ -429,7 +429,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", id_column: str = "doc_id
     sent = blocks.join(codes, "block").select("block", "ids", "offsets", "raw", F.lit(None).cast("binary").alias("rest"), "codes").mapInArrow(
         pieces(bits), "shard long, block long, owners binary, docs binary, firsts binary, sizes binary, text binary"
     )
+    relieve(spark)  # workers and heap together have to stay within an executor
     found = materialise(sent.groupBy("shard").applyInArrow(decide(bits), FOUND), "ranges")
+    relieve(spark)
     merged = found.filter("kind = 1").groupBy("key").applyInArrow(merge, FOUND)
     ranges = found.filter("kind = 0").unionByName(merged).groupBy(F.col("key").alias("block")).agg(F.collect_list(F.struct("a", "b")).alias("ranges"))
     cut = blocks.join(ranges, "block", "left").select("block", "ids", "offsets", "raw", "rest", "ranges").mapInArrow(cut_out([f.name for f in schema], kept_text), schema)
