@@ -5,7 +5,7 @@ Nothing here holds all pairs: each box is held against one slice of the others,
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -135,6 +135,50 @@ def held_boxes(outer: np.ndarray, inner: np.ndarray, share: float) -> tuple[np.n
     return tuple(np.concatenate(found, axis=1))
 
 
+def near_pairs(key: np.ndarray, boxes: np.ndarray, least: float, corner: tuple[float, float, float, float], height: float, most: int = 1 << 17) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(smaller key, larger key, IoU) of the pairs with an IoU of `least` or more, which is above 0, whose reference point lies in `corner` (x0, y0 and the ends, which don't count).
+
+    The reference point is the larger of the two lower corners. Boxes stand in each strip of y, of this height, that they touch, in
+    order of x0, and are held against those that begin before they end, about `most` at a time; a pair counts in the strip of its reference point.
+    """
+    strip = lambda v: np.floor((np.clip(v, corner[1], corner[3]) - corner[1]) / height).astype(np.int64)
+    low = strip(boxes[:, 1])
+    times = np.maximum(strip(boxes[:, 3]) - low + 1, 0)
+    row = np.repeat(np.arange(len(boxes)), times)
+    line = low[row] + np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+    order = np.lexsort((boxes[row, 0], line))
+    row, line = row[order], line[order]
+    x0, y0, x1, y1 = boxes[row].T.copy()
+    if not len(row):
+        return
+    start = x0.min()
+    span = 2 * (x1.max() - start) + 1
+    place = line * span + (x0 - start)
+    slack = 1e-9 * (abs(start) + float(place[-1]) + span)
+    ends = np.maximum(np.searchsorted(place, np.minimum(place + (x1 - x0) + slack, (line + 1) * span - span / 4)), np.arange(1, len(row) + 1))
+    own, size, share = key[row], (x1 - x0) * (y1 - y0), least / (1 + least) * (1 - 1e-9)
+    counts = ends - np.arange(1, len(row) + 1)
+    total = np.cumsum(counts)
+    at = 0
+    while at < len(row):
+        to = max(at + 1, int(np.searchsorted(total, total[at] - counts[at] + most, "right")))
+        n = counts[at:to]
+        a = np.repeat(np.arange(at, to), n)
+        b = a + 1 + np.arange(len(a)) - np.repeat(total[at:to] - n - (total[at] - counts[at]), n)
+        at = to
+        common = np.minimum(y1[a], y1[b]) - np.maximum(y0[a], y0[b])
+        live = np.flatnonzero(common > 0)
+        a, b, common = a[live], b[live], common[live]
+        common *= np.minimum(x1[a], x1[b]) - x0[b]
+        live = np.flatnonzero((common > 0) & (common >= (size[a] + size[b]) * share))
+        a, b, common = a[live], b[live], common[live]
+        value = common / (size[a] + size[b] - common)
+        x, y = x0[b], np.maximum(y0[a], y0[b])
+        sure = (value >= least) & (strip(y) == line[a]) & (x >= corner[0]) & (x < corner[2]) & (y >= corner[1]) & (y < corner[3])
+        i, j = own[a[sure]], own[b[sure]]
+        yield np.minimum(i, j), np.maximum(i, j), value[sure]
+
+
 def box_union(boxes: np.ndarray) -> np.ndarray:
     """The union of boxes as boxes that don't overlap: strips between neighbouring x, cut into runs of y. Boxes without an area hold nothing."""
     boxes = boxes[(boxes[:, 0] < boxes[:, 2]) & (boxes[:, 1] < boxes[:, 3])]

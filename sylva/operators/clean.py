@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,14 +11,17 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from sylva.functions.boxes import edges, held_boxes, suppressed
+from sylva.functions.boxes import edges, held_boxes, near_pairs, suppressed
 from sylva.functions.geometry import box, box_area, box_iou, dbl, near_border, overlap_area, ring_area
 from sylva.functions.polygons import apply_kernel, simplify
 from sylva.operators.spatial_join import cell_of, grid_join, in_cells, renamed
 from sylva.runtime import partitions
 
+#: Pairs in one batch of a kernel's result, about.
+PAIR_ROWS = 1 << 16
+
 
 @dataclass(frozen=True)
 class CleanConfig:
@@ -110,6 +114,34 @@ def greedy_suppress(df: DataFrame, group: str = "tile", key: str = "pid", iou: f
     return df.join(gone, [group, key], "left_anti")
 
 
+def close_pairs(df: DataFrame, group: str, key: str, iou: float, cell: float, strip: float) -> DataFrame:
+    """(i, j, iou) of boxes of a group, i before j, with an IoU of at least `iou`, which is above 0.
+
+    Boxes are listed in the cells that they touch; a kernel holds those of a cell against each other, so that they are
+    shuffled once and only pairs of the result leave it. A pair counts in the cell of its reference point. strip: about
+    twice the median side of the boxes; the cells hold many of them.
+    """
+    named = StructType([StructField("i", df.schema[key].dataType), StructField("j", df.schema[key].dataType), StructField("iou", DoubleType())])
+    kinds = to_arrow_schema(named)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
+        x, y = (cell * table[c][0].as_py() for c in ("_gx", "_gy"))
+        held, size = [], 0
+        for found in near_pairs(table[key].to_numpy(), edges(table), iou, (x, y, x + cell, y + cell), strip):
+            held.append(found)
+            size += len(found[0])
+            if size >= PAIR_ROWS:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*held, strict=True), kinds, strict=True)], schema=kinds)
+                held, size = [], 0
+        if size:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), f.type) for c, f in zip(zip(*held, strict=True), kinds, strict=True)], schema=kinds)
+
+    cells = [group, "_gx", "_gy"]
+    listed = in_cells(df.dropna(subset=[*box(), group, key]).select(group, key, *[F.col(k).cast("double").alias(k) for k in box()]), cell)
+    return listed.groupBy(*cells).applyInArrow(run, named)
+
+
 def containment_pairs(df: DataFrame, group: str, key: str, threshold: float, cell: float) -> DataFrame:
     """(group, outer, inner): the common area is at least `threshold` of the inner box."""
     if threshold <= 0.51:

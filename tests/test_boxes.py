@@ -153,3 +153,15 @@ def test_crowns_are_joined_in_cells_of_their_size():
     from sylva.plans import vectors
 
     assert vectors.CROWN_CELL <= 8.0  # crowns have sides of 1 to 7.25; wider cells list boxes that are far apart
+
+
+def test_close_pairs_are_found_without_a_join(spark):
+    rows = [(i % 2, i, *b) for i, b in enumerate(some(300, 5, 60))]
+    crowns = spark.createDataFrame(rows + [(None, 900, 0.0, 0.0, 9.0, 9.0), (None, 901, 0.0, 0.0, 9.0, 9.0), (0, 902, None, 0.0, 9.0, 9.0)], "tile long, pid long, x0 double, y0 double, x1 double, y1 double")
+    found = clean.close_pairs(crowns, "tile", "pid", 0.1, 8.0, 4.0)
+    assert "Join" not in plan(found)
+    expected = sorted((a[1], b[1], iou(a[2:], b[2:])) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and iou(a[2:], b[2:]) >= 0.1)
+    assert sorted(map(tuple, found.collect())) == expected and len(expected) > 100
+    boxes = np.array([r[2:] for r in rows])
+    parts = list(k.near_pairs(np.arange(len(boxes)), boxes, 0.1, (0.0, 0.0, 99.0, 99.0), 4.0, 50))
+    assert len(parts) > 20 and len({(i, j) for p in parts for i, j in zip(p[0].tolist(), p[1].tolist(), strict=True)}) == sum(len(p[0]) for p in parts)
