@@ -5,7 +5,7 @@ are judged on the input. The work is exact and goes in four steps, none of which
 
 1. Exact copies are found by a digest of the whole text; all but the smallest id go as a whole.
 2. The other texts are packed into compressed blocks. Every string of `match` bytes has an owner: the smallest hash among the
-   24-byte grams in it. Equal strings have equal owners, so strings whose owner stands once in the corpus are unique.
+   24-byte grams in it, mixed once more. Equal strings have equal owners, so strings whose owner stands once in the corpus are unique.
    Owners are counted, once per block each, to find those that stand twice or more.
 3. Only the pieces of text with a shared owner are sent to the shard of that owner. Equal pieces are collapsed; the
    rest gets a suffix array by Larsson-Sadakane refinement and common prefixes by Kasai. Runs with a common prefix
@@ -81,7 +81,8 @@ def owners(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
         if len(head):
             cut = np.flatnonzero(new | ~valid)
             stop = np.append(cut, n)[np.searchsorted(cut, head) + 1]
-            parts.append((low[head], head + at, stop - 1 + at))
+            # Smallest hashes are small; mixed again they fill ranges and shards evenly.
+            parts.append((mix(low[head]), head + at, stop - 1 + at))
     if not parts:
         return np.zeros(0, U), np.zeros(0, np.int64), np.zeros(0, np.int64)
     return tuple(np.concatenate(p) for p in zip(*parts, strict=True))

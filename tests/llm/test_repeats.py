@@ -136,3 +136,11 @@ def test_depth_groups():
 def test_merge_shards():
     keys, least = merge_shards([(np.array([1, 5], np.uint64), np.array([7, 2])), (np.array([5, 9], np.uint64), np.array([1, 4]))])
     assert keys.tolist() == [1, 5, 9] and least.tolist() == [7, 1, 4]
+
+
+def test_owners_fill_ranges_evenly():
+    """Smallest hashes of windows are small numbers: unmixed, a quarter of them and more stand in the first of 32 ranges."""
+    raw = np.random.default_rng(3).integers(97, 123, 200_000).astype(np.uint8)
+    found = np.unique(repeats.owners(raw, np.array([0, len(raw)]))[0])
+    per = np.bincount((found >> np.uint64(59)).astype(np.int64), minlength=32)
+    assert len(found) > 5000 and per.max() < 1.5 * per.mean()
