@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from sylva.llm.components import components
 from sylva.llm.copies import mark_copies
 from sylva.llm.hashing import U, mix, runs, shingles, utf8, words
-from sylva.runtime import give_back, materialise, partitions, release
+from sylva.runtime import give_back, materialise, release
 
 SKETCH_BITS = 20
 SKETCH_RANGE = 14
@@ -42,6 +42,8 @@ GROUPED = 16
 BROADCAST_IDS = 1_000_000
 #: log2 of the numbers in a short profile at most, and how many there are for a shingle up to that.
 SHORT, FINE = 10, 4.0
+#: Signatures in one range, about.
+RANGE_SIGNATURES = 1 << 18
 
 
 def document_sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -79,8 +81,8 @@ def add_up(table: pa.Table) -> pa.Table:
     return pa.table({"part": pa.array([table["part"][0].as_py()], pa.int64()), "counts": pa.array([total.tobytes()], pa.binary())})
 
 
-def frequency_classes(docs: DataFrame, k: int) -> np.ndarray:
-    """Class of each counter: 0 rare, 1 frequent, 2 very frequent. 2**SKETCH_BITS bytes whatever the input is.
+def frequency_classes(docs: DataFrame, k: int) -> tuple[np.ndarray, int]:
+    """Class of each counter: 0 rare, 1 frequent, 2 very frequent, in 2**SKETCH_BITS bytes whatever the input is; and how many shingles were counted.
 
     Rare is what a counter holds by chance: its mean, six standard deviations and some copies more.
     """
@@ -90,7 +92,7 @@ def frequency_classes(docs: DataFrame, k: int) -> np.ndarray:
         counts[row["part"] << SKETCH_RANGE : (row["part"] + 1) << SKETCH_RANGE] = np.frombuffer(row["counts"], np.int64)
     mean = counts.mean()
     often = mean + 6 * np.sqrt(mean) + 32
-    return (counts > often).astype(np.uint8) + (counts > 16 * often).astype(np.uint8)
+    return (counts > often).astype(np.uint8) + (counts > 16 * often).astype(np.uint8), int(counts.sum())
 
 
 def signatures(tokens: np.ndarray, classes: np.ndarray, percent: int) -> np.ndarray:
@@ -156,17 +158,28 @@ PAIRS = "kind int, a long, b long, n int"
 
 
 def meet(percent: int):
-    """Documents with a common signature in one range: rows of kind 0 are links to try, of kind 1 members of a set of three or more."""
+    """Documents with a common signature, and of sizes that similar ones can have, in one range: rows of kind 0 are links to try, of kind 1 members of a set of three or more."""
 
     def apply(table: pa.Table) -> pa.Table:
+        found = met(table)
+        give_back()
+        return found
+
+    def met(table: pa.Table) -> pa.Table:
         join = lambda c, t: np.concatenate([np.frombuffer(x.as_buffer(), t) for x in table[c]])
         sig, doc, size = join("a", np.uint32), join("b", np.int64), join("c", np.int32)
-        order = np.lexsort((doc, sig))
+        order = np.lexsort((doc, size, sig))
         sig, doc, size = sig[order], doc[order], size[order]
-        fresh = np.concatenate(([True], (sig[1:] != sig[:-1]) | (doc[1:] != doc[:-1])))
-        sig, doc, size = sig[fresh], doc[fresh], size[fresh]
-        heads = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
-        length = np.diff(np.append(heads, len(sig)))
+        # A step in size that no similar pair spans parts a set in two.
+        apart = (sig[1:] != sig[:-1]) | (100 * size[:-1].astype(np.int64) < percent * size[1:].astype(np.int64))
+        run = np.cumsum(np.concatenate(([False], apart)), dtype=np.int32)
+        del sig, apart
+        order = np.lexsort((doc, run))
+        run, doc, size = run[order], doc[order], size[order]
+        fresh = np.concatenate(([True], (run[1:] != run[:-1]) | (doc[1:] != doc[:-1])))
+        run, doc, size = run[fresh], doc[fresh], size[fresh]
+        heads = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
+        length = np.diff(np.append(heads, len(run)))
         # Equal sets of documents count once: a sum of mixed ids stands for the set.
         digest = np.add.reduceat(mix(doc.astype(U)), heads) + length.astype(U)
         _, first = np.unique(digest, return_index=True)
@@ -192,7 +205,7 @@ def meet(percent: int):
     return apply
 
 
-def left_over(percent: int):
+def left_over(percent: int, pack: bool = False):
     """Pairs of one set of documents that are in different components, of near sizes, and not ruled out by their short profiles.
 
     Every document is held against a row of others at once; only pairs that could be similar leave the task.
@@ -202,14 +215,14 @@ def left_over(percent: int):
         doc, root, size = (table[c].to_numpy() for c in ("b", "root", "n"))
         order = np.lexsort((doc, size))
         doc, root, size = doc[order], root[order], size[order].astype(np.int64)
-        raw = [table["profile"][int(i)] for i in order]
-        length = np.array([len(x.as_buffer()) if x.is_valid else 0 for x in raw])
+        raw = [unpacked(table["profile"][int(i)], pack) for i in order]
+        length = np.array([len(x) for x in raw])
         far = np.searchsorted(size, size * 100 // percent, "right")
         found = []
         # Sizes that are near have profiles of one or two lengths, as these are powers of two; the longer are folded.
         for width in np.unique(length):
             rows = np.flatnonzero(length >= width) if width else np.arange(len(doc))
-            folded = np.stack([np.frombuffer(raw[i].as_buffer(), np.uint8).reshape(width, -1).sum(1) for i in rows]).astype(np.int32) if width else None
+            folded = np.stack([raw[i].reshape(width, -1).sum(1) for i in rows]).astype(np.int32) if width else None
             place = {int(i): k for k, i in enumerate(rows)}
             for i in np.flatnonzero(length == width):
                 low = np.searchsorted(size, -(-size[i] * percent // 100))
@@ -253,7 +266,20 @@ def similar(percent: int):
     return apply
 
 
-def profiles(k: int, most: int = 32, fine: float = 0.5):
+def packed(counts: np.ndarray, bits: int) -> bytes:
+    """A profile of 2**bits counts in a byte for the bits, and compressed: most counts are small."""
+    return bytes([bits]) + pa.compress(counts.tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked(profile: pa.BinaryScalar, pack: bool = True) -> np.ndarray:
+    """Counts of a profile, packed or plain; none of a null."""
+    if not profile.is_valid:
+        return np.zeros(0, np.uint8)
+    data = profile.as_buffer()
+    return np.frombuffer(pa.decompress(data.slice(1), 1 << data[0], codec="zstd") if pack else data, np.uint8)
+
+
+def profiles(k: int, most: int = 32, fine: float = 0.5, pack: bool = False):
     """How many shingles each document has in each of fine * n / 2 to fine * n equal ranges of hashes (a power of two, 2**most at most)."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,7 +289,7 @@ def profiles(k: int, most: int = 32, fine: float = 0.5):
                 bits = min(most, max(1, int(len(tokens) * fine / 2).bit_length()))
                 counts = np.bincount((tokens >> U(64 - bits)).astype(np.int64), minlength=1 << bits)
                 sizes.append(len(tokens))
-                out.append(counts.astype(np.uint8).tobytes() if counts.max() < 256 else None)
+                out.append(None if counts.max() > 255 else packed(counts.astype(np.uint8), bits) if pack else counts.astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(out, pa.binary())], names=["doc", "size", "profile"])
 
     return apply
@@ -315,14 +341,20 @@ def linked(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame
     return found
 
 
+def bits_for(total: int, percent: int) -> int:
+    """log2 of the number of ranges for the signatures of `total` shingles: a range holds about as many whatever the session is, and documents that share several signatures in one meet there once."""
+    return max(1, (-(-total * (100 - percent) // (100 * RANGE_SIGNATURES))).bit_length())
+
+
 def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: the smallest id that links of similarity percent / 100 reach."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     marked = mark_copies(rows, "doc_id", F.col("text"))
     own = marked.filter(F.col("doc_id").isNotNull() & (F.col("_first").isNull() | (F.col("_first") == F.col("doc_id")))).select("doc_id", "text")
-    classes = spark.sparkContext.broadcast(frequency_classes(own, k))
-    bits = max(1, (max(partitions(spark), own.rdd.getNumPartitions(), 2) - 1).bit_length())
+    classes, total = frequency_classes(own, k)
+    classes = spark.sparkContext.broadcast(classes)
+    bits = bits_for(total, percent)
     indexed = materialise(own.mapInArrow(index(k, percent, bits, classes), "kind int, key long, a binary, b binary, c binary"), "signatures")
     tried = materialise(indexed.filter("kind = 1").groupBy("key").applyInArrow(meet(percent), PAIRS), "meetings")
     links = linked(tried.filter("kind = 0"), own, k, percent)
@@ -331,8 +363,8 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, text: str
     members = materialise(members, "members")
     apart = members.groupBy("set").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("set")
     live = materialise(members.join(apart, "set", "left_semi"), "live")
-    short = texts_of(live.select("b"), own).mapInArrow(profiles(k, SHORT, FINE), "doc long, size long, profile binary").groupBy("doc").agg(F.max("profile").alias("profile"))
-    rest = live.join(short, live["b"] == short["doc"]).select("set", "b", "n", "root", "profile").groupBy("set").applyInArrow(left_over(percent), "a long, b long")
+    short = texts_of(live.select("b"), own).mapInArrow(profiles(k, SHORT, FINE, True), "doc long, size long, profile binary").groupBy("doc").agg(F.max("profile").alias("profile"))
+    rest = live.join(short, live["b"] == short["doc"]).select("set", "b", "n", "root", "profile").groupBy("set").applyInArrow(left_over(percent, True), "a long, b long")
     more = linked(rest, own, k, percent)
     roots = materialise(components(links.unionByName(more)), "roots")
     sizes = indexed.filter("kind = 0").mapInArrow(unpack_sizes, "_id long, n_shingles long")

@@ -144,3 +144,36 @@ def test_a_passage_in_every_document_and_many_near_copies(spark):
     rows = [(i, " ".join(text[:-1] + [f"own{i}"])) for i in range(600)] + [(600 + i, " ".join(say(40) + passage + say(40))) for i in range(600)]
     out = {x["doc_id"]: x["component_id"] for x in jj.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
     assert all(out[i] == 0 for i in range(600)) and all(out[600 + i] == 600 + i for i in range(600))
+
+
+def meetings(sets, percent=80):
+    """Rows of meet() for sets {signature: [(doc, size)]}."""
+    import pyarrow as pa
+
+    sig, doc, size = zip(*[(s, d, n) for s, rows in sets.items() for d, n in rows], strict=True)
+    cut = lambda x, t: pa.array([np.array(x, t).tobytes()], pa.binary())
+    found = jj.meet(percent)(pa.table({"a": cut(sig, np.uint32), "b": cut(doc, np.int64), "c": cut(size, np.int32)})).to_pydict()
+    rows = list(zip(*(found[c] for c in ("kind", "a", "b", "n")), strict=True))
+    return {(a, b) for kind, a, b, _ in rows if kind == 0}, [(b, n) for kind, _, b, n in rows if kind == 1]
+
+
+def test_sets_are_parted_where_no_sizes_are_near():
+    """Documents that share a signature by chance but can't be similar are neither links to try nor members."""
+    assert meetings({7: [(1, 100), (2, 10), (3, 1000)]}) == (set(), [])
+    assert meetings({7: [(9, 100), (2, 10), (3, 90), (4, 12)]}) == ({(3, 9), (2, 4)}, [])
+    links, members = meetings({7: [(9, 100), (2, 10), (3, 90), (4, 82), (5, 12)]})
+    assert links == {(3, 4), (3, 9), (2, 5)} and sorted(members) == [(3, 90), (4, 82), (9, 100)]
+
+
+def test_ranges_follow_the_signatures():
+    """Documents that share many signatures met once in each of as many ranges as the session had partitions."""
+    assert jj.bits_for(1000, 80) == 1 and jj.bits_for(0, 90) == 1
+    assert jj.bits_for(10**9, 80) == 10
+
+
+def test_packed_profiles_are_whole():
+    import pyarrow as pa
+
+    counts = np.random.default_rng(4).poisson(0.4, 1024).astype(np.uint8)
+    data = jj.packed(counts, 10)
+    assert len(data) < 400 and (jj.unpacked(pa.scalar(data, pa.binary())) == counts).all()
