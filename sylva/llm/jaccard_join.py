@@ -7,9 +7,10 @@ signature; shingles of a frequent class are indexed in combinations of k within
 outlast n - k misses. So each linked pair shares a signature, whatever the classes are.
 
 Signatures meet by range. Each set of documents with a common signature gives links to its smallest member first
-(a star); these are verified exactly on whole shingle sets. Only sets whose members are still in different
-components give the pairs that are left, which are verified too. So groups of copies cost as many pairs as they have
-members, and no pair that could matter is left out.
+(a star); these are verified exactly on whole shingle sets. Documents of sets of three or more then meet once more, each
+with its component so far, and only sets whose members are still in different components leave the ranges and give the
+pairs that are left, which are verified too. So groups of copies cost as many pairs as they have members, a component is
+looked up once for each document and not for each set, and no pair that could matter is left out.
 
 Nulls: a null text is empty; an empty set is linked with nothing; a row with a null id is a component of its own.
 Repeated rows: rows that share an id share its component. Texts of any length are compared whole. Extra columns are
@@ -44,6 +45,8 @@ BROADCAST_IDS = 1_000_000
 SHORT, FINE = 10, 4.0
 #: Signatures in one range, about.
 RANGE_SIGNATURES = 1 << 18
+#: Members of a set that may go into a larger one at least.
+GATHERED = 8
 
 
 def document_sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -126,11 +129,11 @@ def signatures(tokens: np.ndarray, classes: np.ndarray, percent: int) -> np.ndar
     return np.unique(np.concatenate(out))
 
 
-def index(k: int, percent: int, bits: int, classes_of):
-    """Rows of kind 0 with the size of each set, and of kind 1 with the signatures of a batch by range."""
+def index(k: int, percent: int, bits: int, classes_of, rooted: bool = False):
+    """Rows of kind 0 with the size of each set, and of kind 1 with the signatures of a batch by range; rooted: a third column goes along with these."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "key", "a", "b", "c"]
+        names = ["kind", "key", "a", "b", "c", *(["d"] if rooted else [])]
         classes = classes_of.value
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -138,7 +141,8 @@ def index(k: int, percent: int, bits: int, classes_of):
             for row, tokens in document_sets(batch, k):
                 sizes[row] = len(tokens)
                 parts.append(signatures(tokens, classes[(tokens >> U(64 - SKETCH_BITS)).astype(np.int64)], percent) if len(tokens) else tokens)
-            yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([0], pa.int64()), *(pa.array([x], pa.binary()) for x in (ids.tobytes(), sizes.tobytes(), None))], names=names)
+            if not rooted:
+                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([0], pa.int64()), *(pa.array([x], pa.binary()) for x in (ids.tobytes(), sizes.tobytes(), None))], names=names)
             if not parts:
                 continue
             per = [len(p) for p in parts]
@@ -148,7 +152,8 @@ def index(k: int, percent: int, bits: int, classes_of):
             part, sig, doc, size = part[order], (sig[order] >> U(32 - bits)).astype(np.uint32), doc[order], size[order].astype(np.int32)
             heads = np.append(np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))), len(part)) if len(part) else np.zeros(1, np.int64)
             cut = lambda x, h=heads: pa.array([x[a:b].tobytes() for a, b in zip(h[:-1], h[1:], strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(heads) - 1), pa.int32()), pa.array(part[heads[:-1]], pa.int64()), cut(sig), cut(doc), cut(size)], names=names)
+            more = [cut(np.repeat(batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64), per)[order])] if rooted else []
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(heads) - 1), pa.int32()), pa.array(part[heads[:-1]], pa.int64()), cut(sig), cut(doc), cut(size), *more], names=names)
         give_back()
 
     return apply
@@ -157,8 +162,37 @@ def index(k: int, percent: int, bits: int, classes_of):
 PAIRS = "kind int, a long, b long, n int"
 
 
+def common_sets(table: pa.Table, percent: int) -> tuple[np.ndarray, ...]:
+    """Sets of two or more documents with a common signature, and of sizes that similar ones can have, in one range, each once.
+
+    Gives (set, document, size) by member, sets together and their documents ascending, and the index of the rows of their signatures.
+    """
+    join = lambda c, t: np.concatenate([np.frombuffer(x.as_buffer(), t) for x in table[c]])
+    sig, doc, size = join("a", np.uint32), join("b", np.int64), join("c", np.int32)
+    row = np.lexsort((doc, size, sig))
+    sig, doc, size = sig[row], doc[row], size[row]
+    # A step in size that no similar pair spans parts a set in two.
+    apart = (sig[1:] != sig[:-1]) | (100 * size[:-1].astype(np.int64) < percent * size[1:].astype(np.int64))
+    run = np.cumsum(np.concatenate(([False], apart)), dtype=np.int32)
+    del sig, apart
+    order = np.lexsort((doc, run))
+    row, run, doc, size = row[order], run[order], doc[order], size[order]
+    fresh = np.concatenate(([True], (run[1:] != run[:-1]) | (doc[1:] != doc[:-1])))
+    row, run, doc, size = row[fresh], run[fresh], doc[fresh], size[fresh]
+    heads = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
+    length = np.diff(np.append(heads, len(run)))
+    # Equal sets of documents count once: a sum of mixed ids stands for the set.
+    digest = np.add.reduceat(mix(doc.astype(U)), heads) + length.astype(U)
+    _, first = np.unique(digest, return_index=True)
+    first = first[length[first] > 1]
+    heads, length = heads[first], length[first]
+    total = np.cumsum(length)
+    at = np.arange(total[-1] if len(total) else 0) - np.repeat(total - length, length) + np.repeat(heads, length)
+    return np.repeat(np.arange(len(heads)), length), doc[at], size[at], row[at]
+
+
 def meet(percent: int):
-    """Documents with a common signature, and of sizes that similar ones can have, in one range: rows of kind 0 are links to try, of kind 1 members of a set of three or more."""
+    """Documents that meet in one range: rows of kind 0 are links to try, those of kind 1 the documents of sets of three or more, each once."""
 
     def apply(table: pa.Table) -> pa.Table:
         found = met(table)
@@ -166,45 +200,83 @@ def meet(percent: int):
         return found
 
     def met(table: pa.Table) -> pa.Table:
-        join = lambda c, t: np.concatenate([np.frombuffer(x.as_buffer(), t) for x in table[c]])
-        sig, doc, size = join("a", np.uint32), join("b", np.int64), join("c", np.int32)
-        order = np.lexsort((doc, size, sig))
-        sig, doc, size = sig[order], doc[order], size[order]
-        # A step in size that no similar pair spans parts a set in two.
-        apart = (sig[1:] != sig[:-1]) | (100 * size[:-1].astype(np.int64) < percent * size[1:].astype(np.int64))
-        run = np.cumsum(np.concatenate(([False], apart)), dtype=np.int32)
-        del sig, apart
-        order = np.lexsort((doc, run))
-        run, doc, size = run[order], doc[order], size[order]
-        fresh = np.concatenate(([True], (run[1:] != run[:-1]) | (doc[1:] != doc[:-1])))
-        run, doc, size = run[fresh], doc[fresh], size[fresh]
-        heads = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
-        length = np.diff(np.append(heads, len(run)))
-        # Equal sets of documents count once: a sum of mixed ids stands for the set.
-        digest = np.add.reduceat(mix(doc.astype(U)), heads) + length.astype(U)
-        _, first = np.unique(digest, return_index=True)
-        first = first[length[first] > 1]
-        heads, length, digest = heads[first], length[first], digest[first]
-        if not len(heads):
-            return pa.table({x: pa.array([], t) for x, t in zip(("kind", "a", "b", "n"), (pa.int32(), pa.int64(), pa.int64(), pa.int32()), strict=True)})
-        total = np.cumsum(length)
-        at = np.arange(total[-1]) - np.repeat(total - length, length) + np.repeat(heads, length)
-        head = np.repeat(heads, length)
-        close = (at != head) & (100 * np.minimum(size[at], size[head]).astype(np.int64) >= percent * np.maximum(size[at], size[head]).astype(np.int64))
-        pairs = np.unique(np.stack((doc[head[close]], doc[at[close]])), axis=1)
-        many = np.repeat(length > 2, length)
-        group = mix(np.repeat(digest, length)[many]).view(np.int64)
+        group, doc, size, _ = common_sets(table, percent)
+        head = np.searchsorted(group, group)
+        close = (head != np.arange(len(head))) & (100 * np.minimum(size, size[head]).astype(np.int64) >= percent * np.maximum(size, size[head]).astype(np.int64))
+        pairs = np.unique(np.stack((doc[head[close]], doc[close])), axis=1)
+        many = np.flatnonzero((np.bincount(group) > 2)[group]) if len(group) else group
+        members, at = np.unique(doc[many], return_index=True)
         n = pairs.shape[1]
         return pa.table({
-            "kind": pa.array(np.concatenate((np.zeros(n), np.ones(len(group)))), pa.int32()),
-            "a": pa.array(np.concatenate((pairs[0], group)), pa.int64()),
-            "b": pa.array(np.concatenate((pairs[1], doc[at[many]])), pa.int64()),
-            "n": pa.array(np.concatenate((np.zeros(n, np.int32), size[at[many]])), pa.int32()),
+            "kind": pa.array(np.concatenate((np.zeros(n), np.ones(len(members)))), pa.int32()),
+            "a": pa.array(np.concatenate((pairs[0], members)), pa.int64()),
+            "b": pa.array(np.concatenate((pairs[1], members)), pa.int64()),
+            "n": pa.array(np.concatenate((np.zeros(n, np.int32), size[many[at]])), pa.int32()),
         })
 
     return apply
 
 
+SETS = "set long, b long, n int, root long"
+
+
+def gathered(group: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(group, index) of the members of fewer sets that hold every pair of the given ones (group, ascending): a set goes into a larger one that has three quarters of it.
+
+    A set doesn't grow by more than half of what it was, so that its pairs stay of the order that they had. Small sets are left alone.
+    """
+    heads = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    length = np.diff(np.append(heads, len(group)))
+    _, place = np.unique(doc, return_inverse=True)
+    home, to, base, held = np.full(len(doc), -1), np.arange(len(heads)), length.copy(), length.copy()
+    for k in np.argsort(-length, kind="stable"):
+        if length[k] < GATHERED:
+            break
+        own = place[heads[k] : heads[k] + length[k]]
+        homes = home[own]
+        names, counts = np.unique(homes[homes >= 0], return_counts=True)
+        if len(names):
+            most = counts.argmax()
+            into, fresh = names[most], length[k] - counts[most]
+            if 4 * counts[most] >= 3 * length[k] and 2 * (held[into] + fresh) <= 3 * base[into]:
+                to[k] = into
+                held[into] += fresh
+        home[own[homes < 0]] = to[k]
+    group = np.repeat(to, length)
+    at = np.lexsort((doc, group))
+    group, own = group[at], place[at]
+    fresh = np.concatenate(([True], (group[1:] != group[:-1]) | (own[1:] != own[:-1])))
+    return group[fresh], at[fresh]
+
+
+def still_apart(percent: int):
+    """Members of sets that hold the pairs of those of three or more documents in one range whose roots (d) are not all the same."""
+
+    def apply(table: pa.Table) -> pa.Table:
+        found = met(table)
+        give_back()
+        return found
+
+    def met(table: pa.Table) -> pa.Table:
+        group, doc, size, row = common_sets(table, percent)
+        root = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table["d"]])[row]
+        if len(group):
+            heads = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+            open_sets = (np.minimum.reduceat(root, heads) < np.maximum.reduceat(root, heads)) & (np.bincount(group) > 2)
+            group, doc, size, root = (x[open_sets[group]] for x in (group, doc, size, root))
+        if len(group):
+            group, at = gathered(group, doc)
+            doc, size, root = doc[at], size[at], root[at]
+            heads = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+            length = np.diff(np.append(heads, len(group)))
+            digest = np.repeat(mix(np.add.reduceat(mix(doc.astype(U)), heads) + length.astype(U)), length).view(np.int64)
+        else:
+            digest = np.zeros(0, np.int64)
+        return pa.table({"set": pa.array(digest, pa.int64()), "b": pa.array(doc, pa.int64()), "n": pa.array(size, pa.int32()), "root": pa.array(root, pa.int64())})
+
+    return apply
+
+
 def left_over(percent: int, pack: bool = False):
     """Pairs of one set of documents that are in different components, of near sizes, and not ruled out by their short profiles.
 
@@ -359,10 +431,12 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, text: str
     tried = materialise(indexed.filter("kind = 1").groupBy("key").applyInArrow(meet(percent), PAIRS), "meetings")
     links = linked(tried.filter("kind = 0"), own, k, percent)
     roots = materialise(components(links), "roots")
-    members = tried.filter("kind = 1").select(F.col("a").alias("set"), "b", "n").distinct().join(roots.select(F.col("node").alias("b"), "root"), "b", "left").withColumn("root", F.coalesce("root", "b"))
-    members = materialise(members, "members")
-    apart = members.groupBy("set").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("set")
-    live = materialise(members.join(apart, "set", "left_semi"), "live")
+    members = tried.filter("kind = 1").select("b").distinct().join(roots.select(F.col("node").alias("b"), "root"), "b", "left")
+    members = materialise(members.select(F.col("b").alias("_id"), F.coalesce("root", "b").alias("_root")), "members")
+    few = members.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    again = own.join(F.broadcast(members) if few else members, own["doc_id"] == members["_id"]).select("doc_id", "text", "_root")
+    again = again.mapInArrow(index(k, percent, bits, classes, True), "kind int, key long, a binary, b binary, c binary, d binary")
+    live = materialise(again.groupBy("key").applyInArrow(still_apart(percent), SETS).distinct(), "live")
     short = texts_of(live.select("b"), own).mapInArrow(profiles(k, SHORT, FINE, True), "doc long, size long, profile binary").groupBy("doc").agg(F.max("profile").alias("profile"))
     rest = live.join(short, live["b"] == short["doc"]).select("set", "b", "n", "root", "profile").groupBy("set").applyInArrow(left_over(percent, True), "a long, b long")
     more = linked(rest, own, k, percent)

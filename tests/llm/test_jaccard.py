@@ -177,3 +177,37 @@ def test_packed_profiles_are_whole():
     counts = np.random.default_rng(4).poisson(0.4, 1024).astype(np.uint8)
     data = jj.packed(counts, 10)
     assert len(data) < 400 and (jj.unpacked(pa.scalar(data, pa.binary())) == counts).all()
+
+
+def overlapping(seed, n=60, least=3):
+    """Signatures of near copies: each is in most of them, and some are in a few documents."""
+    r = np.random.default_rng(seed)
+    return {s: [(int(d), 100 + int(d) % 5) for d in sorted(r.choice(n, r.integers(least, n) if s % 3 else least, replace=False))] for s in range(40)}
+
+
+def test_documents_of_many_sets_meet_once_in_a_range():
+    """A document was a row for each set that it was in: rows grew with a group's size times its signatures."""
+    sets = overlapping(3)
+    links, members = meetings(sets)
+    assert members == sorted({x for rows in sets.values() for x in rows})
+    assert links >= {(rows[0][0], d) for rows in sets.values() for d, _ in rows[1:]}
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_open_sets_are_gathered_and_lose_no_pair(seed):
+    import pyarrow as pa
+
+    sets = overlapping(seed)
+    root = [d // 30 * 30 if d % 7 else d for d in range(60)]
+    sig, doc, size = zip(*[(s, d, n) for s, rows in sets.items() for d, n in rows], strict=True)
+    cut = lambda x, t: pa.array([np.array(x[:200], t).tobytes(), np.array(x[200:], t).tobytes()], pa.binary())
+    table = pa.table({"a": cut(sig, np.uint32), "b": cut(doc, np.int64), "c": cut(size, np.int32), "d": cut([root[d] for d in doc], np.int64)})
+    got, found = jj.still_apart(80)(table).to_pydict(), {}
+    for s, d, n, r in zip(*(got[c] for c in ("set", "b", "n", "root")), strict=True):
+        assert n == 100 + d % 5 and r == root[d] and d not in found.setdefault(s, set())
+        found[s].add(d)
+    alike = [{d for d, _ in rows} for rows in sets.values() if len({root[d] for d, _ in rows}) > 1]
+    assert alike and all(any(one <= whole for whole in found.values()) for one in alike)
+    assert len(got["b"]) < 0.6 * sum(map(len, alike))
+    same = table.set_column(3, "d", cut([0] * len(doc), np.int64))
+    assert jj.still_apart(80)(same).num_rows == 0
