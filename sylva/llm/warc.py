@@ -21,6 +21,7 @@ import gzip
 import hashlib
 import re
 import uuid
+import zlib
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -41,6 +42,8 @@ ARCHIVE_BYTES = 4 << 20
 CHUNK_BYTES, FILE_CHUNKS = 8 << 20, 16
 #: Payloads that repeat, in one broadcast at most; more are joined by a shuffle.
 BROADCAST_ROWS = 100_000
+#: Bytes of an archive that are given to the decompressor first; what it doesn't need is copied.
+WINDOW = 2 << 10
 CAPTURED = "20240101000000"
 
 
@@ -158,6 +161,29 @@ def member(record: bytes) -> bytes:
     return data if data[-1] == 0 else data + gzip.compress(b"", 1, mtime=0)
 
 
+def unzipped(data: bytes) -> bytes:
+    """The content of all gzip members of an archive, or the archive itself if it is plain.
+
+    gzip.decompress() copies what is left of the data for every member; members of an archive are as many as its records.
+    """
+    if data[:2] != b"\x1f\x8b":
+        return data
+    view, at, parts = memoryview(data), 0, []
+    while at < len(view):
+        if not view[at]:  # zeros may stand after a member
+            at += 1
+            continue
+        one, step = zlib.decompressobj(31), WINDOW
+        while not one.eof:
+            if at == len(view):
+                raise EOFError("the archive ends within a gzip member")
+            piece = view[at : at + step]
+            parts.append(one.decompress(piece))
+            at += len(piece) - len(one.unused_data)
+            step = min(2 * step, 1 << 20)
+    return b"".join(parts)
+
+
 def warcinfo() -> bytes:
     block = b"software: sylva\r\nformat: WARC File Format 1.1\r\n"
     lines = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <{record_id(None, 'warcinfo')}>", f"WARC-Date: {iso_date(CAPTURED)}", "Content-Type: application/warc-fields", f"Content-Length: {len(block)}"]
@@ -226,7 +252,7 @@ def read_legacy(archives: DataFrame, bodies: bool = True) -> DataFrame:
             for content in batch.column(0):
                 data = content.as_py()
                 rows = []
-                for r in parse_arc(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
+                for r in parse_arc(unzipped(data)):
                     head, payload = split_http(r.content)
                     own = http_field(head, b"X-Page-ID")
                     rows.append((None if own is None else int(own), r.url, r.ip, r.date, r.mime, r.version, r.content if bodies else None, base32_sha1(payload), len(payload)))
@@ -286,7 +312,7 @@ def read_warc(files: DataFrame) -> DataFrame:
             for content in batch.column(0):
                 data = content.as_py()
                 rows = []
-                for fields, block in parse_warc(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
+                for fields, block in parse_warc(unzipped(data)):
                     if fields["warc-type"] == "warcinfo":
                         continue
                     head, payload = split_http(block)

@@ -2,7 +2,9 @@ import base64
 import gzip
 import hashlib
 import zlib
+from types import SimpleNamespace
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -104,3 +106,29 @@ def test_no_pages(spark, tmp_path):
     path = str(tmp_path / "none")
     w.write_warc(spark.createDataFrame([], "page_id long, url string, html string, sha int, key int"), path, materialise)
     assert w.read_warc(spark.read.format("binaryFile").load(path)).count() == 0
+
+
+def test_members_are_unzipped_once_each(monkeypatch):
+    """Bytes given to the decompressor follow the archive's size; the rest of the archive was copied for every member."""
+    r = np.random.default_rng(2)
+    plain = [r.bytes(int(n)) for n in [*r.integers(0, 3000, 300), 3 << 20]] + [b"", b"z" * (5 << 20)]
+    data = b"".join(gzip.compress(x, 1, mtime=0) for x in plain) + b"\0" * 5
+    passed = []
+
+    class Counted:
+        def __init__(self, bits):
+            self.own = zlib.decompressobj(bits)
+
+        def decompress(self, piece, *most):
+            passed.append(len(piece))
+            return self.own.decompress(piece, *most)
+
+        def __getattr__(self, name):
+            return getattr(self.own, name)
+
+    monkeypatch.setattr(w, "zlib", SimpleNamespace(decompressobj=Counted), raising=False)
+    assert w.unzipped(data) == gzip.decompress(data) == b"".join(plain)
+    assert sum(passed) < 3 * len(data)
+    assert w.unzipped(b"WARC/1.1") == b"WARC/1.1" and w.unzipped(b"") == b""
+    with pytest.raises(EOFError):
+        w.unzipped(data[:-50])
