@@ -12,6 +12,10 @@ with its component so far, and only sets whose members are still in different co
 pairs that are left, which are verified too. So groups of copies cost as many pairs as they have members, a component is
 looked up once for each document and not for each set, and no pair that could matter is left out.
 
+Documents that share many signatures would meet in as many ranges. So a document takes its marks along, the signatures
+that a second hash puts first: where documents have a mark in common they are known to meet at it, and what they share
+behind it is left out. What leaves the ranges then doesn't grow with their number but for documents that share little.
+
 Nulls: a null text is empty; an empty set is linked with nothing; a row with a null id is a component of its own.
 Repeated rows: rows that share an id share its component. Texts of any length are compared whole. Extra columns are
 ignored whatever their names. An empty table gives an empty
@@ -47,6 +51,8 @@ SHORT, FINE = 10, 4.0
 RANGE_SIGNATURES = 1 << 18
 #: Members of a set that may go into a larger one at least.
 GATHERED = 8
+#: Marks of a document.
+MARKS = 2
 
 
 def document_sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -129,11 +135,24 @@ def signatures(tokens: np.ndarray, classes: np.ndarray, percent: int) -> np.ndar
     return np.unique(np.concatenate(out))
 
 
+def places(part: np.ndarray | int, sig: np.ndarray) -> np.ndarray:
+    """The places of signatures in the order of the second hash, by their ranges and what is kept of them beside."""
+    return mix((np.asarray(part, np.int64).astype(U) << U(32)) | sig.astype(U))
+
+
+def lowest(place: np.ndarray, per: np.ndarray) -> np.ndarray:
+    """The MARKS lowest of each run of `per` places as a row; of fewer, the last stands again."""
+    ends = np.cumsum(per)
+    place = place[np.lexsort((place, np.repeat(np.arange(len(per)), per)))]
+    rank = np.minimum(np.arange(MARKS), np.maximum(per, 1)[:, None] - 1)
+    return place[np.minimum((ends - per)[:, None] + rank, max(len(place) - 1, 0))] if len(place) else np.zeros((len(per), MARKS), U)
+
+
 def index(k: int, percent: int, bits: int, classes_of, rooted: bool = False):
-    """Rows of kind 0 with the size of each set, and of kind 1 with the signatures of a batch by range; rooted: a third column goes along with these."""
+    """Rows of kind 0 with the size of each set, and of kind 1 with the signatures of a batch by range and the marks of their documents; rooted: a third column goes along with these."""
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["kind", "key", "a", "b", "c", *(["d"] if rooted else [])]
+        names = ["kind", "key", "a", "b", "c", "marks", *(["d"] if rooted else [])]
         classes = classes_of.value
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -142,18 +161,19 @@ def index(k: int, percent: int, bits: int, classes_of, rooted: bool = False):
                 sizes[row] = len(tokens)
                 parts.append(signatures(tokens, classes[(tokens >> U(64 - SKETCH_BITS)).astype(np.int64)], percent) if len(tokens) else tokens)
             if not rooted:
-                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([0], pa.int64()), *(pa.array([x], pa.binary()) for x in (ids.tobytes(), sizes.tobytes(), None))], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int32()), pa.array([0], pa.int64()), *(pa.array([x], pa.binary()) for x in (ids.tobytes(), sizes.tobytes(), None, None))], names=names)
             if not parts:
                 continue
             per = [len(p) for p in parts]
             sig, doc, size = np.concatenate(parts), np.repeat(ids, per), np.repeat(sizes, per)
-            part = (sig >> U(64 - bits)).astype(np.int64)
+            part, sig = (sig >> U(64 - bits)).astype(np.int64), (sig >> U(32 - bits)).astype(np.uint32)
+            marks = np.repeat(lowest(places(part, sig), np.array(per)), per, axis=0)
             order = np.argsort(part, kind="stable")
-            part, sig, doc, size = part[order], (sig[order] >> U(32 - bits)).astype(np.uint32), doc[order], size[order].astype(np.int32)
+            part, sig, doc, size, marks = part[order], sig[order], doc[order], size[order].astype(np.int32), marks[order]
             heads = np.append(np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))), len(part)) if len(part) else np.zeros(1, np.int64)
             cut = lambda x, h=heads: pa.array([x[a:b].tobytes() for a, b in zip(h[:-1], h[1:], strict=True)], pa.binary())
             more = [cut(np.repeat(batch.column(2).to_numpy(zero_copy_only=False).astype(np.int64), per)[order])] if rooted else []
-            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(heads) - 1), pa.int32()), pa.array(part[heads[:-1]], pa.int64()), cut(sig), cut(doc), cut(size), *more], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(heads) - 1), pa.int32()), pa.array(part[heads[:-1]], pa.int64()), cut(sig), cut(doc), cut(size), cut(marks), *more], names=names)
         give_back()
 
     return apply
@@ -165,7 +185,8 @@ PAIRS = "kind int, a long, b long, n int"
 def common_sets(table: pa.Table, percent: int) -> tuple[np.ndarray, ...]:
     """Sets of two or more documents with a common signature, and of sizes that similar ones can have, in one range, each once.
 
-    Gives (set, document, size) by member, sets together and their documents ascending, and the index of the rows of their signatures.
+    Gives (set, document, size, marks) by member, sets together and their documents ascending, the index of the rows of their signatures, and the
+    place of each set's signature, the first if it has several. Without marks in the table the places are 0, before all marks.
     """
     join = lambda c, t: np.concatenate([np.frombuffer(x.as_buffer(), t) for x in table[c]])
     sig, doc, size = join("a", np.uint32), join("b", np.int64), join("c", np.int32)
@@ -174,25 +195,59 @@ def common_sets(table: pa.Table, percent: int) -> tuple[np.ndarray, ...]:
     # A step in size that no similar pair spans parts a set in two.
     apart = (sig[1:] != sig[:-1]) | (100 * size[:-1].astype(np.int64) < percent * size[1:].astype(np.int64))
     run = np.cumsum(np.concatenate(([False], apart)), dtype=np.int32)
-    del sig, apart
+    del apart
     order = np.lexsort((doc, run))
-    row, run, doc, size = row[order], run[order], doc[order], size[order]
+    row, run, doc, size, sig = row[order], run[order], doc[order], size[order], sig[order]
     fresh = np.concatenate(([True], (run[1:] != run[:-1]) | (doc[1:] != doc[:-1])))
-    row, run, doc, size = row[fresh], run[fresh], doc[fresh], size[fresh]
+    row, run, doc, size, sig = row[fresh], run[fresh], doc[fresh], size[fresh], sig[fresh]
     heads = np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
     length = np.diff(np.append(heads, len(run)))
     # Equal sets of documents count once: a sum of mixed ids stands for the set.
     digest = np.add.reduceat(mix(doc.astype(U)), heads) + length.astype(U)
-    _, first = np.unique(digest, return_index=True)
+    marked = "marks" in table.column_names
+    place = places(table["key"][0].as_py(), sig[heads]) if marked else np.zeros(len(heads), U)
+    early = np.argsort(place, kind="stable")
+    first = early[np.unique(digest[early], return_index=True)[1]]
     first = first[length[first] > 1]
-    heads, length = heads[first], length[first]
+    heads, length, place = heads[first], length[first], place[first]
     total = np.cumsum(length)
     at = np.arange(total[-1] if len(total) else 0) - np.repeat(total - length, length) + np.repeat(heads, length)
-    return np.repeat(np.arange(len(heads)), length), doc[at], size[at], row[at]
+    marks = join("marks", U).reshape(-1, MARKS)[row[at]] if marked else np.zeros((len(at), MARKS), U)
+    return np.repeat(np.arange(len(heads)), length), doc[at], size[at], marks, row[at], place
+
+
+def alike(m: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """Which sizes are near enough for similar sets."""
+    return 100 * np.minimum(m, n).astype(np.int64) >= percent * np.maximum(m, n).astype(np.int64)
+
+
+def known_before(group: np.ndarray, size: np.ndarray, marks: np.ndarray, place: np.ndarray, percent: int) -> np.ndarray:
+    """Which members have a mark before the place of their set in common with two others of near sizes: at it they are in a set of three or more too."""
+    member, which = np.nonzero(marks < place[group][:, None])
+    own = (which == 0) | (marks[member, which] != marks[member, 0])  # a mark that stands twice counts once
+    member, mark = member[own], marks[member[own], which[own]]
+    order = np.lexsort((size[member], mark, group[member]))
+    member, mark = member[order], mark[order]
+    n, at = len(member), np.arange(len(member))
+
+    def near(step: int) -> np.ndarray:
+        there = (at + step).clip(0, n - 1)
+        same = (at + step == there) & (group[member] == group[member[there]]) & (mark == mark[there])
+        return same & alike(size[member], size[member[there]], percent)
+
+    out = np.zeros(len(group), bool)
+    if n:
+        before, behind = near(-1), near(1)
+        out[member[(before & behind) | (before & near(-2)) | (behind & near(2))]] = True
+    return out
 
 
 def meet(percent: int):
-    """Documents that meet in one range: rows of kind 0 are links to try, those of kind 1 the documents of sets of three or more, each once."""
+    """Documents that meet in one range: rows of kind 0 are links to try, those of kind 1 the documents of sets of three or more, each once.
+
+    Left out is what a common mark shows to meet at an earlier place. Of all that two documents share, or all sets of three or more that one is
+    in, the one at the first place is never left out, so each is in some range's rows.
+    """
 
     def apply(table: pa.Table) -> pa.Table:
         found = met(table)
@@ -200,11 +255,12 @@ def meet(percent: int):
         return found
 
     def met(table: pa.Table) -> pa.Table:
-        group, doc, size, _ = common_sets(table, percent)
+        group, doc, size, marks, _, place = common_sets(table, percent)
         head = np.searchsorted(group, group)
-        close = (head != np.arange(len(head))) & (100 * np.minimum(size, size[head]).astype(np.int64) >= percent * np.maximum(size, size[head]).astype(np.int64))
+        common = (marks[:, :, None] == marks[head][:, None, :]) & (marks < place[group][:, None])[:, :, None]
+        close = (head != np.arange(len(head))) & alike(size, size[head], percent) & ~common.any((1, 2))
         pairs = np.unique(np.stack((doc[head[close]], doc[close])), axis=1)
-        many = np.flatnonzero((np.bincount(group) > 2)[group]) if len(group) else group
+        many = np.flatnonzero((np.bincount(group) > 2)[group] & ~known_before(group, size, marks, place, percent)) if len(group) else group
         members, at = np.unique(doc[many], return_index=True)
         n = pairs.shape[1]
         return pa.table({
@@ -250,7 +306,10 @@ def gathered(group: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def still_apart(percent: int):
-    """Members of sets that hold the pairs of those of three or more documents in one range whose roots (d) are not all the same."""
+    """Members of sets that hold the pairs of those of three or more documents in one range whose roots (d) are not all the same.
+
+    A set is left out if its members have a mark in common that stands before it: the set at that mark holds them all.
+    """
 
     def apply(table: pa.Table) -> pa.Table:
         found = met(table)
@@ -258,11 +317,13 @@ def still_apart(percent: int):
         return found
 
     def met(table: pa.Table) -> pa.Table:
-        group, doc, size, row = common_sets(table, percent)
+        group, doc, size, marks, row, place = common_sets(table, percent)
         root = np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table["d"]])[row]
         if len(group):
             heads = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
             open_sets = (np.minimum.reduceat(root, heads) < np.maximum.reduceat(root, heads)) & (np.bincount(group) > 2)
+            for mark in marks[heads].T:
+                open_sets &= (mark >= place) | ~np.logical_and.reduceat((marks == mark[group][:, None]).any(1), heads)
             group, doc, size, root = (x[open_sets[group]] for x in (group, doc, size, root))
         if len(group):
             group, at = gathered(group, doc)
@@ -427,7 +488,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, text: str
     classes, total = frequency_classes(own, k)
     classes = spark.sparkContext.broadcast(classes)
     bits = bits_for(total, percent)
-    indexed = materialise(own.mapInArrow(index(k, percent, bits, classes), "kind int, key long, a binary, b binary, c binary"), "signatures")
+    indexed = materialise(own.mapInArrow(index(k, percent, bits, classes), "kind int, key long, a binary, b binary, c binary, marks binary"), "signatures")
     tried = materialise(indexed.filter("kind = 1").groupBy("key").applyInArrow(meet(percent), PAIRS), "meetings")
     links = linked(tried.filter("kind = 0"), own, k, percent)
     roots = materialise(components(links), "roots")
@@ -435,7 +496,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90, text: str
     members = materialise(members.select(F.col("b").alias("_id"), F.coalesce("root", "b").alias("_root")), "members")
     few = members.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     again = own.join(F.broadcast(members) if few else members, own["doc_id"] == members["_id"]).select("doc_id", "text", "_root")
-    again = again.mapInArrow(index(k, percent, bits, classes, True), "kind int, key long, a binary, b binary, c binary, d binary")
+    again = again.mapInArrow(index(k, percent, bits, classes, True), "kind int, key long, a binary, b binary, c binary, marks binary, d binary")
     live = materialise(again.groupBy("key").applyInArrow(still_apart(percent), SETS).distinct(), "live")
     short = texts_of(live.select("b"), own).mapInArrow(profiles(k, SHORT, FINE, True), "doc long, size long, profile binary").groupBy("doc").agg(F.max("profile").alias("profile"))
     rest = live.join(short, live["b"] == short["doc"]).select("set", "b", "n", "root", "profile").groupBy("set").applyInArrow(left_over(percent, True), "a long, b long")

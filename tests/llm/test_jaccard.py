@@ -211,3 +211,79 @@ def test_open_sets_are_gathered_and_lose_no_pair(seed):
     assert len(got["b"]) < 0.6 * sum(map(len, alike))
     same = table.set_column(3, "d", cut([0] * len(doc), np.int64))
     assert jj.still_apart(80)(same).num_rows == 0
+
+
+def tables(batch, bits, percent=80, k=3, rooted=False):
+    """The tables of all ranges for a batch (doc_id, text[, root]) whose shingles are all rare."""
+    import pyarrow as pa
+
+    class Rare:
+        value = np.zeros(1 << jj.SKETCH_BITS, np.uint8)
+
+    rows = pa.Table.from_batches(list(jj.index(k, percent, bits, Rare, rooted)([batch])))
+    key, kind = (rows[c].to_numpy() for c in ("key", "kind"))
+    return [rows.filter(pa.array((key == x) & (kind == 1))) for x in np.unique(key[kind == 1])]
+
+
+def copies_of_texts(seed):
+    """Texts in two to six versions each, from hardly changed to half new, and a passage in some of them."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(seed)
+    say = lambda n: [f"w{x}" for x in r.integers(0, 50_000, n)]
+    passage, texts = say(12), []
+    for group in range(60):
+        base = say(int(r.integers(60, 200)))
+        for _ in range(2 if group % 3 else int(r.integers(3, 7))):
+            words, cut = list(base), int(len(base) * r.choice([0, 0.05, 0.2, 0.5]))
+            words[:cut] = say(cut)
+            texts.append(" ".join(words + (passage if r.random() < 0.2 else [])))
+    ids = r.permutation(len(texts))
+    return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(texts), pa.array(ids // 40 * 40)], names=["doc_id", "text", "root"])
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_documents_that_share_much_meet_in_few_of_many_ranges(seed):
+    """Near copies met once in each range where they share a signature: rows grew with the number of ranges as well as with the documents."""
+    batch = copies_of_texts(seed)
+    few, many = ([jj.meet(80)(t) for t in tables(batch, bits)] for bits in (1, 14))
+    assert sum(t.num_rows for t in many) < 4 * sum(t.num_rows for t in few)
+    links, members = set(), set()
+    for t in many:
+        for kind, a, b in zip(*(t[c].to_pylist() for c in ("kind", "a", "b")), strict=True):
+            (members if kind else links).add(b if kind else (a, b))
+    size, shared, threes = {}, {}, set()
+    for t in tables(batch, 14):
+        for s, d, n in zip(*(np.concatenate([np.frombuffer(x.as_buffer(), y) for x in t[c]]).tolist() for c, y in (("a", np.uint32), ("b", np.int64), ("c", np.int32))), strict=True):
+            size[d] = n
+            shared.setdefault((t["key"][0].as_py(), s), []).append(d)
+    near = lambda a, b: 100 * min(size[a], size[b]) >= 80 * max(size[a], size[b])
+    for docs in shared.values():
+        for a in docs:
+            if sum(near(a, b) for b in docs) > 2:
+                threes.add(a)
+    assert threes <= members
+    for docs in shared.values():
+        assert all((a, b) in links or {a, b} <= members for a in docs for b in docs if a < b and near(a, b))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_open_sets_of_many_ranges_lose_no_pair(seed):
+    batch = copies_of_texts(seed)
+    root, found, held = dict(zip(batch["doc_id"].to_pylist(), batch["root"].to_pylist(), strict=True)), {}, 0
+    for t in tables(batch, 14, rooted=True):
+        got = jj.still_apart(80)(t)
+        held += got.num_rows
+        for s, d in zip(got["set"].to_pylist(), got["b"].to_pylist(), strict=True):
+            found.setdefault(s, set()).add(d)
+    plain = [t.drop_columns(["marks"]) for t in tables(batch, 14, rooted=True)]
+    before, wanted = 0, set()
+    for t in plain:
+        group, doc, *_ = jj.common_sets(t, 80)
+        before += jj.still_apart(80)(t).num_rows
+        for g in np.unique(group):
+            docs = doc[group == g].tolist()
+            if len(docs) > 2:
+                wanted |= {(a, b) for a in docs for b in docs if a < b and root[a] != root[b]}
+    got = {(a, b) for docs in found.values() for a in docs for b in docs if a < b}
+    assert wanted and wanted <= got and 2 * held < before
