@@ -20,10 +20,11 @@ round_trip() returns the id and its results only. Empty tables work.
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections.abc import Iterator
 from heapq import heappop, heappush
-from itertools import chain, groupby
+from itertools import groupby
 from operator import itemgetter
 
 import numpy as np
@@ -35,10 +36,10 @@ from sylva.llm.protobuf import Model, read_model
 from sylva.llm.token_counts import MARK, cuts_are_safe, resolve
 from sylva.runtime import give_back
 
-#: Texts encoded in one call, by bytes.
-BATCH_BYTES = 1 << 18
-#: No merge crosses these cuts in a model that cuts_are_safe() accepts.
-CUT = f"\n|{MARK}+[^{MARK}\n]*|[^{MARK}\n]+"
+#: Texts encoded in one call, by bytes. Calls of fewer cost more CPU time a byte.
+BATCH_BYTES = 1 << 20
+#: What begins with a run of marks, up to the next mark or line feed. No merge crosses its ends in a model that cuts_are_safe() accepts.
+RUN = f"{MARK}{{2,}}[^{MARK}\n]*"
 
 
 def merges_of(model: Model) -> list[tuple[str, str]]:
@@ -50,17 +51,23 @@ def merges_of(model: Model) -> list[tuple[str, str]]:
 
 
 def backend(model: Model):
-    """(general, quick): tokenizers pipelines that do what the model says; they share pieces and merges.
+    """(general, quick): tokenizers pipelines that do what the model says, with the same pieces and merges.
 
-    general cuts texts into pre-tokens; quick merges a whole text at once, with the same ids, as no merge crosses a cut. It is
-    None for models that cuts_are_safe() doesn't accept.
+    general cuts runs of marks off, with what they lead to. quick is for texts without runs or marks: its pieces hold spaces
+    where the model's hold marks, so that spaces need no rewriting, and it merges line by line, as no merge crosses a line
+    feed. It gives the same ids, and is None for models that cuts_are_safe() doesn't accept.
     """
     from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
+    def bpe(space: str) -> Tokenizer:
+        vocabulary = {p.text.replace(MARK, space): i for i, p in enumerate(model.pieces)}
+        pairs = merges if space == MARK else [(a.replace(MARK, space), b.replace(MARK, space)) for a, b in merges]
+        unknown = model.pieces[model.unk_id].text.replace(MARK, space)
+        return Tokenizer(models.BPE(vocabulary, pairs, unk_token=unknown, fuse_unk=True, byte_fallback=model.byte_fallback))
+
     if model.kind == Model.BPE:
-        vocabulary = {p.text: i for i, p in enumerate(model.pieces)}
-        unknown = model.pieces[model.unk_id].text
-        core = Tokenizer(models.BPE(vocabulary, merges_of(model), unk_token=unknown, fuse_unk=True, byte_fallback=model.byte_fallback))
+        merges = merges_of(model)
+        core = bpe(MARK)
     elif model.kind == Model.UNIGRAM:
         core = Tokenizer(models.Unigram([(p.text, p.score) for p in model.pieces], model.unk_id, model.byte_fallback))
     else:
@@ -78,11 +85,13 @@ def backend(model: Model):
     if model.add_dummy_prefix:
         undo.append(decoders.Strip(" ", 1, 0))
     core.decoder = decoders.Sequence(undo)
-    if not cuts_are_safe(model):
+    if not cuts_are_safe(model) or any(" " in p.text for p in model.pieces):
         return core, None
-    quick = Tokenizer(core.model)
-    quick.normalizer, quick.decoder = core.normalizer, core.decoder
-    core.pre_tokenizer = pre_tokenizers.Split(Regex(CUT), "isolated")
+    core.pre_tokenizer = pre_tokenizers.Split(Regex(RUN), "isolated")
+    quick = bpe(" ")
+    if model.add_dummy_prefix:
+        quick.normalizer = normalizers.Prepend(" ")
+    quick.pre_tokenizer = pre_tokenizers.Split("\n", "merged_with_previous")
     return core, quick
 
 
@@ -145,10 +154,11 @@ class Codec:
 
     def own_ids(self, texts: list[str]) -> list[list[int]]:
         """Ids by the backend, of whole texts on several threads."""
-        encoded = (self.quick or self.core).encode_batch_fast(texts, add_special_tokens=False)
         if self.quick is None:
-            return [e.ids for e in encoded]
-        return [self.with_runs(t) if "  " in t or MARK in t or t[:1] == " " else e.ids for t, e in zip(texts, encoded, strict=True)]
+            return [e.ids for e in self.core.encode_batch_fast(texts, add_special_tokens=False)]
+        runs = ["  " in t or MARK in t or t[:1] == " " for t in texts]
+        encoded = iter(self.quick.encode_batch_fast([t for t, run in zip(texts, runs, strict=True) if not run], add_special_tokens=False))
+        return [self.with_runs(t) if run else next(encoded).ids for t, run in zip(texts, runs, strict=True)]
 
     def with_runs(self, text: str) -> list[int]:
         """The backend's ids, but for pre-tokens that begin with a run of marks: their merges tie, and go in the model's order."""
@@ -162,10 +172,20 @@ class Codec:
 
     def encode(self, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
         """(ids, whether the backend agreed with the library) of each text: the backend's ids, or the library's where they differ."""
+        ids, agree, _ = self.encode_packed(texts)
+        return ids, agree
+
+    def encode_packed(self, texts: list[str]) -> tuple[list[list[int]], list[bool], list[bytes]]:
+        """What encode() gives, and the ids of each text as 32-bit little-endian numbers."""
         theirs = self.library.encode(texts, num_threads=self.threads, return_type="numpy")
-        ours = self.own_ids(texts)
-        agree = [len(a) == len(b) and bool((np.array(a, b.dtype) == b).all()) for a, b in zip(ours, theirs, strict=True)]
-        return [a if same else b.tolist() for a, b, same in zip(ours, theirs, agree, strict=True)], agree
+        ids = self.own_ids(texts)
+        packed = [struct.pack(f"<{len(i)}i", *i) for i in ids]
+        expected = [b.astype("<i4", copy=False).tobytes() for b in theirs]
+        agree = [a == b for a, b in zip(packed, expected, strict=True)]
+        for k, same in enumerate(agree):
+            if not same:
+                ids[k], packed[k] = theirs[k].tolist(), expected[k]
+        return ids, agree, packed
 
     def decode(self, ids: list[list[int]]) -> list[str]:
         """Texts of ids, by the backend's decoder."""
@@ -207,8 +227,8 @@ def encode_texts(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", text:
         for batch in batches:
             for a, b in portions(lengths(batch.column(at))):
                 part = batch.slice(a, b - a)
-                ids, agree = both.encode([t or "" for t in part.column(at).to_pylist()])
-                flat = np.fromiter(chain.from_iterable(ids), np.int32, sum(map(len, ids)))
+                ids, agree, packed = both.encode_packed([t or "" for t in part.column(at).to_pylist()])
+                flat = np.frombuffer(b"".join(packed), "<i4").astype(np.int32, copy=False)
                 lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, ids)]), pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(agree, pa.bool_())], names=[*names, "token_ids", "parity"])
         give_back()
@@ -246,9 +266,9 @@ def round_trip(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", text: s
         for batch in batches:
             for a, b in portions(lengths(batch.column(1))):
                 texts = [t or "" for t in batch.column(1).slice(a, b - a).to_pylist()]
-                ids, agree = both.encode(texts)
+                ids, agree, packed = both.encode_packed(texts)
                 same = [x == t.replace(MARK, " ") for x, t in zip(both.decode(ids), texts, strict=True)]
-                sums = [zlib.crc32(np.array(i, "<i4").tobytes()) for i in ids]
+                sums = [zlib.crc32(p) for p in packed]
                 columns = [pa.array([len(i) for i in ids], pa.int64()), pa.array(agree, pa.bool_()), pa.array(same, pa.bool_()), pa.array(sums, pa.int64())]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *columns], names=[id_column, "n_tokens", "parity", "round_trip", "ids_crc32"])
         give_back()

@@ -60,6 +60,37 @@ def test_the_backend_gives_ids_and_texts(monkeypatch):
     assert codec.decode([ids]) == ["▁some▁words"]
 
 
+def test_texts_without_runs_go_line_by_line_and_each_text_once(monkeypatch):
+    codec = sc.Codec(MODEL, 2)
+    assert codec.quick.token_to_id(" the") == codec.core.token_to_id("▁the") == library.piece_to_id("▁the")
+    assert [cut for cut, _ in codec.quick.pre_tokenizer.pre_tokenize_str("a b\n\nc")] == ["a b\n", "\n", "c"]
+    r = random.Random(7)
+    words = ["the", "ing", "é", "梦", "\U0001f600", "<s>", "<0x0A>", "a\n", "\n", "\n b", "\t", "\x00", "\r\n", "Hello,"]
+    plain = [" ".join(r.choice(words) for _ in range(r.randrange(1, 60))) for _ in range(300)] + [""]
+    plain = [t for t in plain if "  " not in t]
+    seen = []
+    encode = codec.quick.encode_batch_fast
+
+    class Counted:
+        def encode_batch_fast(self, texts, **options):
+            seen.extend(texts)
+            return encode(texts, **options)
+
+    monkeypatch.setattr(codec, "quick", Counted())
+    mixed = [x for t in plain for x in (t, f" {t}  ▁x")]
+    ids, agree, packed = codec.encode_packed(mixed)
+    assert ids == library.encode(mixed) and all(agree) and seen == plain
+    assert packed == [struct.pack(f"<{len(i)}i", *i) for i in ids]
+
+
+def test_packed_ids_are_the_librarys_where_the_two_differ(monkeypatch):
+    codec = sc.Codec(MODEL, 2)
+    monkeypatch.setattr(codec, "own_ids", lambda texts: [[0], library.encode(texts[1])])
+    ids, agree, packed = codec.encode_packed(["some words", "more"])
+    assert agree == [False, True] and ids == library.encode(["some words", "more"])
+    assert packed == [struct.pack(f"<{len(i)}i", *i) for i in ids]
+
+
 def test_unsafe_cuts_are_told():
     model = read_model(open(MODEL, "rb").read())
     assert tc.cuts_are_safe(model) and len(model.pieces) == 32000 and model.byte_fallback
